@@ -1,0 +1,145 @@
+"""Steps that depend on what they have taken already: budgeted traversal and greedy covers, one review or focus a group."""
+
+from __future__ import annotations
+
+from collections import deque
+
+# What limits a seed, in the order it is told.
+LIMITS = ("seed_node_budget", "seed_path_budget", "review_node_budget", "review_path_budget")
+
+
+class Seed:
+    """A seed's queue of open paths, the nodes it has met, and what limited it."""
+
+    def __init__(self, name: str):
+        self.name, self.nodes, self.paths, self.limits, self.done = name, {name}, 0, set(), False
+        self.open = deque([((name,), ())])
+        self.next: deque | None = None
+
+
+def _turn(seed: Seed, depth: int, around: dict, met: set, sizes: tuple):
+    """One path of this depth, or None when the seed has no more of it."""
+    seed_nodes, seed_paths, review_nodes = sizes
+    while seed.open and len(seed.open[0][0]) == depth:
+        nodes, relations = seed.open[0]
+        if seed.next is None:
+            seed.next = deque(around.get(nodes[-1], ()))
+        while seed.next:
+            node, relation = seed.next.popleft()
+            if node in nodes:
+                continue
+            if seed.paths >= seed_paths:
+                seed.limits.add("seed_path_budget")
+                seed.done = True
+                return None
+            if node not in seed.nodes and len(seed.nodes) >= seed_nodes:
+                seed.limits.add("seed_node_budget")
+                continue
+            if node not in met and len(met) >= review_nodes:
+                seed.limits.add("review_node_budget")
+                continue
+            seed.nodes.add(node)
+            met.add(node)
+            seed.paths += 1
+            path = (nodes + (node,), relations + (relation,))
+            seed.open.append(path)
+            return path
+        seed.open.popleft()
+        seed.next = None
+    return None
+
+
+def walk(around: dict, names: list[str], policy: tuple) -> tuple[list, list[Seed]]:
+    """All paths (seed, nodes, relations) in the order they are found, and the seeds."""
+    depth, *sizes, review_paths = policy
+    seeds, met, found = [Seed(n) for n in names], set(names), []
+    for level in range(1, depth + 1):
+        moved = True
+        while moved:
+            moved = False
+            for seed in seeds:
+                if seed.done:
+                    continue
+                if len(found) >= review_paths:
+                    for other in seeds:
+                        if not other.done:
+                            other.limits.add("review_path_budget")
+                            other.done = True
+                    return found, seeds
+                if path := _turn(seed, level, around, met, tuple(sizes)):
+                    found.append((seed.name, *path))
+                    moved = True
+    return found, seeds
+
+
+def traverse(review: str, policy: tuple):
+    def run(rows):
+        import pandas as pd
+
+        edges = rows[rows.what == "edge"].sort_values(["order", "source", "target", "relation"])
+        around: dict[str, list] = {}
+        for source, target, relation in zip(edges.source, edges.target, edges.relation):
+            around.setdefault(source, []).append((target, relation))
+            around.setdefault(target, []).append((source, relation))
+        names = list(dict.fromkeys(rows[rows.what == "seed"].sort_values(["order", "source"]).source))
+        found, seeds = walk(around, names, policy)
+        key = rows[review].iloc[0]
+        out = [(key, "path", s, i, list(n), list(r), []) for i, (s, n, r) in enumerate(found)]
+        out += [(key, "state", s.name, i, [], [], ["truncated", *[x for x in LIMITS if x in s.limits]] if s.limits else ["complete"]) for i, s in enumerate(seeds)]
+        return pd.DataFrame(out, columns=[review, "kind", "seed", "ordinal", "nodes", "relations", "detail"])
+
+    return run
+
+
+def greedy_cover(paths: list[dict], obligations: list[tuple], per_anchor: int, limit: int) -> tuple[list[str], list[tuple]]:
+    """Chosen path ids and uncovered obligations: for each in order a path already chosen that covers it, else the first
+    one that fits; a new path costs one of its anchor's and one of the focus's.
+
+    paths: id, anchor, depth, key (a tuple to order by) and covers (a set of obligations).
+    """
+    chosen: dict[str, dict] = {}
+    used: dict[str, int] = {}
+    missed = []
+    for goal in obligations:
+        options = [p for p in paths if goal in p["covers"]]
+        options.sort(key=lambda p: (p["id"] not in chosen, p["depth"], p["key"], p["anchor"]))
+        for p in options:
+            if p["id"] in chosen:
+                break
+            if len(chosen) < limit and used.get(p["anchor"], 0) < per_anchor:
+                chosen[p["id"]] = p
+                used[p["anchor"]] = used.get(p["anchor"], 0) + 1
+                break
+        else:
+            missed.append(goal)
+    return list(chosen), missed
+
+
+def structural_closure(per_anchor: int = 5, limit: int = 30):
+    """For applyInPandas by focus_id over paths (path_id, anchor, depth, ordinal, nodes, terminal) and what is selected.
+
+    nodes are a path's symbols, changed ones first asked for in adjacent pairs, then terminals by ordinal. Rows: focus_id,
+    kind (path, missed), id.
+    """
+
+    def run(rows):
+        import pandas as pd
+
+        paths, pairs, ends = [], set(), {}
+        for r in rows.sort_values(["ordinal", "path_id"]).itertuples():
+            picked = set(r.selected)
+            own = {("pair", *sorted(p)) for p in zip(r.nodes, list(r.nodes)[1:]) if p[0] in picked and p[1] in picked and p[0] != p[1]}
+            pairs |= own
+            covers = set(own)
+            if r.terminal:
+                goal = ("end", r.terminal)
+                covers.add(goal)
+                ends[goal] = min(ends.get(goal, (r.ordinal, r.terminal)), (r.ordinal, r.terminal))
+            paths.append({"id": r.path_id, "anchor": r.anchor, "depth": r.depth, "key": (r.ordinal, r.path_id), "covers": covers})
+        obligations = sorted(pairs) + sorted(ends, key=lambda g: ends[g])
+        chosen, missed = greedy_cover(paths, obligations, per_anchor, limit)
+        key = rows.focus_id.iloc[0]
+        out = [(key, "path", p) for p in chosen] + [(key, "missed", ":".join(m)) for m in missed]
+        return pd.DataFrame(out, columns=["focus_id", "kind", "id"])
+
+    return run
