@@ -5,8 +5,9 @@ shard (the range) and its start within it besides the ids, so metadata can be re
 indexes let a reader of a few doc_ids skip the other pages. Spark's own writer commits the files, so a lost executor's
 files are written again.
 
-Pieces between single spaces are tokenized once and remembered: the byte-level pre-tokenizer always cuts before a
-single space between characters that aren't white space, so a text's ids are those of its pieces in turn.
+Pieces between single spaces or line feeds are tokenized once and remembered, and so are the words in them: the byte-level
+pre-tokenizer always cuts before a single space between characters that aren't white space, around a single line feed
+between such, and after letters. So a text's ids are those of its pieces in turn.
 
 Null texts count as empty and give the end id alone; rows of one doc_id are ordered by text and all kept, null doc_ids
 come first; an empty table gives an empty file.
@@ -18,6 +19,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -30,75 +32,150 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group; rows of a page (the grain of its index).
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
-#: Pieces remembered by a worker at most.
-REMEMBERED = 400_000
+#: Pieces and words remembered by a worker at most (together some 200 MB).
+PIECES, WORDS = 300_000, 700_000
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-WIDE_SPACE = re.compile(r"^ |\s | \s| $")
+#: Letters of Latin alphabets, and at most one mark behind them: the pre-tokenizer cuts between the two.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?]?)")
+
+
+def single_spaced(text: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    words = text.split()
+    gaps = len(words) - 1
+    return gaps == text.count(" ") + text.count("\n") and len("".join(words)) + gaps == len(text)
+
+
+class Numbers(dict):
+    """Numbers of pieces as they are met; new ones wait to be tokenized."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, piece) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters that byte-level vocabularies write for bytes, by a rule: printable ones stand for themselves, the others follow 255 in turn."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of pieces."""
+    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of pieces and words.
+
+    A piece is what stands after a space; one that begins with a line feed stands after that instead. A tuple holds a
+    piece at a text's start, None is the end of a text.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.end_id, self.letters = Tokenizer.from_file(path), end_id, byte_letters()
+        self.words: dict[str, bytes] = {}
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.lengths, self.starts, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+        self.number = Numbers()
+        self.lengths, self.starts, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
         self.count = self.used = 0
 
-    def learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 8192):
-            part = pieces[k : k + 8192]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for x in found for i in x), np.int32, int(lengths.sum()))
-            while self.count + len(part) > len(self.lengths):
-                self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
-            while self.used + len(flat) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.lengths[self.count : self.count + len(part)] = lengths
-            self.starts[self.count : self.count + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.number.update(zip(part, range(self.count, self.count + len(part))))
-            self.count += len(part)
-            self.used += len(flat)
-
-    def encode(self, texts: list[str], end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, end_id after each, and how many each has."""
-        if self.count > REMEMBERED:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, as bytes, by the tokenizer."""
+        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_words(self, words: list[str]) -> None:
+        """Each of words is one pre-token of Latin letters, so the tokenizer's model takes it as it is."""
+        if len(self.words) > WORDS:
+            self.words.clear()
+        words = list(dict.fromkeys(w for w in words if w not in self.words))
+        written = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize = self.tokenizer.model.tokenize
+        for word, letters in zip(words, written):
+            self.words[word] = array("i", [t.id for t in tokenize(letters)]).tobytes()
+
+    def learn(self) -> None:
+        pieces, self.number.new = self.number.new, []
+        # each piece in parts: plain words and marks, or its whole text
+        parts, wanted = [], []
+        for piece in pieces:
+            if not piece:
+                parts.append(() if piece == "" else None)
+                continue
+            if isinstance(piece, tuple):
+                parts.append(piece)
+                continue
+            at_line = piece[0] == "\n"
+            body = piece[1:] if at_line else piece
+            if m := PLAIN.fullmatch(body):
+                own = ("\n", m[1]) if at_line else (" " + m[1],)
+                parts.append((*own, m[2]) if m[2] else own)
+                wanted.append(own[-1])
+            else:
+                parts.append(("\n", body) if at_line else (" " + body,))
+        if wanted:
+            self.learn_words(wanted)
+        marks = list(dict.fromkeys(w for p in parts if p for w in p if w not in self.words))
+        other = {w: ids for k in range(0, len(marks), 8192) for w, ids in zip(marks[k : k + 8192], self.whole(marks[k : k + 8192]))}
+        end = np.array([self.end_id], "<i4").tobytes()
+        find = self.words
+        found = [end if p is None else b"".join([find[w] if w in find else other[w] for w in p]) for p in parts]
+        flat = np.frombuffer(b"".join(found), "<i4")
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        while self.count + len(found) > len(self.lengths):
+            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.lengths[self.count : self.count + len(found)] = lengths
+        self.starts[self.count : self.count + len(found)] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.count += len(found)
+        self.used += len(flat)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, the end id after each, and how many each has."""
+        if self.count > PIECES:
             self.forget()
-        pieces, sizes = [], []
+        pieces, ends, firsts = [], [], []
         for text in texts:
-            own = (text.split(" ") if not WIDE_SPACE.search(text) else SINGLE_SPACE.split(text)) if text else []
-            if own:
-                pieces.append(own[0])
-                pieces += [" " + x for x in own[1:]]
-            sizes.append(len(own))
-        get = self.number.get
-        numbers = list(map(get, pieces))
-        if None in numbers:
-            self.learn(list(dict.fromkeys(p for p, n in zip(pieces, numbers) if n is None)))
-            numbers = list(map(get, pieces))
-        at = np.array(numbers, np.int64)
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        flat = self.ids[np.arange(int(lengths.sum())) + np.repeat(self.starts[at] - ends + lengths, lengths)]
-        cuts = np.r_[0, ends][np.cumsum(sizes)] if len(sizes) else np.empty(0, np.int64)
-        return np.insert(flat, cuts, end_id), np.diff(np.r_[0, cuts]) + 1
-
-
-def _encoder(path: str) -> PieceEncoder:
-    """One for each Python worker and path, however many tasks it runs."""
+            if not text:
+                pass
+            elif single_spaced(text):
+                firsts.append(len(pieces) + 1)
+                pieces += ("\n" + text).replace("\n", " \n").split(" ")
+            else:
+                first, *rest = SINGLE_SPACE.split(text)
+                pieces.append((first,))
+                pieces += rest if not rest or min(map(len, rest)) and not any(x[0] == "\n" for x in rest) else [(" " + x,) for x in rest]
+            pieces.append(None)
+            ends.append(len(pieces))
+        at = np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces))
+        if self.number.new:
+            self.learn()
+        lengths, starts = self.lengths[at], self.starts[at]
+        # a text's first piece was written after a line feed, whose id goes
+        lengths[firsts] -= 1
+        starts[firsts] += 1
+        upto = np.cumsum(lengths)
+        flat = self.ids[np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(starts - (upto - lengths).astype(np.int32), lengths)]
+        bounds = np.r_[0, upto][ends] if ends else np.empty(0, np.int64)
+        return flat, np.diff(np.r_[0, bounds])
+
+
+def _encoder(path: str, end_id: int) -> PieceEncoder:
+    """One for each Python worker, tokenizer and end id, however many tasks it runs."""
     held = sys.modules.setdefault("_chalkline_encoders", types.ModuleType("_chalkline_encoders"))
-    if path not in held.__dict__:
-        held.__dict__[path] = PieceEncoder(path)
-    return held.__dict__[path]
+    key = f"{path}:{end_id}"
+    if key not in held.__dict__:
+        held.__dict__[key] = PieceEncoder(path, end_id)
+    return held.__dict__[key]
 
 
 def _encode_batches(path: str, end_id: int):
@@ -108,11 +185,11 @@ def _encode_batches(path: str, end_id: int):
         import pyarrow as pa
 
         os.environ.update(RAYON_NUM_THREADS="1", TOKENIZERS_PARALLELISM="false")
-        encoder, shard, start = _encoder(path), TaskContext.get().partitionId(), 0
+        encoder, shard, start = _encoder(path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
             texts = batch.column(1).cast(pa.string()).to_pylist()
             for k in range(0, max(1, len(texts)), 64):
-                flat, sizes = encoder.encode([x or "" for x in texts[k : k + 64]], end_id)
+                flat, sizes = encoder.encode([x or "" for x in texts[k : k + 64]])
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, pa.int32()))
                 columns = [batch.column(0).slice(k, 64), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int32)), ids]
