@@ -25,7 +25,8 @@ def patch_lines(files: DataFrame, keys: list[str]) -> DataFrame:
     within = Window.partitionBy(*keys, "hunk").orderBy("position")
     whole, before = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), within.rowsBetween(Window.unboundedPreceding, -1)
     for k, name in enumerate(("old_start", "old_count", "new_start", "new_count"), 1):
-        lines = lines.withColumn(name, F.first(F.when(F.col("mark") == "@", F.coalesce(F.try_element_at(F.array(F.expr(f"try_cast(regexp_extract(raw, '{HEADER}', {k}) as int)")), F.lit(1)), F.lit(1))), ignorenulls=True).over(whole))
+        value = F.coalesce(F.regexp_extract("raw", HEADER, k).try_cast("int"), F.lit(1))
+        lines = lines.withColumn(name, F.first(F.when(F.col("mark") == "@", value), ignorenulls=True).over(whole))
     count = lambda marks: F.coalesce(F.sum(F.col("mark").isin(*marks).cast("int")).over(before), F.lit(0))
     number = F.when(F.col("mark") == "-", F.col("old_start") + count("- ")).otherwise(F.col("new_start") + count("+ "))
     lines = lines.withColumn("number", number.cast("int")).withColumn("changed", F.col("mark").isin("+", "-"))
