@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chalkline.functions import focus as focusing
 from chalkline.functions.lexical import distinctive_terms, identifier_keys, semantic_tokens
 from chalkline.operators import convergence, extraction, facts
+from chalkline.plans.shared import kept
 from chalkline.sources import diffs, packets
 
 #: Limits of selected anchors: direct, bridged, all.
@@ -43,6 +44,7 @@ def anchor_candidates(foci: DataFrame, anchors: DataFrame, bridges: DataFrame |
     """
     spark = foci.sparkSession
     foci = foci.withColumn("tokens", semantic_tokens(F.col("text"))).withColumn("identifiers", identifier_keys(F.col("text")))
+    foci = kept(foci)
     foci = foci.withColumn("focus_profile", focusing.requirement_profile(F.col("kind"), F.col("text"), F.col("tokens"))).withColumn("removal", focusing.asks_removal(F.col("tokens")))
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRECISION)), F.col("kind")), F.lit(0)), F.lit(9))
     anchors = anchors.withColumn("precision", place).withColumnRenamed("kind", "fact_kind")
@@ -54,7 +56,7 @@ def anchor_candidates(foci: DataFrame, anchors: DataFrame, bridges: DataFrame |
     signature = focusing.directional_signature(F.col("head_signature"), F.col("base_signature"), F.col("revision_side"), guard, F.col("removal"))
     pairs = pairs.withColumn("signature", signature)
     order = Window.partitionBy("review_id", "focus_id").orderBy("precision", "path", "first_line", "id")
-    pairs = pairs.withColumn("source_ordinal", F.row_number().over(order) - 1)
+    pairs = kept(pairs.withColumn("source_ordinal", F.row_number().over(order) - 1))
     keys = ["review_id", "focus_id", "id"]
     # terms distinctive among the foci, and among each focus's eligible anchors too
     own = distinctive_terms(foci, ["focus_id"], "tokens", ["review_id"]).groupBy("review_id", "focus_id").agg(F.collect_list("term").alias("focus_terms"))
@@ -87,7 +89,7 @@ def claim_links(foci: DataFrame, claims: DataFrame) -> DataFrame:
     signed = lambda df, key: df.select("review_id", F.col("statement_id").alias(key), "text", semantic_tokens(F.col("text")).alias(f"{key}_tokens"), identifier_keys(F.col("text")).alias(f"{key}_keys"))
     left, right = signed(foci, "focus_id"), signed(claims, "claim_id").withColumnRenamed("text", "claim_text")
     own = distinctive_terms(left.withColumnRenamed("focus_id_tokens", "tokens"), ["focus_id"], "tokens", ["review_id"]).groupBy("review_id", "focus_id").agg(F.collect_list("term").alias("telling"))
-    pairs = left.join(right, "review_id").join(own, ["review_id", "focus_id"], "left")
+    pairs = kept(left.join(right, "review_id").join(own, ["review_id", "focus_id"], "left"))
     named = F.array_contains(F.regexp_extract_all("claim_text", F.lit(r"\b([RG][0-9]+)\b"), F.lit(1)), F.col("focus_id"))
     shared = F.array_intersect("focus_id_tokens", "claim_id_tokens")
     phrase = (F.size(shared) >= 2) & F.arrays_overlap(shared, F.coalesce("telling", F.array().cast("array<string>")))
@@ -102,7 +104,7 @@ def claim_bridges(links: DataFrame, claims: DataFrame, anchors: DataFrame) -> Da
     facts_ = anchors.where("role = 'changed_anchor'").select("review_id", F.col("id").alias("fact_id"), F.col("head_signature.tokens").alias("fact_tokens"), F.col("head_signature.identifiers").alias("fact_keys"))
     own = distinctive_terms(signed, ["claim_id"], "tokens", ["review_id"]).groupBy("review_id", "claim_id").agg(F.collect_list("term").alias("c"))
     there = distinctive_terms(facts_.withColumnRenamed("fact_tokens", "tokens"), ["fact_id"], "tokens", ["review_id"]).groupBy("review_id", "fact_id").agg(F.collect_list("term").alias("f"))
-    pairs = signed.join(facts_, "review_id").join(own, ["review_id", "claim_id"], "left").join(there, ["review_id", "fact_id"], "left")
+    pairs = kept(signed.join(facts_, "review_id").join(own, ["review_id", "claim_id"], "left").join(there, ["review_id", "fact_id"], "left"))
     none = F.array().cast("array<string>")
     shared = F.array_intersect("tokens", "fact_tokens")
     telling = F.array_intersect(F.array_intersect(shared, F.coalesce("c", none)), F.coalesce("f", none))
@@ -127,20 +129,22 @@ def truncations(selections: DataFrame) -> DataFrame:
 
 def review(read: DataFrame) -> Review:
     """All tables of the reviews in read (of packets.read_packets())."""
-    parsed = extraction.parsed(packets.records(read))
-    stated = extraction.requirements(parsed).unionByName(extraction.other_statements(parsed))
+    read = kept(read)
+    parsed = kept(extraction.parsed(packets.records(read)))
+    stated = kept(extraction.requirements(parsed).unionByName(extraction.other_statements(parsed)))
     files = packets.changed_files(read)
     lines = diffs.patch_lines(files.where("patch is not null").withColumn("path", F.coalesce("head_path", "base_path")), ["review_id", "base_path", "head_path", "path"])
     relations = diffs.change_relations(lines, ["review_id", "base_path", "head_path", "path"]).withColumn("hunk_id", diffs.hunk_id(F.coalesce("base_path", "head_path"), F.col("head_path"), F.col("hunk")))
-    found = facts.change_facts(relations, ["review_id"]).unionByName(facts.file_facts(files, relations, ["review_id"]))
+    relations = kept(relations)
+    found = kept(facts.change_facts(relations, ["review_id"]).unionByName(facts.file_facts(files, relations, ["review_id"])))
     given = read.where("refusal is null").select("review_id", F.explode("requirements").alias("r")).select("review_id", F.col("r.id").alias("statement_id"), "r.text", F.coalesce("r.kind", F.lit("deliverable")).alias("kind"))
     foci = stated.where("statement_id rlike '^[RG][0-9]+$'").select("review_id", "statement_id", "text", "kind")
     foci = foci.join(given.select("review_id").distinct(), "review_id", "left_anti").unionByName(given)
     claims = stated.where("role = 'claim' and statement_id rlike '^C[0-9]+$'")
     links = claim_links(foci, claims)
-    bridges = claim_bridges(links, claims, found)
-    candidates = anchor_candidates(foci.withColumnRenamed("statement_id", "focus_id"), found, bridges)
-    selections = select_anchors(candidates)
+    bridges = kept(claim_bridges(links, claims, found))
+    candidates = kept(anchor_candidates(foci.withColumnRenamed("statement_id", "focus_id"), found, bridges))
+    selections = kept(select_anchors(candidates))
     transformed = extraction.transformation_claims(parsed)
     notes = packets.supplied(read)
     return Review(
