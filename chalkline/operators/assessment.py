@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 # Conclusions of checks as verdicts read them; neutral, skipped and error are neither.
 SUCCESS = ("success",)
 FAILURE = ("failure", "cancelled", "timed_out", "action_required", "startup_failure")
-STATUSES = ("demonstrated", "partially_demonstrated", "contradicted", "unverified")
-SUCCESS_WORDING = r"(?i)\b(?:pass|passes|passing|succeed|succeeds|success|successful|green)\b"
+STATUSES = ("demonstrated", "partial", "contradicted", "unverified")
+SUCCESS_WORDING = r"(?i)\b(?:success(?:ful(?:ly)?)?|succeed(?:s|ed)?|pass(?:es|ed)?|green)\b"
 
 
 def expects_success(text: Column) -> Column:
@@ -46,18 +46,21 @@ def component_rollup(components: DataFrame, parent: list[str], required: tuple[s
     return folded.select(*parent, "n_groups", (F.lit(len(required)) - F.col("n_groups")).alias("n_missing"), rolled_status(F.col("c"), F.col("d") & full, F.col("p")).alias("status"))
 
 
-def closure_status(expectation: Column, base_complete: Column, head_complete: Column, base_matches: Column, head_matches: Column) -> Column:
-    """Absence needs a complete head scan without matches; a removal also a complete base scan with some.
+def closure_status(transition: Column, expectation: Column, base_complete: Column, head_complete: Column, base_matches: Column, head_matches: Column) -> Column:
+    """Of a scan's matches of one predicate: gone from a complete head after being in a complete base (transition), or just
+    absent from a complete head (absent_head). Matches in a complete head contradict; an incomplete scan is partial.
 
-    Matches on the head contradict. Selectors that symbol tokens can't spell (dots, hyphens, calls) must not be counted as
-    absent: pass head_complete as false for them.
+    A selector that symbol tokens can't spell (dots, hyphens, calls) can't be seen by a scan of names: spelled_by_symbols()
+    tells, and callers that want its absence unproven pass head_complete as false for it.
     """
-    gone = head_complete & (head_matches == 0)
-    moved = gone & base_complete & (base_matches > 0)
+    seen = head_complete & (head_matches > 0)
+    moved = head_complete & base_complete & (base_matches > 0) & (head_matches == 0)
+    incomplete = ~head_complete | (transition & ~base_complete)
+    rest = F.when(incomplete, "partial").otherwise("unverified")
     return (
-        F.when(head_matches > 0, "contradicted")
-        .when(expectation == "present_base", F.when(moved, "demonstrated").when(gone, "partial").otherwise("unverified"))
-        .otherwise(F.when(gone, "demonstrated").otherwise("partial"))
+        F.when(transition, F.when(moved, "demonstrated").when(seen, "contradicted").otherwise(rest))
+        .when(expectation == "absent_head", F.when(seen, "contradicted").when(head_complete, "demonstrated").otherwise(rest))
+        .otherwise(rest)
     )
 
 
@@ -67,17 +70,23 @@ def spelled_by_symbols(selector: Column) -> Column:
 
 
 def verification_status(checks: DataFrame, claim: list[str], head: Column, require_success: Column) -> DataFrame:
-    """claim and status by checks (status, conclusion, head_sha) of the current head; failures contradict if success is expected."""
-    own = checks.where(head)
-    folded = own.groupBy(*claim).agg(
-        F.bool_or(F.coalesce(F.col("conclusion").isin(*FAILURE), F.lit(False))).alias("failed"),
-        F.bool_or(F.coalesce(F.col("conclusion").isin(*SUCCESS), F.lit(False))).alias("passed"),
-        F.bool_or(require_success).alias("required"),
-    )
-    status = F.when(F.col("failed") & F.col("required"), "contradicted").when(F.col("failed"), "partial").when(F.col("passed"), "demonstrated").otherwise("unverified")
+    """claim and status by its checks (status, conclusion), of which head tells those of the reviewed head.
+
+    Only others: partial. Failures contradict where success is asked for, and otherwise show that checks ran; a completed
+    success demonstrates; anything else is partial.
+    """
+    failed = head & F.coalesce(F.col("conclusion").isin(*FAILURE), F.lit(False))
+    passed = head & (F.col("status") == "completed") & F.coalesce(F.col("conclusion").isin(*SUCCESS), F.lit(False))
+    folded = checks.groupBy(*claim).agg(F.bool_or(failed).alias("failed"), F.bool_or(F.coalesce(passed, F.lit(False))).alias("passed"), F.bool_or(require_success).alias("required"))
+    status = F.when(F.col("failed"), F.when(F.col("required"), "contradicted").otherwise("demonstrated")).when(F.col("passed"), "demonstrated").otherwise("partial")
     return folded.select(*claim, status.alias("status"))
 
 
+def selector_free_closure(has_result: Column, complete: Column) -> Column:
+    """A closure claim without a selector is never better than partial."""
+    return F.when(has_result & ~complete, "partial").otherwise("unverified")
+
+
 def claim_status(kind: Column, has_predicates: Column, rolled: Column, has_binding: Column, closure: Column, has_plan: Column, verification: Column, decisive: Column, exact: Column) -> Column:
     """A claim's status by the first rule that applies; closure, verification and rolled are statuses or null."""
     return (

@@ -130,13 +130,27 @@ def membership_class(association: Column) -> Column:
     return F.when(association.isin("provided_association", "explicit_reference"), "asserted").when(association == "exact_identifier", "matched").when(association.isin("distinctive_phrase", "claim_bridge"), "suggested").otherwise("context")
 
 
-def disposition_state(projected: Column, deferred: Column, other_only: Column, associated: Column, available: Column) -> Column:
+# States of diagnostics that leave a focus unassociated, or its evidence unavailable.
+UNASSOCIATED = ("no_association", "no_eligible_fact")
+UNAVAILABLE = ("provider_unavailable", "not_applicable", "source_absent", "stale_source", "partial_coverage")
+
+
+def disposition_state(projected: Column, n_deferred: Column, n_other: Column, states: Column) -> Column:
+    """A focus's disposition by what it has: members, deferred structural candidates, other candidates, diagnostic states."""
+    some = lambda words: F.arrays_overlap(states, F.array(*map(F.lit, words)))
     return (
-        F.when(projected, "projected").when(deferred, "deferred").when(other_only, "non_structural_only")
-        .when(~associated & available, "unassociated").when(~available, "unavailable").otherwise("no_structural_evidence")
+        F.when(projected, "projected").when(n_deferred > 0, "deferred").when(n_other > 0, "non_structural_only")
+        .when(some(UNASSOCIATED), "unassociated").when(some(UNAVAILABLE), "unavailable").otherwise("no_structural_evidence")
     )
 
 
+def support_delta(operations: Column, file_status: Column, is_file: Column, sides: Column) -> Column:
+    """A node's change: its changed rows' only operation, else a file's status, else retained if both revisions have it."""
+    own = F.filter(F.array_distinct(operations), lambda o: o.isin("added", "modified", "renamed", "removed"))
+    both = F.array_contains(sides, "base") & F.array_contains(sides, "head")
+    return F.when(F.size(own) == 1, own[0]).when(is_file & file_status.isNotNull(), file_status).when(both, "retained").otherwise("unresolved")
+
+
 def executable_head_path(side: Column, runtime: Column, steps: Column, outgoing: bool = False) -> Column:
     """Head, runtime, with steps, all of them calls or instantiations (and outgoing)."""
     fits = F.forall(steps, lambda s: s["relation"].isin("calls", "instantiates") & ((s["direction"] == "outgoing") if outgoing else F.lit(True)))

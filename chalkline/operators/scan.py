@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Bounds of a scan, folders it leaves out, and the symbol tokens it matches.
 MAX_FILES, MAX_BYTES, MAX_MATCHES = 2000, 8_000_000, 100
-IGNORED_FOLDERS = (".git", ".venv", "venv", "node_modules", "__pycache__", "dist", "build")
+IGNORED_FOLDERS = ".codegraph .git .mypy_cache .pytest_cache .ruff_cache .tox .venv __pycache__ build dist node_modules vendor venv".split()
 SYMBOL = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -43,6 +43,11 @@ def read_until(files: DataFrame, size: str, order: list[str], max_bytes: int = M
     return joined.withColumn("within", upto <= max_bytes).drop("bin", "before")
 
 
+def scannable(path: Column) -> Column:
+    """Whether no folder of the path is left out."""
+    return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_FOLDERS)))
+
+
 def line_matches(files: DataFrame, selectors: DataFrame, file_key: str, selector_key: str) -> DataFrame:
     """file_key, selector_key and line (from 1) of lines of files (text) that match a selector (value, phrase).
 

@@ -157,8 +157,9 @@ ORACLE_SQL = {
     "ci_state": f"""WITH {_CHECKS}, own AS (SELECT user_id, ts >= TIMESTAMP '{HALF_EVENTS}' AS now, conclusion FROM checks)
         SELECT user_id, count(*) FILTER (WHERE now) AS n_checks, CASE WHEN NOT bool_or(now) THEN 'not_observed' WHEN bool_or(now AND conclusion = 'failure') THEN 'failure'
         WHEN bool_and(conclusion IN ('success', 'neutral')) FILTER (WHERE now AND conclusion IS NOT NULL) THEN 'passing' ELSE 'pending' END AS state FROM own GROUP BY user_id""",
-    "verification_status": f"""WITH {_CHECKS} SELECT user_id, event_type, CASE WHEN coalesce(bool_or(conclusion = 'failure'), false) THEN CASE WHEN user_id % 2 = 0 THEN 'contradicted' ELSE 'partial' END
-        WHEN coalesce(bool_or(conclusion = 'success'), false) THEN 'demonstrated' ELSE 'unverified' END AS status FROM checks WHERE ts >= TIMESTAMP '{HALF_EVENTS}' GROUP BY user_id, event_type""",
+    "verification_status": f"""WITH {_CHECKS}, h AS (SELECT *, ts >= TIMESTAMP '{HALF_EVENTS}' AS now FROM checks)
+        SELECT user_id, event_type, CASE WHEN coalesce(bool_or(now AND conclusion = 'failure'), false) THEN CASE WHEN user_id % 2 = 0 THEN 'contradicted' ELSE 'demonstrated' END
+        WHEN coalesce(bool_or(now AND conclusion = 'success' AND status = 'completed'), false) THEN 'demonstrated' ELSE 'partial' END AS status FROM h GROUP BY user_id, event_type""",
     "closure_scan": """WITH sel AS (SELECT item_id, regexp_extract(text, '[A-Za-z]{7,}') AS v FROM benchmark WHERE item_id % 4 = 0 AND regexp_extract(text, '[A-Za-z]{7,}') <> ''),
         files AS (SELECT doc_id, text FROM documents QUALIFY sum(octet_length(encode(text))) OVER (ORDER BY doc_id) <= 8000000),
         raw AS (SELECT doc_id, string_split(text, chr(10)) AS c FROM files),
