@@ -73,9 +73,9 @@ def role_comparison(observed: DataFrame, expected: DataFrame, keys: list[str], i
 
 
 def disposition_metrics(rows: DataFrame, expected: str, observed: str, keys: list[str] = ()) -> DataFrame:
-    """Counts and ratios of observed against expected selections (0 or 1); a ratio without a denominator is 0."""
+    """Counts and ratios of observed against expected selections (0 or 1); a ratio without a denominator is 1."""
     e, o = F.col(expected) == 1, F.col(observed) == 1
-    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    ratio = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(1.0))
     counted = rows.groupBy(*keys).agg(F.count_if(e & o).alias("n_both"), F.count_if(~e & o).alias("n_false_selected"), F.count_if(e & ~o).alias("n_false_rejected"), F.count_if(~e & ~o).alias("n_neither"))
     both, fs, fr, no = (F.col(c) for c in ("n_both", "n_false_selected", "n_false_rejected", "n_neither"))
     return counted.select(

@@ -183,8 +183,8 @@ ORACLE_SQL = {
         unnest([round(precision_at_k, 9), round(recall_at_k, 9), round(mrr, 9), round(no_match_accuracy, 9)]) AS value, unnest([0.5, 0.9, 0.2, 1.0])::DOUBLE AS threshold FROM means) SELECT * FROM g WHERE value < threshold""",
     "disposition_metrics": """WITH c AS (SELECT lang, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS b, count(*) FILTER (WHERE quality <> 1 AND toxic = 1) AS fs,
             count(*) FILTER (WHERE quality = 1 AND toxic <> 1) AS fr, count(*) FILTER (WHERE quality <> 1 AND toxic <> 1) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)
-        SELECT lang, b AS n_both, fs AS n_false_selected, fr AS n_false_rejected, n AS n_neither, round(coalesce(b / nullif(b + fs, 0), 0.0), 9) AS precision,
-        round(coalesce(b / nullif(b + fr, 0), 0.0), 9) AS recall, round(coalesce((b + n) / nullif(b + n + fs + fr, 0), 0.0), 9) AS disposition_accuracy FROM c""",
+        SELECT lang, b AS n_both, fs AS n_false_selected, fr AS n_false_rejected, n AS n_neither, round(coalesce(b / nullif(b + fs, 0), 1.0), 9) AS precision,
+        round(coalesce(b / nullif(b + fr, 0), 1.0), 9) AS recall, round(coalesce((b + n) / nullif(b + n + fs + fr, 0), 1.0), 9) AS disposition_accuracy FROM c""",
     "set_comparison": """WITH f AS (SELECT day(ts) AS day, user_id, bool_or(event_type = 'view') AS s, bool_or(event_type = 'purchase') AS w FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL)
         SELECT CAST(day AS INT) AS day, count(*) FILTER (WHERE s AND w) AS n_shared, count(*) FILTER (WHERE s AND NOT w) AS n_false_in, count(*) FILTER (WHERE w AND NOT s) AS n_false_out FROM f GROUP BY day""",
     "role_comparison": """WITH f AS (SELECT day(ts) AS day, user_id, min(event_type) FILTER (WHERE event_type IN ('view', 'click')) AS s, min(event_type) FILTER (WHERE event_type IN ('click', 'purchase')) AS w

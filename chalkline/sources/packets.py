@@ -52,7 +52,7 @@ def read_packets(spark: SparkSession, path: str) -> DataFrame:
         .when((F.size("j.requirements") > 0) & unknown, "unknown_statement")
     )
     review = F.concat_ws("#", packet["repository"], packet["pull_request"].cast("string"))
-    return read.select(F.coalesce(review, F.col("file")).alias("review_id"), packet.alias("packet"), F.col("j.requirements").alias("requirements"), F.col("j.evidence").alias("evidence"), "digest", refusal.alias("refusal"))
+    return read.select(F.coalesce(review, F.col("file")).alias("review_id"), "file", packet.alias("packet"), F.col("j.requirements").alias("requirements"), F.col("j.evidence").alias("evidence"), "digest", refusal.alias("refusal"))
 
 
 def _exploded(packets: DataFrame, column: str) -> DataFrame:
