@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import lexical, paths
 from chalkline.operators import assessment, association, convergence, delta, evaluation, facts, graph, overlap, rollups, scan
+from chalkline.operators.stateful import structural_closure
+from chalkline.sources import diffs, markdown
 
 #: Orders and events before these instants are the base revision.
 HALF_ORDERS, HALF_EVENTS = "1998-04-26", "2024-01-16"
@@ -322,13 +324,49 @@ def index_state(t: Tables) -> DataFrame:
     return overlap.index_summary(states, ["c_nationkey"])
 
 
+def diff_relations(t: Tables) -> DataFrame:
+    """Patches made of part names: a line kept, one replaced, one added."""
+    name = F.col("p_name")
+    patch = F.concat(F.lit("@@ -1,2 +1,3 @@\n "), name, F.lit("\n-old "), F.col("p_brand"), F.lit("\n+new "), F.col("p_type"), F.lit("\n+more\n@@ -10 +11 @@\n-x\n+y"))
+    lines = diffs.patch_lines(t.part.select("p_partkey", patch.alias("patch")), ["p_partkey"])
+    found = diffs.change_relations(lines, ["p_partkey"])
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["number"].cast("string"), F.lit(":"), x["text"])), "|")
+    return found.select("p_partkey", "hunk", "ordinal", "kind", text("added").alias("added"), text("removed").alias("removed"))
+
+
+def markdown_statements(t: Tables) -> DataFrame:
+    """Bodies made of benchmark texts below headings."""
+    body = F.concat(F.lit("Intro of "), F.col("item_id").cast("string"), F.lit(".\n\n## Requirements\n- "), F.translate("text", "\n", " "), F.lit("\n- no `Legacy` rows\n## Summary\n"), F.translate("text", "\n", " "), F.lit("\n"))
+    read = markdown.statements(t.benchmark.select("item_id", body.alias("body")), ["item_id"])
+    return read.select("item_id", "ordinal", "role", "purpose", "text", "line")
+
+
+def budgeted_paths(t: Tables) -> DataFrame:
+    """Supply edges of each nation's suppliers as a review: two seeds each, all budgets."""
+    edges = t.lineitem.where("l_quantity = 50").join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = edges.select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("target"), F.lit("calls").alias("relation"), F.col("l_partkey").alias("order")).distinct()
+    seeds = t.supplier.withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("n <= 2").select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.col("n").alias("order"))
+    found = graph.budgeted_paths(edges, seeds)
+    return found.select("review_id", "kind", "seed", "ordinal", F.array_join("nodes", ">").alias("path"), F.array_join("detail", ",").alias("detail"))
+
+
+def greedy_closure(t: Tables) -> DataFrame:
+    """Orders as paths of a customer: lines are symbols, the first two parts are selected, the last one is a terminal."""
+    nodes = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("nodes"))
+    paths_ = t.orders.join(nodes, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_custkey").cast("string").alias("focus_id"), F.col("o_orderkey").cast("string").alias("path_id"), F.col("o_orderpriority").alias("anchor"), F.size("nodes").alias("depth"),
+        F.col("o_orderkey").cast("int").alias("ordinal"), "nodes", F.element_at("nodes", -1).alias("terminal"), F.slice("nodes", 1, 2).alias("selected"),
+    )
+    return paths_.groupBy("focus_id").applyInPandas(structural_closure(2, 5), "focus_id string, kind string, id string")
+
+
 _OWN = (
     semantic_tokens, identifier_keys, association_signature, distinctive_terms, text_association, phrase_cohort, path_profile, arch_layer, evidence_ids,
     line_overlap, counterpart_delta, replacement_pairs, relation_delta, bounded_paths, ownership_ancestry, lca_groups, change_backbone, file_rollup,
     retained_bridges, merge_facts, canonical_target, slot_budget, partition_check, anchor_budget, verification_convergence, ci_state,
     verification_status, closure_scan, predicate_rollup, component_rollup, ordered_path, query_scores, retrieval_metrics, missed_gates,
     disposition_metrics, set_comparison, role_comparison, compared_outcomes, partition_faults, lane_union, admission_tiers, admission_state,
-    char_budget, diagnostic_groups, index_state,
+    char_budget, diagnostic_groups, index_state, diff_relations, markdown_statements, budgeted_paths, greedy_closure,
 )
 
 

@@ -212,4 +212,11 @@ ORACLE_SQL = {
     "index_state": """WITH i AS (SELECT o_custkey, CAST(CAST(floor(max(o_totalprice) / 100000) AS BIGINT) AS VARCHAR) AS h FROM orders GROUP BY 1),
         s AS (SELECT c_nationkey, CASE WHEN i.h IS NULL THEN 'missing' WHEN i.h <> CAST(CAST(floor(c_acctbal / 1000) AS BIGINT) AS VARCHAR) THEN 'stale' ELSE 'available' END AS st FROM customer LEFT JOIN i ON o_custkey = c_custkey)
         SELECT c_nationkey, CASE WHEN bool_or(st = 'stale') THEN 'stale' WHEN bool_and(st = 'missing') THEN 'missing' WHEN bool_or(st = 'missing') THEN 'partial' ELSE 'available' END AS state FROM s GROUP BY c_nationkey""",
+    "diff_relations": """SELECT p_partkey, h AS hunk, 0 AS ordinal, 'replaced' AS kind, CASE h WHEN 0 THEN '2:new ' || p_type || '|3:more' ELSE '11:y' END AS added,
+        CASE h WHEN 0 THEN '2:old ' || p_brand ELSE '10:x' END AS removed FROM part, (SELECT unnest([0, 1]) AS h)""",
+    "markdown_statements": """WITH b AS (SELECT item_id, trim(regexp_replace(regexp_replace(text, '[*~]+', '', 'g'), '\\s+', ' ', 'g')) AS t FROM benchmark)
+        SELECT item_id, o AS ordinal, CASE o WHEN 0 THEN 'intent' WHEN 1 THEN 'obligation' WHEN 2 THEN 'obligation' ELSE 'claim' END AS role,
+        CASE o WHEN 0 THEN 'intent' WHEN 1 THEN 'acceptance' WHEN 2 THEN 'acceptance' ELSE 'implementation' END AS purpose,
+        CASE o WHEN 0 THEN 'Intro of ' || item_id || '.' WHEN 1 THEN t WHEN 2 THEN 'no Legacy rows' ELSE t END AS text, CASE o WHEN 0 THEN 1 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE 7 END AS line
+        FROM b, (SELECT unnest([0, 1, 2, 3]) AS o)""",
 }
