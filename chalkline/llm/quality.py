@@ -22,6 +22,8 @@ THRESHOLD = 0.7
 SHARES = (0.0, 0.01, 0.04, 0.12, 0.35)
 #: A word or pair counts if so many sampled documents have it.
 LEAST_DOCS = 4
+#: Hashed counts that keep rare words and pairs out of memory.
+BUCKETS = 1 << 23
 #: Smoothing of counts; the hinge loss's weight; passes over the sample; rows kept to fit the curve, one in so many.
 SMOOTHING, COST, PASSES, CURVE = 1.0, 0.1, 25, 5
 PIECE = 1 << 20
@@ -115,6 +117,20 @@ def _curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def _frequent(texts: list[bytes]) -> list[bytes]:
+    """Words and pairs that LEAST_DOCS texts have: by hashed counts first, which leave out none of them, then exactly."""
+    buckets = np.zeros(BUCKETS, np.int32)
+    for text in texts:
+        hashed = {hash(g) % BUCKETS for g in grams_of(text.split())}
+        buckets[np.fromiter(hashed, np.int64, len(hashed))] += 1
+    often, exact = buckets >= LEAST_DOCS, {}
+    for text in texts:
+        for g in grams_of(text.split()):
+            if often[hash(g) % BUCKETS]:
+                exact[g] = exact.get(g, 0) + 1
+    return sorted(g for g, n in exact.items() if n >= LEAST_DOCS)
+
+
 def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
     """The model of labelled documents (text, 0 or 1)."""
     y = np.array([1.0 if label else -1.0 for _, label in rows])
@@ -122,21 +138,14 @@ def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
     if not len(y) or abs(y.sum()) == len(y):
         rate = ((y > 0).sum() + 0.5) / (len(y) + 1)
         return QualityModel(np.zeros(base), {}, 0.0, 1.0, float(np.log(rate / (1 - rate))))
-    held: dict[bytes, int] = {}
-    own = []
-    for text, _ in rows:
-        grams = grams_of(text.split())
-        own.append(grams)
-        for g in grams:
-            held[g] = held.get(g, 0) + 1
-    names = sorted(g for g, n in held.items() if n >= LEAST_DOCS)
+    names = _frequent([text for text, _ in rows])
     number = {g: base + i for i, g in enumerate(names)}
     size = base + len(names)
     features = []
-    for (text, _), grams in zip(rows, own):
-        found = [number[g] for g in grams if g in number]
-        features.append(np.unique(np.concatenate([shape_indicators(text), np.array(repeat_indicators(text.split()) + found, np.int64)])))
-    del own, held
+    for text, _ in rows:
+        words = text.split()
+        found = [number[g] for g in grams_of(words) if g in number]
+        features.append(np.unique(np.concatenate([shape_indicators(text), np.array(repeat_indicators(words) + found, np.int64)])).astype(np.int32))
     flat, lengths = np.concatenate(features), np.array([len(f) for f in features])
     label = np.repeat(y, lengths)
     p = np.bincount(flat[label > 0], minlength=size) + SMOOTHING

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chalkline.llm.common import checkpointed, id_and_text
 
 #: At most so many labelled rows, and bytes of their texts, are learned from.
-SAMPLE_ROWS, SAMPLE_BYTES = 8000, 48 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 5000, 32 << 20
 BUCKETS = 1 << 30
 
 
