@@ -70,3 +70,21 @@ def architectural_domain(path: Column) -> Column:
     inner = F.slice(parts, F.lit(2), F.greatest(F.least(F.size(parts) - 2, F.lit(2)), F.lit(0)))
     below = F.when(F.size(parts) > 2, F.array_join(inner, "/")).otherwise(F.coalesce(F.try_element_at(parts, F.lit(2)), first))
     return F.when(first.isNull(), "unclassified").when(first.isin(*V.OWN_DOMAINS), first).when(first.isin(*V.SOURCE_ROOTS), below).otherwise(first)
+
+
+def is_structural(path: Column) -> Column:
+    """Whether code graphs cover the file: by suffix, by a few names, and JSON below templates or sections."""
+    p, name, end = _normal(path), file_name(path), suffix(path)
+    folders = F.slice(F.split(p, "/"), F.lit(1), F.greatest(F.size(F.split(p, "/")) - 1, F.lit(0)))
+    return (
+        F.when(_any([p == "conf/routes", *[name.endswith(x) for x in V.STRUCTURAL_ENDS]]), True)
+        .when(name.startswith("application") & end.isin(".yml", ".yaml"), True)
+        .when(end == ".json", F.arrays_overlap(folders, F.array(F.lit("templates"), F.lit("sections"))))
+        .otherwise(end.isin(*V.STRUCTURAL_SUFFIXES))
+    )
+
+
+def path_kind(paths: Column) -> Column:
+    """test, runtime or mixed of the files along a path (an array; an empty one is mixed)."""
+    some, every = F.exists(paths, is_test_path), F.forall(paths, is_test_path)
+    return F.when((F.size(paths) > 0) & every, "test").when((F.size(paths) > 0) & ~some, "runtime").otherwise("mixed")

@@ -95,6 +95,13 @@ def blob_link(repository_url: Column, revision: Column, path: Column, first: Col
     return F.concat(repository_url, F.lit("/blob/"), revision, F.lit("/"), path, lines)
 
 
+def located(source: Column, root: Column, repository: Column, revision: Column) -> Column:
+    """A source (label, url, path, line_start, line_end) with the link to its lines, if it has a path and no url yet."""
+    link = blob_link(F.concat(root, F.lit("/"), repository), revision, F.replace(F.url_encode(source["path"]), F.lit("%2F"), F.lit("/")), source["line_start"], source["line_end"])
+    bare = F.coalesce(source["path"] != "", F.lit(False)) & (F.coalesce(source["url"], F.lit("")) == "")
+    return F.struct(source["label"].alias("label"), F.when(bare, F.replace(link, F.lit("+"), F.lit("%20"))).otherwise(source["url"]).alias("url"), source["path"].alias("path"), source["line_start"].alias("line_start"), source["line_end"].alias("line_end"))
+
+
 def diff_link(review_url: Column, path: Column, side: Column, line: Column) -> Column:
     """A change's place in the review: files are named by the digest of their path."""
     mark = F.when(side == "base", "L").otherwise("R")

@@ -58,3 +58,12 @@ ADMITTED = {
     "guardrail": ("production", "test", "document", "workflow", "configuration", "dependency", "schema"),
     "generic": ("production", "test", "document", "workflow", "configuration", "dependency", "schema", "unknown"),
 }
+
+# Kinds of symbols that code graphs hold, and suffixes of the files they cover.
+SYMBOL_KINDS = ("file", "function", "method", "class", "route", "variable", "constant")
+STRUCTURAL_SUFFIXES = (
+    ".astro .c .cc .cbl .cob .cobol .cfc .cfm .cfs .cpp .cpy .cs .cshtml .cjs .cts .cu .cuh .cxx .dart .dfm .dpk .dpr .erl .escript .ets .fmx .go .h "
+    ".hpp .hrl .hxx .inc .install .java .js .jsx .kt .kts .liquid .lpr .lua .luau .m .metal .mjs .mm .module .mts .nix .pas .php .properties .py .pyw "
+    ".r .rake .razor .rb .rs .scala .sc .sol .svelte .swift .tf .tfvars .theme .tofu .ts .tsx .vb .vue .xsjs .xsjslib .xml"
+).split()
+STRUCTURAL_ENDS = (".routes", ".app", ".app.src", ".routing.yml", ".routing.yaml")

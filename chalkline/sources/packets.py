@@ -73,3 +73,22 @@ def observations(packets: DataFrame) -> DataFrame:
 
 def supplied(packets: DataFrame) -> DataFrame:
     return packets.where("refusal is null").select("review_id", F.posexplode("evidence").alias("ordinal", "row")).select("review_id", "ordinal", "row.*")
+
+
+def checks(runs: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Observations of check runs (review_id, id, name, status, conclusion, head_sha) and commit statuses (review_id, id,
+    context, state, head_sha): a status is completed unless its state is pending or missing."""
+    text = lambda c, empty: F.when(F.coalesce(F.col(c), F.lit("")) == "", empty).otherwise(F.col(c))
+    ran = runs.select("review_id", F.concat(F.lit("check-run:"), F.col("id").cast("string")).alias("observation_id"), text("name", "check run").alias("name"), F.lit("check_run").alias("kind"), text("status", "unknown").alias("status"), F.coalesce("conclusion", F.lit("")).alias("conclusion"), "head_sha")
+    done = F.when(F.col("state").isNull() | (F.col("state") == "pending"), "pending").otherwise("completed")
+    told = statuses.select("review_id", F.concat(F.lit("commit-status:"), F.col("id").cast("string")).alias("observation_id"), text("context", "commit status").alias("name"), F.lit("commit_status").alias("kind"), done.alias("status"), F.coalesce("state", F.lit("")).alias("conclusion"), "head_sha")
+    return ran.unionByName(told)
+
+
+def linked_issues(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Source records of linked issues (review_id, repository, number, title, body, url), and reviews with more than one."""
+    named = nodes.where("number is not null").withColumn("title", F.when(F.coalesce("title", F.lit("")) == "", F.concat(F.lit("Issue #"), F.col("number").cast("string"))).otherwise(F.col("title"))).withColumn("body", F.coalesce("body", F.lit("")))
+    revision = F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\0", "title", "body").cast("binary"), 256))
+    found = named.select("review_id", F.concat(F.lit("issue:"), "repository", F.lit("#"), F.col("number").cast("string")).alias("id"), F.lit("linked_issue").alias("kind"), "repository", "url", "title", "body", revision.alias("revision"))
+    several = found.groupBy("review_id").agg(F.count("*").alias("n")).where("n > 1").select("review_id", F.lit("linked_issues_ambiguous").alias("code"), "n")
+    return found, several

@@ -217,3 +217,27 @@ def test_scan_plans(spark):
 @pytest.mark.parametrize("states, wanted", [(["no_association"], "unassociated"), (["stale_source"], "unavailable"), ([], "no_structural_evidence")])
 def test_dispositions(spark, states, wanted):
     assert one(spark, "s array<string>", (states,), graph.disposition_state(L(False), L(0), L(0), C("s"))) == wanted
+
+
+def test_structural_files_and_path_kinds(spark):
+    rows = {"a/B.PY": True, "conf/routes": True, "x/app.routing.yml": True, "application-dev.yml": True, "dev.yml": False, "templates/a.json": True, "templates.json": False, "README.md": False}
+    assert many(spark, "p string", [(p,) for p in rows], paths.is_structural(C("p"))) == list(rows.values())
+    assert many(spark, "p array<string>", [(["tests/a.py"],), (["src/a.py", "src/b.py"],), (["tests/a.py", "src/b.py"],), ([],)], paths.path_kind(C("p"))) == ["test", "runtime", "mixed", "mixed"]
+
+
+def test_located_sources(spark):
+    schema = "s struct<label:string,url:string,path:string,line_start:int,line_end:int>"
+    rows = [(("l", None, "src/a b.py", 3, 5),), (("l", "http://x", "p", 1, 1),), (("l", None, None, None, None),), (("l", None, "p", 2, 2),)]
+    got = many(spark, schema, rows, selectors.located(C("s"), L("https://h"), L("o/r"), L("sha"))["url"])
+    assert got == ["https://h/o/r/blob/sha/src/a%20b.py#L3-L5", "http://x", None, "https://h/o/r/blob/sha/p#L2"]
+
+
+def test_intake_of_checks_and_issues(spark):
+    from chalkline.sources import packets
+
+    runs = spark.createDataFrame([("r", 1, None, "completed", None, "h")], "review_id string, id int, name string, status string, conclusion string, head_sha string")
+    statuses = spark.createDataFrame([("r", 2, "ci", "success", "h"), ("r", 3, None, "pending", "h")], "review_id string, id int, context string, state string, head_sha string")
+    assert {(r.observation_id, r.name, r.status, r.conclusion) for r in packets.checks(runs, statuses).collect()} == {("check-run:1", "check run", "completed", ""), ("commit-status:2", "ci", "completed", "success"), ("commit-status:3", "commit status", "pending", "pending")}
+    nodes = spark.createDataFrame([("r", "o/r", 1, None, "b", None), ("r", "o/r", 2, "T", None, None), ("q", "o/r", None, "x", "y", None)], "review_id string, repository string, number int, title string, body string, url string")
+    found, several = packets.linked_issues(nodes)
+    assert {r.title for r in found.collect()} == {"Issue #1", "T"} and [r.review_id for r in several.collect()] == ["r"]
