@@ -33,13 +33,17 @@ def packet_digest(text: str | None) -> str | None:
 
 
 def read_packets(spark: SparkSession, path: str) -> DataFrame:
-    """review_id, packet, requirements, evidence and refusal (null if the file is fit) of JSON files at path, one review each."""
+    """parse_packets() of the JSON files at path, one review each."""
+    return parse_packets(spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file")))
+
+
+def parse_packets(raw: DataFrame) -> DataFrame:
+    """review_id, file, packet, requirements, evidence and refusal (null if the document is fit) of raw (value, file), which may be a stream."""
     import pandas as pd
 
     def digests(column: pd.Series) -> pd.Series:
         return column.map(packet_digest)
 
-    raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
     read = raw.withColumn("j", F.from_json("value", SCHEMA)).withColumn("inner", F.get_json_object("value", "$.source_packet"))
     read = read.withColumn("digest", F.pandas_udf(digests, "string")("inner"))
     packet = F.col("j.source_packet")
