@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import focus as focusing
 from chalkline.functions.lexical import distinctive_terms, identifier_keys, semantic_tokens
-from chalkline.operators import convergence, extraction, facts
+from chalkline.operators import convergence, extraction, facts, structure
 from chalkline.plans.shared import kept
 from chalkline.sources import diffs, packets
 
 #: Limits of selected anchors: direct, bridged, all.
 DIRECT, BRIDGED, ANCHORS = 20, 10, 30
+#: Claims kept of those looked at, and identities of checks.
+CLAIMS, LOOKED_AT, CHECKS = 2, 12, 20
+SLOTS = ("claim", "changed_anchor", "verification")
 PRECISION = ("structural_change", "change_relation", "changed_file")
 
 
@@ -29,6 +32,8 @@ class Review:
     notes: DataFrame
     candidates: DataFrame
     selections: DataFrame
+    claim_selections: DataFrame
+    check_selections: DataFrame
     diagnostics: DataFrame
 
 
@@ -121,6 +126,22 @@ def select_anchors(candidates: DataFrame) -> DataFrame:
     return chosen.unionByName(ranked.where("not canonical").withColumn("selected", F.lit(False)))
 
 
+def select_claims(links: DataFrame, claims: DataFrame) -> DataFrame:
+    """Claims of each focus with selected and ambiguous: they compete by tier, then by their own order."""
+    order = claims.select("review_id", F.col("statement_id").alias("claim_id"), F.regexp_extract("statement_id", "([0-9]+)$", 1).cast("int").alias("source_ordinal"))
+    rows = links.join(order, ["review_id", "claim_id"]).withColumn("slot", F.lit("claim")).withColumn("target_type", F.lit("statement")).withColumn("evidence_role", F.lit("primary")).withColumnRenamed("claim_id", "target_id")
+    rows = rows.withColumn("tier", convergence.tier_of(F.col("association"))).withColumn("relation_id", relation_id("focus_id", "slot", "target_type", "target_id", "association", "evidence_role"))
+    return convergence.competitive_slot(rows, ["review_id", "focus_id"], "tier", convergence.selection_order(), CLAIMS, LOOKED_AT).drop("tier", "place")
+
+
+def select_checks(foci: DataFrame, checks: DataFrame, heads: DataFrame) -> DataFrame:
+    """The reviewed head's checks for each focus with conflicting and selected: failures first, conflicts kept."""
+    rows = structure.check_candidates(foci, checks, heads).join(checks.select("review_id", F.col("id").alias("target_id"), "identity", "status", "conclusion"), ["review_id", "target_id"])
+    rows = rows.withColumn("target_type", F.lit("evidence")).withColumn("evidence_role", F.lit("primary")).withColumn("outcome", convergence.check_outcome(F.col("status"), F.col("conclusion")))
+    rows = rows.withColumn("relation_id", relation_id("focus_id", "slot", "target_type", "target_id", "association", "evidence_role"))
+    return convergence.check_convergence(rows, ["review_id", "focus_id"], ["identity"], "outcome", ["target_id"], CHECKS).drop("identity_place")
+
+
 def truncations(selections: DataFrame) -> DataFrame:
     """A diagnostic for each focus whose canonical anchors don't all fit, with how many there are and how many stay."""
     folded = selections.where("canonical").groupBy("review_id", "focus_id").agg(F.count("*").alias("n_canonical"), F.count_if("selected").alias("n_selected"))
@@ -145,6 +166,12 @@ def review(read: DataFrame) -> Review:
     bridges = kept(claim_bridges(links, claims, found))
     candidates = kept(anchor_candidates(foci.withColumnRenamed("statement_id", "focus_id"), found, bridges))
     selections = kept(select_anchors(candidates))
+    claim_selections = kept(select_claims(links, claims))
+    checks = kept(facts.check_facts(packets.observations(read), ["review_id"]))
+    named = foci.select("review_id", F.col("statement_id").alias("focus_id"))
+    check_selections = kept(select_checks(named, checks, read.where("refusal is null").select("review_id", "packet.head_sha")))
+    slots = selections.select("review_id", "focus_id", "slot").union(claim_selections.select("review_id", "focus_id", "slot")).union(check_selections.select("review_id", "focus_id", "slot"))
+    empty = structure.missing_slots(named, slots, SLOTS).select("review_id", "focus_id", F.lit(0).cast("long").alias("n_canonical"), F.lit(0).cast("long").alias("n_selected"), "slot", F.lit("no_association").alias("state"))
     transformed = extraction.transformation_claims(parsed)
     notes = packets.supplied(read)
     return Review(
@@ -153,9 +180,11 @@ def review(read: DataFrame) -> Review:
         predicates=extraction.predicates(transformed),
         relations=relations,
         facts=found,
-        checks=facts.check_facts(packets.observations(read), ["review_id"]),
+        checks=checks,
         notes=facts.supplied_facts(notes, ["review_id"]),
         candidates=candidates,
         selections=selections,
-        diagnostics=truncations(selections).unionByName(diffs.missing_patches(files, ["review_id"]).select("review_id", F.lit(None).cast("string").alias("focus_id"), F.lit(0).cast("long").alias("n_canonical"), F.lit(0).cast("long").alias("n_selected"), F.lit("changed_file").alias("slot"), F.col("code").alias("state"))),
+        claim_selections=claim_selections,
+        check_selections=check_selections,
+        diagnostics=truncations(selections).unionByName(empty).unionByName(diffs.missing_patches(files, ["review_id"]).select("review_id", F.lit(None).cast("string").alias("focus_id"), F.lit(0).cast("long").alias("n_canonical"), F.lit(0).cast("long").alias("n_selected"), F.lit("changed_file").alias("slot"), F.col("code").alias("state"))),
     )

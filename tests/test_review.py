@@ -162,7 +162,11 @@ def test_whole_review(read):
     assert ("o/r#2", "R1", code) in picked
     check = tables.checks.first()
     assert (check.identity.name, check.identity.provider, check.conclusion) == ("unit tests", "actions", "success")
-    assert [r.state for r in tables.diagnostics.collect()] == ["missing_patch"]
+    told = {(r.review_id, r.focus_id, r.slot, r.state) for r in tables.diagnostics.collect()}
+    assert ("o/r#1", None, "changed_file", "missing_patch") in told and ("o/r#2", "R1", "verification", "no_association") in told
+    assert not any(r == "o/r#1" and slot == "verification" for r, _, slot, _ in told)
+    assert {(r.review_id, r.focus_id, r.selected, r.conflicting) for r in tables.check_selections.collect()} == {("o/r#1", f, True, False) for f in ("R1", "R2", "G1")}
+    assert all(r.selected for r in tables.claim_selections.collect())
 
 
 def test_digest_of_supplied_notes(spark):
