@@ -32,8 +32,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group; rows of a page (the grain of its index).
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
-#: Pieces and words remembered by a worker at most (together some 200 MB).
-PIECES, WORDS = 300_000, 700_000
+#: Pieces and words remembered by a worker at most (together some 250 MB).
+PIECES, WORDS = 700_000, 400_000
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
