@@ -71,6 +71,23 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right[key]), "left_semi")
 
 
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """Rows of docs for which keep says so; keep gets a list of texts (UTF-8 bytes or None) and gives a list of booleans.
+
+    One pass without any shuffle: each row is judged by its own text and keeps all its columns.
+    """
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def unsigned_hex(column) -> F.Column:
     """A long's 64 bits as 16 lower-case hex digits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

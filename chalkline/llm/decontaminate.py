@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import bounded_batches, checkpointed, fresh, id_and_text
+from chalkline.llm.common import bounded_batches, filtered, id_and_text
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -138,17 +138,22 @@ def _search_batches(index, carry: bool):
     return run
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, matches, n_words, n_hit for every row of docs (doc_id, text); benchmark: item_id, text."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def broadcast_blocks(benchmark: DataFrame) -> list:
+    """Broadcast indexes of the benchmark (item_id, text), each of about BLOCK_BYTES of texts at most."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
     blocks = max(1, math.ceil((items.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_BYTES))
+    part = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+    index = lambda rows: BenchmarkIndex([(r[0], None if r[1] is None else bytes(r[1])) for r in rows])
+    return [benchmark.sparkSession.sparkContext.broadcast(index(part(k).collect())) for k in range(blocks)]
+
+
+def find_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, matches, n_words, n_hit for every row of docs (doc_id, text); benchmark: item_id, text."""
+    bounded_batches(docs.sparkSession)
+    indexes = broadcast_blocks(benchmark)
     rows = id_and_text(docs).withColumn("matches", F.array().cast(MATCHES))
-    for k in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(BenchmarkIndex([(r[0], None if r[1] is None else bytes(r[1])) for r in own.collect()]))
-        carry = k < blocks - 1
+    for k, index in enumerate(indexes):
+        carry = k < len(indexes) - 1
         rows = rows.select("doc_id", "text", "matches").mapInArrow(_search_batches(index, carry), f"doc_id long, {'text binary, ' * carry}matches {MATCHES}, n_words long, n_hit long")
     return rows
 
@@ -169,8 +174,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs but the contaminated ones; of rows that share a doc_id each is judged by its own text."""
-    found = contamination(docs, benchmark).where("contaminated").select("doc_id")
-    bad = checkpointed(found.distinct())
-    left, right = fresh(docs, "_doc"), fresh(docs, "_bad_id")
-    rows = docs.withColumn(left, F.col("doc_id").cast("long"))
-    return rows.join(bad.toDF(right), F.col(left).eqNullSafe(F.col(right)), "left_anti").drop(left)
+    bounded_batches(docs.sparkSession)
+    indexes = broadcast_blocks(benchmark)
+
+    def clean(texts: list[bytes | None]) -> list[bool]:
+        parts = [index.value.search(texts) for index in indexes]
+        text, start, length = (np.concatenate([p[1][i] for p in parts]) for i in (0, 3, 4))
+        hit = _covered(parts[0][0], text, start, length)
+        return (~((hit > 0) & (SHARE * hit >= parts[0][0]))).tolist()
+
+    return filtered(docs, clean)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import bounded_batches, checkpointed, fresh, id_and_text
+from chalkline.llm.common import bounded_batches, filtered, id_and_text
 from chalkline.llm.samples import held_out, learning_rows
 
 THRESHOLD = 0.3
@@ -196,8 +196,8 @@ def offending_sentences(docs: DataFrame, model: SentenceModel, least: float = TH
 
 
 def remove_toxic(docs: DataFrame, model: SentenceModel, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs but those predicted toxic; a doc_id of which any row is toxic goes."""
-    bad = checkpointed(toxicity(docs, model, threshold).where("predicted = 1").select("doc_id").distinct())
-    left, right = fresh(docs, "_doc"), fresh(docs, "_bad_id")
-    rows = docs.withColumn(left, F.col("doc_id").cast("long"))
-    return rows.join(bad.toDF(right), F.col(left).eqNullSafe(F.col(right)), "left_anti").drop(left)
+    """Rows of docs but those predicted toxic; of rows that share a doc_id each is judged by its own text."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    return filtered(docs, lambda texts: [shared.value.score(x or b"") < threshold for x in texts])
