@@ -13,12 +13,10 @@ host. Null outcomes aren't counted; repeated rows count each; empty tables give
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import fresh
+from chalkline.llm.common import checkpointed, fresh
 
 #: The contract's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -84,13 +82,14 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     known = outcomes.select(F.col("page_id").cast("long").alias("known_id"), F.col("good").cast("int").alias("good")).where("known_id is not null and good is not null")
     joined = own.join(known, F.col("page_id") == F.col("known_id"), "left")
     hosts = joined.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts = checkpointed(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     seen = hosts.where("n > 0")
     domains = seen.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("whole", F.lit(0))
     whole = suffixes.agg(F.coalesce((F.sum("good") + 1) / (F.sum("n") + 2), F.lit(0.5)).alias("mean")).withColumn("whole", F.lit(0))
-    suffixes = _shrunk(suffixes, "suffix", whole, "whole")
-    domains = _shrunk(domains, "domain", suffixes, "suffix")
+    # each level is read by its fit and by two more steps
+    suffixes = checkpointed(_shrunk(suffixes, "suffix", checkpointed(whole), "whole"))
+    domains = checkpointed(_shrunk(checkpointed(domains), "domain", suffixes, "suffix"))
     scored = _shrunk(seen, "host", domains.select("domain", "mean"), "domain").select("host", "mean", "weight")
     # hosts without outcomes: the posterior of the nearest level that has some
     parents = domains.select(F.col("domain"), F.col("mean").alias("domain_mean"), F.col("weight").alias("domain_weight"))
