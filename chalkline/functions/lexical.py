@@ -48,6 +48,15 @@ def merge_signatures(*signatures: Column) -> Column:
     return F.struct(merged(*[s["identifiers"] for s in signatures]).alias("identifiers"), merged(*[s["tokens"] for s in signatures]).alias("tokens"))
 
 
+def each(rows: DataFrame, array: Column | str, name: str, *keep) -> DataFrame:
+    """keep and a row for each element of array, as name; nulls are left out.
+
+    An outer explode and a filter: for a plain explode Spark adds a filter on the array's size below it, which computes
+    costly arrays twice.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def distinctive_terms(rows: DataFrame, keys: list[str], tokens: str = "tokens", corpus: list[str] = ()) -> DataFrame:
     """keys and term for every token that at most half of the distinct token sets of its corpus have (one at least).
 
@@ -56,8 +65,8 @@ def distinctive_terms(rows: DataFrame, keys: list[str], tokens: str = "tokens",
     corpus = list(corpus)
     sets = rows.select(*corpus, F.array_sort(F.array_distinct(tokens)).alias("set")).distinct()
     sizes = sets.groupBy(*corpus).agg(F.greatest(F.floor(F.count("*") / 2), F.lit(1)).alias("most"))
-    frequency = sets.select(*corpus, F.explode("set").alias("term")).groupBy(*corpus, "term").agg(F.count("*").alias("sets_with"))
+    frequency = each(sets, "set", "term", *corpus).groupBy(*corpus, "term").agg(F.count("*").alias("sets_with"))
     kept = frequency.join(sizes, corpus) if corpus else frequency.crossJoin(F.broadcast(sizes))  # one row
     kept = kept.where("sets_with <= most").select(*corpus, "term")
-    own = rows.select(*dict.fromkeys([*corpus, *keys]), F.explode(F.array_distinct(tokens)).alias("term"))
+    own = each(rows, F.array_distinct(tokens), "term", *dict.fromkeys([*corpus, *keys]))
     return own.join(kept, [*corpus, "term"]).select(*dict.fromkeys([*corpus, *keys]), "term")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.functions.lexical import distinctive_terms
+from chalkline.functions.lexical import distinctive_terms, each
 
 #: Rows of a token index that may be broadcast.
 INDEX_ROWS = 200_000
@@ -19,12 +19,13 @@ def text_association(foci: DataFrame, facts: DataFrame, focus_key: str, fact_key
     """focus_key, fact_key, n_shared, n_distinctive and matched_terms (joined) of pairs that share two tokens, one of them distinctive.
 
     foci and facts have a key and tokens (sorted distinct). Tokens meet through an inverted index, so only pairs with a
-    common token exist; counts are combined before the shuffle.
+    common token exist. Facts dealt by their key beforehand (facts.repartition(n, fact_key)) stay where they are: pairs are
+    then counted without a shuffle of their own, as a fact's pairs are all with it.
     """
-    index = foci.select(focus_key, F.explode("tokens").alias("term"))
+    index = each(foci, "tokens", "term", focus_key)
     telling = distinctive_terms(foci, [focus_key]).withColumn("telling", F.lit(1))
     index = index.join(telling, [focus_key, "term"], "left").select(focus_key, "term", F.coalesce("telling", F.lit(0)).alias("telling"))
-    own = facts.select(fact_key, F.explode("tokens").alias("term"))
+    own = each(facts, "tokens", "term", fact_key)
     pairs = own.join(indexed(index, index.count()), "term")
     counted = pairs.groupBy(focus_key, fact_key).agg(F.count("*").alias("n_shared"), F.sum("telling").alias("n_distinctive"), F.array_sort(F.collect_list(F.when(F.col("telling") == 1, F.col("term")))).alias("terms"))
     kept = counted.where("n_shared >= 2 and n_distinctive >= 1")

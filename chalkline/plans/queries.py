@@ -29,7 +29,7 @@ def _joined(column: str) -> Column:
 
 
 def semantic_tokens(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.explode(lexical.semantic_tokens(F.col("text"))).alias("token"))
+    return lexical.each(t.documents, lexical.semantic_tokens(F.col("text")), "token", "doc_id")
 
 
 def identifier_keys(t: Tables) -> DataFrame:
@@ -49,7 +49,9 @@ def distinctive_terms(t: Tables) -> DataFrame:
 
 def _association(t: Tables) -> DataFrame:
     signed = lambda df, key: df.select(key, lexical.semantic_tokens(F.col("text")).alias("tokens"))
-    return association.text_association(signed(t.benchmark, "item_id"), signed(t.documents, "doc_id"), "item_id", "doc_id")
+    # dealt by document once; the pairs, many times as many rows, are never shuffled
+    dealt = t.documents.select("doc_id", "text").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return association.text_association(signed(t.benchmark, "item_id"), signed(dealt, "doc_id"), "item_id", "doc_id")
 
 
 def text_association(t: Tables) -> DataFrame:
