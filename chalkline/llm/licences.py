@@ -1,8 +1,8 @@
 """Licence scans: TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest directory above.
 
 Units are the lines of every document, and the whole text of licence files (by their names). Terms are runs of a-z and
-0-9, A-Z lower-cased, joined by inner dots and hyphens. A template term's IDF is ln((1 + N) / (1 + df)) over all N
-documents; any other term counts as found in none. A unit's licence is that of the template with the largest cosine, if
+0-9, A-Z lower-cased, joined by inner dots and hyphens. A term's IDF is ln((1 + N) / (1 + df)), its document frequency
+df counted over all N documents, for terms of templates and of units alike. A unit's licence is that of the template with the largest cosine, if
 it reaches LEAST_COSINE. Only units that share an anchor can: a template's anchors are its heaviest terms, so many that
 the rest of its vector is shorter than LEAST_COSINE.
 
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import checkpointed, maybe_broadcast
+from chalkline.llm.common import BROADCAST_ROWS, checkpointed, maybe_broadcast
 
 LEAST_COSINE = 0.7
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -82,6 +82,17 @@ def anchors_of(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(found)
 
 
+def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """term and df, the rows of docs (text) that have it, for every term of terms (term)."""
+    wanted = checkpointed(terms)
+    seen = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
+    rows = wanted.count()
+    if rows <= BROADCAST_ROWS:
+        return seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # too many terms to send to all tasks: counts are shuffled, not the words
+    return seen.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+
+
 def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
     """doc_id, text_key, licence and score of the best unit for each text of docs (doc_id, path, text) that has one."""
     vocabulary = sorted({t for _, text in templates for t in local_terms(text)})
@@ -90,7 +101,6 @@ def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     frequency = {r["term"]: r["count"] for r in seen.collect()}  # a row for each template term at most
     total = docs.count()
     idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) for t in vocabulary}
-    rare = math.log(1 + total)
     vectors = template_vectors(idf, templates)
     anchors = anchors_of(vectors, least)
     spark = docs.sparkSession
@@ -106,8 +116,11 @@ def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     # rows that repeat scale a unit's counts alike, which leaves its cosines as they are
     keys = ["doc_id", "text_key", "unit"]
     counts = rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    counts = counts.join(F.broadcast(idfs), F.col("term") == F.col("i_term"), "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    counts = checkpointed(counts.select(*keys, "term", "x"))
+    counts = checkpointed(counts)
+    other = document_frequencies(docs, counts.select("term").where(~F.col("term").isin(vocabulary)).distinct())
+    idfs = checkpointed(idfs.union(other.select("term", F.log((1.0 + total) / (1 + F.col("df"))))))
+    counts = counts.join(maybe_broadcast(idfs, idfs.count()), F.col("term") == F.col("i_term"))
+    counts = checkpointed(counts.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("x")))
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = counts.join(F.broadcast(weights), F.col("term") == F.col("t_term")).groupBy(*keys, "template", "licence").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     on = [F.col(f"d.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]

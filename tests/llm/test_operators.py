@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -395,3 +396,20 @@ def test_licences(spark):
     assert got[3] == (None, "GPL-3.0", "a/b") and got[5] == (None, "Apache-2.0", "a")
     assert got[4] == got[6] == got[8] == got[9] == (None, None, None)
     assert licences.licences(table.where("false"), F.col("path")).count() == 0
+
+
+def test_licence_terms_count_over_all_documents(spark):
+    notice = "Copyright Foo. Licensed under the Apache License, Version 2.0."
+    rows = [(0, notice), *[(i, "copyright foo " + "bar " * (i % 3)) for i in range(1, 400)]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r.doc_id: r for r in licences.licences(table).collect()}[0]
+    sets = [set(licences.local_terms(t)) for _, t in rows]
+    idf = lambda w: math.log((1 + len(rows)) / (1 + sum(w in s for s in sets)))
+    unit = {w: licences.local_terms(notice).count(w) * idf(w) for w in licences.local_terms(notice)}
+    cosines = []
+    for name, text in licences.TEMPLATES:
+        own = licences.local_terms(text)
+        other = {w: own.count(w) * idf(w) for w in own}
+        cosines.append((sum(x * unit.get(w, 0) for w, x in other.items()) / math.hypot(*unit.values()) / math.hypot(*other.values()), name))
+    assert terms.own_licence == max(cosines)[1] == "Apache-2.0"
+    assert terms.own_score == pytest.approx(max(cosines)[0], abs=2e-6) and terms.own_score > 0.99
