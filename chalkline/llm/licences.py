@@ -1,6 +1,8 @@
 """Licence scans: TF-IDF cosine of lines and licence files to templates, then inheritance from the nearest directory above.
 
-Units are the lines of every document, and the whole text of licence files (by their names). Terms are runs of a-z and
+Units are the lines and the paragraphs of every document (runs of lines that aren't empty without their comment marks),
+its leading comment, and the whole text of licence files (by their names). Templates are notices of one line, and the
+wrapped notices and texts of WRAPPED. Terms are runs of a-z and
 0-9, A-Z lower-cased, joined by inner dots and hyphens. A term's IDF is ln((1 + N) / (1 + df)), its document frequency
 df counted over all N documents, for terms of templates and of units alike. A unit's licence is that of the template with the largest cosine, if
 it reaches LEAST_COSINE. Only units that share an anchor can: a template's anchors are its heaviest terms, so many that
@@ -43,6 +45,64 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+_MIT_GRANT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, '
+    "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    ' THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+    " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_GNU_NOTICE = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+    " You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+)
+#: Notices of several lines, and the texts of licences that are short enough to stand whole in a file.
+WRAPPED = (
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+        ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
+        " See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+        " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+        " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+        " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+        ' THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+        " IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION)"
+        " HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    ("GPL-3.0", _GNU_NOTICE.format("program", "")),
+    ("LGPL-3.0", _GNU_NOTICE.format("library", "Lesser ").partition(" This library is dist")[0]),
+    ("LGPL-3.0", _GNU_NOTICE.format("library", "Lesser ")),
+    ("MIT", _MIT_GRANT),
+    ("MIT", _MIT_GRANT + _MIT_REST),
+)
+#: Comment marks that lines begin and end with.
+OPENS = r"^[ \t]*(?:/\*+!?|\*+/?|//+!?|#+!?|--+|;+|%+|<!--|\"{3}|'{3})?[ \t]*"
+CLOSES = r"[ \t\r]*(?:\*+/|-->|\"{3}|'{3})?[ \t\r]*$"
+COMMENT = r"^[ \t]*(?:\*|//|#|--|;|%)"
+
+
+def paragraphs_of(lines: Column) -> Column:
+    """The runs of two lines or more that aren't empty without their comment marks."""
+    bare = F.transform(lines, lambda x: F.regexp_replace(F.regexp_replace(x, OPENS, ""), CLOSES, ""))
+    runs = F.split(F.array_join(bare, "\n"), "\n{2,}", -1)
+    return F.filter(runs, lambda x: F.contains(x, F.lit("\n")))
+
+
+def header_of(text: Column, lines: Column) -> Column:
+    """The comment that the text begins with, as an array of one; empty where there is none."""
+    plain = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), F.lit(False)).cast("int")
+    marked = F.when(plain == 0, F.array_join(lines, "\n")).otherwise(F.array_join(F.slice(lines, F.lit(1), F.greatest(plain - 1, F.lit(0))), "\n"))
+    block = lambda opens, closes: F.when(text.rlike(r"^\s*" + opens), F.split(text, closes, 2)[0])
+    return F.array(F.coalesce(block(r"/\*", r"\*/"), block("<!--", "-->"), marked))
+
 
 def default_path() -> Column:
     """Paths for a table without any: sixteen documents to a directory, the first of them its licence file."""
@@ -93,7 +153,7 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return seen.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
 
 
-def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def unit_licences(docs: DataFrame, templates=TEMPLATES + WRAPPED, least: float = LEAST_COSINE) -> DataFrame:
     """doc_id, text_key, licence and score of the best unit for each text of docs (doc_id, path, text) that has one."""
     vocabulary = sorted({t for _, text in templates for t in local_terms(text)})
     words = F.array(*[F.lit(t) for t in vocabulary])
@@ -109,7 +169,8 @@ def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     heads = F.array(*[F.lit(t) for t in anchors]) if anchors else F.array().cast("array<string>")
     name = F.substring_index("path", "/", -1)
     lines = F.split("text", "\n", -1)
-    units = F.when(name.rlike(LICENCE_FILE), F.concat(lines, F.array("text"))).otherwise(lines)
+    parts = F.concat(lines, paragraphs_of(lines), header_of(F.col("text"), lines))
+    units = F.when(name.rlike(LICENCE_FILE), F.concat(parts, F.array("text"))).otherwise(parts)
     near = docs.where(F.arrays_overlap(terms_of(F.col("text")), heads))
     rows = near.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(units).alias("unit", "line"))
     rows = rows.select("doc_id", "text_key", "unit", terms_of(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", heads))
@@ -128,7 +189,7 @@ def unit_licences(docs: DataFrame, templates=TEMPLATES, least: float = LEAST_COS
     return scored.groupBy("doc_id", "text_key").agg(F.min(F.struct((-F.col("score")).alias("rank"), "licence")).alias("best")).select("doc_id", "text_key", F.col("best")["licence"].alias("licence"), (-F.col("best")["rank"]).alias("score"))
 
 
-def licences(docs: DataFrame, path: Column | None = None, templates=TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def licences(docs: DataFrame, path: Column | None = None, templates=TEMPLATES + WRAPPED, least: float = LEAST_COSINE) -> DataFrame:
     """doc_id, path, own_licence, own_score, licence and inherited_from (a directory) for every row of docs (doc_id, text)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (default_path() if path is None else path).alias("path"))
     best = checkpointed(unit_licences(own, templates, least))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -413,3 +414,28 @@ def test_licence_terms_count_over_all_documents(spark):
         cosines.append((sum(x * unit.get(w, 0) for w, x in other.items()) / math.hypot(*unit.values()) / math.hypot(*other.values()), name))
     assert terms.own_licence == max(cosines)[1] == "Apache-2.0"
     assert terms.own_score == pytest.approx(max(cosines)[0], abs=2e-6) and terms.own_score > 0.99
+
+
+def wrapped(text, mark=""):
+    return "\n".join(mark + line for line in textwrap.wrap(text, 72 - len(mark)))
+
+
+def test_wrapped_notices(spark):
+    texts_of = {name: text for name, text in licences.WRAPPED}
+    mit = "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + "\n\n".join(wrapped(x) for x in re.split(r" (?=The above copyright|THE SOFTWARE IS PROVIDED)", texts_of["MIT"], flags=re.M))
+    gpl = [wrapped(x, " * ") for x in re.split(r" (?=This program is distributed|You should have)", texts_of["GPL-3.0"])]
+    rows = [
+        (0, mit, "m/LICENSE", "MIT"),
+        (1, "int main;", "m/x.c", "MIT"),
+        (2, "/*\n" + "\n *\n".join(gpl) + "\n */\nint main;\nint other;", "g/x.c", "GPL-3.0"),
+        (3, "int main;\n\n/*\n" + gpl[0] + "\n */\nint other;", "g/y.c", "GPL-3.0"),
+        (4, "#!/bin/sh\n# Copyright Foo\n#\n" + wrapped(texts_of["Apache-2.0"], "# ") + "\nset -e\nls", "a/x.sh", "Apache-2.0"),
+        (5, wrapped(texts_of["BSD-3-Clause"], "// ") + "\n\ncode", "b/x.go", "BSD-3-Clause"),
+        (6, "// " + wrapped(licences._MIT_GRANT, "// ")[3:] + "\ncode", "c/x.js", "MIT"),
+        (7, wrapped(texts_of["LGPL-3.0"], "# "), "l/x.py", "LGPL-3.0"),
+        (8, "the use of the software\nis the license of version\npublic", "n/x.txt", None),
+    ]
+    rows += [(i, " ".join(random.Random(i).choices("the of software is use and in to any or copy file version".split(), k=12)), "z/x.txt", None) for i in range(9, 300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, path string, wanted string")
+    got = {r.doc_id: r.licence for r in licences.licences(table, F.col("path")).collect()}
+    assert got == {r[0]: r[3] for r in rows}
