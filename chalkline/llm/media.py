@@ -1,9 +1,11 @@
 """Media columns: payloads as 8-bit mono WAV files, read back by the wave module, with spectral-peak fingerprints.
 
 A text's UTF-8 bytes, with bytes 0 up to a positive multiple of BLOCK, are the samples. The stored file is read with
-the wave module; a short-time Fourier transform (Hann window, FRAME samples, HOP apart) gives a peak for each band of
+the wave module; a short-time Fourier transform (Hann window, FRAME samples, HOP apart, so that a passage moved by any
+number of blocks has the same frames; silence before the first and after the last sample fills those at the ends) gives a peak for each band of
 BANDS and frame that stands out; each peak is paired with the next PAIRS peaks within SPAN frames, as a time-coded
-number: frame << 24 | first bin << 16 | second bin << 8 | frames between.
+number: frame << 24 | first bin << 16 | second bin << 8 | frames between. Where no peak has a later one, peaks of one frame are
+paired, with no frames between.
 
 Null texts count as empty and give one block of silence, without peaks; equal texts give equal values; repeated rows
 are repeated; an empty table gives an empty table; other columns are left out. Long payloads are transformed in
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from chalkline.llm.common import bounded_batches, id_and_text
 
 BLOCK, RATE = 64, 8000
-FRAME, HOP = 256, 256
+FRAME, HOP = 256, BLOCK
 #: Ends of the bands of bins in which a frame's peak is looked for.
 BANDS = (1, 16, 48, 128)
-PAIRS, SPAN, PIECE = 2, 32, 4096
+PAIRS, SPAN, PIECE = 2, 128, 4096
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
     "feature string, n_peaks long, landmarks array<long>"
@@ -57,6 +59,7 @@ def read_back(media: bytes) -> bytes:
 def peaks_of(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames and bins of the spectral peaks of 8-bit samples."""
     frames, bins = [], []
+    samples = np.pad(samples, (FRAME - HOP, 0), constant_values=128)  # silence, so every sample is in FRAME / HOP frames
     count = max(1, -(-len(samples) // HOP))
     window = np.hanning(FRAME).astype(np.float32)
     for k in range(0, count, PIECE):
@@ -87,6 +90,9 @@ def landmarks_of(frames: np.ndarray, bins: np.ndarray) -> np.ndarray:
         near = frames[j] - frames[i] <= SPAN
         i, j = i[near], j[near]
         out.append(frames[i] << 24 | bins[i] << 16 | bins[j] << 8 | (frames[j] - frames[i]))
+    if not any(map(len, out)):
+        i = np.flatnonzero(frames[1:] == frames[:-1])
+        out.append(frames[i] << 24 | bins[i] << 16 | bins[i + 1] << 8)
     return np.sort(np.concatenate(out))
 
 

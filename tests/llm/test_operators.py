@@ -439,3 +439,18 @@ def test_wrapped_notices(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, path string, wanted string")
     got = {r.doc_id: r.licence for r in licences.licences(table, F.col("path")).collect()}
     assert got == {r[0]: r[3] for r in rows}
+
+
+@pytest.mark.parametrize("shift", [64, 128, 192])
+def test_media_finds_a_passage_elsewhere(shift):
+    rng = random.Random(3)
+    text = " ".join(rng.choices(WORDS, k=600)).encode()
+    pairs = [{m & (1 << 24) - 1 for m in media.media_row(data)[-2].tolist()} for data in (text, b"x" * shift + text)]
+    assert len(pairs[0] & pairs[1]) >= 0.97 * len(pairs[0])
+
+
+def test_media_short_texts_have_landmarks():
+    rng = random.Random(4)
+    for n in range(4, 60):
+        assert len(media.media_row(" ".join(rng.choices(WORDS, k=n)).encode()[:256])[-2])
+        assert len(media.media_row(" ".join(rng.choices(WORDS, k=n)).encode()[:n])[-2])
