@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import bounded_batches, checkpointed, id_and_text, keep_ids, maybe_broadcast, unsigned_hex
+from chalkline.llm.common import bounded_batches, checkpointed, fresh, id_and_text, keep_ids, maybe_broadcast, unsigned_hex
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -248,12 +248,8 @@ def connected(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to) for every row of docs.
-
-    Null and empty texts have fingerprint 0; null doc_ids count as larger than others and get a null component only
-    where no other id is in it; repeated rows are repeated; an empty table gives an empty table.
-    """
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, root (the component's least fp that links lead to) and component_id for every row of docs."""
     marked = checkpointed(fingerprints(docs))
     codes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected(near_links(codes.select("fp")))
@@ -262,15 +258,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # The roots' members can be many for one root: both sides of this join are plain tables that AQE can split.
     rooted = checkpointed(roots.join(codes, "fp").select("fp", "root", "first_id"))
     firsts = checkpointed(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    joined = checkpointed(rooted.select("fp", "root").join(firsts, "root").select("fp", "component_id"))
-    classes = checkpointed(codes.join(joined, "fp", "left").select(F.col("fp").alias("code"), F.coalesce("component_id", "first_id").alias("component_id")))
-    return marked.join(classes, F.col("fp") == F.col("code"), "left").select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
+    joined = checkpointed(rooted.select("fp", "root").join(firsts, "root").select("fp", "root", "component_id"))
+    classes = codes.join(joined, "fp", "left").select(F.col("fp").alias("code"), F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    classes = checkpointed(classes)
+    return marked.join(classes, F.col("fp") == F.col("code"), "left").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (least doc_id that links lead to) for every row of docs.
+
+    Null and empty texts have fingerprint 0; null doc_ids count as larger than others and get a null component only
+    where no other id is in it; repeated rows are repeated; an empty table gives an empty table.
+    """
+    return components(docs).select("doc_id", unsigned_hex("fp").alias("fingerprint"), "component_id")
+
+
+def _with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of fingerprints; no shuffle."""
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            values = np.array([fingerprint(x) for x in batch.column(at).cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64), pa.int64())], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate component: that with the least doc_id; of its repeated rows one."""
-    found = near_duplicates(docs)
-    kept = checkpointed(found.groupBy("component_id").agg(F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int")).alias("copies")))
-    single = keep_ids(docs, kept.where("copies <= 1").select("component_id"))
-    again = kept.where("copies > 1")
-    return single if again.isEmpty() else single.union(keep_ids(docs, again.select("component_id")).dropDuplicates(["doc_id"]))
+    """docs with one document of each near-duplicate component: that with the least doc_id (nulls last); of its rows one.
+
+    Components are told apart by their root fingerprints, so rows with null or repeated doc_ids that no links join all stay.
+    """
+    found = checkpointed(components(docs).select("doc_id", "fp", "root"))
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp")).alias("least"))
+    kept = checkpointed(least.select(F.col("least")["doc_id"].alias("doc_id"), F.col("least")["fp"].alias("fp")))
+    repeated = checkpointed(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    single = keep_ids(docs, kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select("doc_id"))
+    doubtful = kept.where("doc_id is null").union(kept.join(repeated, "doc_id", "left_semi"))
+    if doubtful.isEmpty():
+        return single
+    # rows that doc_id alone doesn't tell apart: by their fingerprints too
+    name = fresh(docs, "_fp")
+    rows = _with_fingerprints(docs.where("doc_id is null").union(keep_ids(docs, repeated)), name)
+    right = doubtful.toDF("_wanted_id", "_wanted_fp")
+    same = rows["doc_id"].cast("long").eqNullSafe(right["_wanted_id"]) & (rows[name] == right["_wanted_fp"])
+    return single.union(rows.join(right, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name))

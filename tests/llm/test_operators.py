@@ -454,3 +454,14 @@ def test_media_short_texts_have_landmarks():
     for n in range(4, 60):
         assert len(media.media_row(" ".join(rng.choices(WORDS, k=n)).encode()[:256])[-2])
         assert len(media.media_row(" ".join(rng.choices(WORDS, k=n)).encode()[:n])[-2])
+
+
+def test_representatives_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    text = [" ".join(rng.choices(WORDS, k=60)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (8, text[4]), (None, text[4]), (9, text[5])]
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, fp int").repartition(3)
+    kept = simhash.keep_representatives(table)
+    assert kept.columns == table.columns
+    wanted = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4]), (9, text[5])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
