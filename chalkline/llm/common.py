@@ -71,17 +71,34 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right[key]), "left_semi")
 
 
-def filtered(docs: DataFrame, keep) -> DataFrame:
+def gathered(batches, column: int, size: int):
+    """Arrow batches joined until the binary column has so many bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, used = [], 0
+    for batch in batches:
+        held.append(batch)
+        used += pc.sum(pc.binary_length(batch.column(column).cast(pa.binary()))).as_py() or 0
+        if used >= size:
+            yield pa.concat_batches(held)
+            held, used = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def filtered(docs: DataFrame, keep, size: int = 0) -> DataFrame:
     """Rows of docs for which keep says so; keep gets a list of texts (UTF-8 bytes or None) and gives a list of booleans.
 
-    One pass without any shuffle: each row is judged by its own text and keeps all its columns.
+    One pass without any shuffle: each row is judged by its own text and keeps all its columns; size: bytes of texts
+    that keep gets at once, where there are so many.
     """
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in gathered(batches, at, size):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array(keep(texts), pa.bool_()))
 

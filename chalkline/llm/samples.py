@@ -17,9 +17,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
-    """Texts and labels of rows that aren't held out: of all labelled ones, those whose hashed doc_id comes first.
+    """Texts and labels of documents that aren't held out: of all labelled ones, those whose hashed doc_id comes first.
 
-    Null labels are skipped; of several labels of a document the largest counts; null texts count as empty.
+    A document whose text doesn't fit into what is left of the bytes is passed over. Null labels are skipped; of several
+    labels of a document the largest counts, of several texts the first in byte order; null texts count as empty.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("key"), F.col(label).cast("int").alias("y")).where("key is not null and y is not null")
     own = own.where(~held_out(F.col("key"))).groupBy("key").agg(F.max("y").alias("y"))
@@ -28,14 +29,13 @@ def learning_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = SA
     # the share of the buckets that has rows enough, with some to spare; the exact cut follows
     share = min(1.0, 1.1 * rows / max(1, total) + 50 / max(1, total))
     picked = own.withColumn("bucket", bucket).where(F.col("bucket") < int(share * BUCKETS))
-    texts = id_and_text(docs)
-    found = checkpointed(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("key")).select("bucket", "key", "y", F.coalesce("text", F.lit(b"")).alias("text")))
-    sizes = found.select("bucket", "key", F.length("text").alias("n")).orderBy("bucket", "key", "n").limit(rows).collect()
-    used, last = 0, (-1, -1)
+    found = id_and_text(docs).join(F.broadcast(picked), F.col("doc_id") == F.col("key"))
+    found = checkpointed(found.groupBy("bucket", "key", "y").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text")))
+    sizes = found.select("bucket", "key", F.length("text").alias("n")).orderBy("bucket", "key").limit(rows).collect()
+    left, fitting = size, []
     for r in sizes:
-        used += r["n"]
-        if used > size:
-            break
-        last = (r["bucket"], r["key"])
-    kept = found.where((F.col("bucket") < last[0]) | ((F.col("bucket") == last[0]) & (F.col("key") <= last[1])))
-    return [(bytes(r["text"]), r["y"]) for r in sorted(kept.select("bucket", "key", "y", "text").collect())]
+        if r["n"] <= left:
+            left -= r["n"]
+            fitting.append((r["key"],))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(fitting, "fitting long"))  # at most so many rows as the sample
+    return [(bytes(r["text"]), r["y"]) for r in sorted(found.join(kept, F.col("key") == F.col("fitting")).select("bucket", "key", "y", "text").collect())]
