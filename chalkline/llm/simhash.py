@@ -11,8 +11,9 @@ rank and split into groups of FAN; a group keeps the bits that all its members s
 groups likewise. A pair of groups is pruned as soon as the patterns differ in more than MAX_BITS commonly masked bits,
 or if all members of both are linked already. A node gives a spanning forest of its links, never all pairs.
 
-A node of more than NODE_ROWS members is split into hashed parts, and each pair of parts is a task's work of its own.
-Equal fingerprints are one row from the start, however many documents have them.
+A node of more than NODE_ROWS members gets lower nodes, by masks of further blocks of the bits its own mask leaves
+free, and so on: each level copies a member a fixed number of times, whatever the node's size, and a node with few free
+bits has few members. Equal fingerprints are one row from the start, however many documents have them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from chalkline.llm.common import bounded_batches, checkpointed, fresh, id_and_te
 MAX_BITS = 4
 SHINGLE = 4
 SEED = 42
-NODE_ROWS = 4096
+#: Members of a node that has no lower nodes; free bits of a mask from which nodes are that small anyway.
+NODE_ROWS, FEW_FREE = 4096, 12
 FAN = 16
 PIECE = 1 << 20
 SPACE = b" \t\n\x0b\x0c\r"
@@ -199,31 +201,47 @@ def _node_links(parts):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in links(*(np.concatenate(x) for x in zip(*held)))], ["a", "b"])
 
 
+def lower_masks(mask: int, blocks: int, max_bits: int = MAX_BITS) -> list[int]:
+    """Masks that add whole blocks of the bits mask leaves free: codes that agree in mask and differ in max_bits others agree in one of them."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    edges = [round(i * len(free) / blocks) for i in range(blocks + 1)]
+    whole = [sum(1 << i for i in free[a:b]) for a, b in zip(edges, edges[1:])]
+    return [mask | sum(x) for x in combinations(whole, blocks - max_bits)]
+
+
 def block_masks(rows: int, max_bits: int = MAX_BITS) -> list[int]:
     """Masks of the first level: so many blocks that unrelated fingerprints seldom share a node."""
-    blocks = max_bits + (2 if rows < 1 << 23 else 3 if rows < 1 << 29 else 4)
-    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    whole = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    return [sum(x) for x in combinations(whole, blocks - max_bits)]
+    return lower_masks(0, max_bits + (2 if rows < 1 << 23 else 3 if rows < 1 << 29 else 4), max_bits)
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _keyed(masked: DataFrame) -> DataFrame:
+    """masked: fp, mask. Adds the key of the node. Nodes whose 64-bit keys collide are searched together; every pair's distance is tested, so nothing changes."""
+    return masked.select("fp", "mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+
+
 def near_links(codes: DataFrame) -> DataFrame:
     """codes: distinct fp. (a, b) so that chains of rows join exactly the fingerprints that chains of links join."""
     spark = codes.sparkSession
-    masks = block_masks(codes.count())
-    keyed = codes.select("fp", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("table", "mask")).select("fp", F.xxhash64("table", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
-    # Nodes whose 64-bit keys collide are searched together; the distance is tested for every pair, so nothing changes.
-    large = checkpointed(keyed.groupBy("key").count().where(F.col("count") > NODE_ROWS).select(F.col("key").alias("large_key"), F.ceil(F.col("count") / (NODE_ROWS // 2)).cast("int").alias("parts")))
-    held = large.count()
-    if held:
-        keyed = keyed.join(maybe_broadcast(large, held), F.col("key") == F.col("large_key"), "left")
-        part = F.pmod(F.xxhash64("fp", F.lit(1)), F.coalesce("parts", F.lit(1))).cast("int")
-        keyed = keyed.withColumn("part", part).select("fp", "key", "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("other"))
-        keyed = keyed.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    keyed = _keyed(codes.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in block_masks(codes.count())])).alias("mask")))
+    whole = None
+    while True:
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("mask").alias("own_mask")).where(F.col("members") > NODE_ROWS)
+        large = checkpointed(sizes.select(F.col("key").alias("large_key"), "own_mask"))
+        masks = [r["own_mask"] for r in large.select("own_mask").distinct().collect()]  # at most as many as this level has masks
+        finer = [(m, [_signed(x) for x in lower_masks(m % (1 << 64), MAX_BITS + 2)]) for m in masks if 64 - (m % (1 << 64)).bit_count() > FEW_FREE]
+        if not finer:
+            break
+        split = spark.createDataFrame(finer, "split_mask long, lower array<long>")
+        marked = keyed.join(maybe_broadcast(large.select("large_key"), large.count()), F.col("key") == F.col("large_key"), "left")
+        marked = checkpointed(marked.join(F.broadcast(split), F.col("large_key").isNotNull() & (F.col("mask") == F.col("split_mask")), "left"))
+        done = marked.where("lower is null").select("fp", "mask", "key")
+        whole = done if whole is None else whole.union(done)
+        keyed = checkpointed(_keyed(marked.where("lower is not null").select("fp", F.explode("lower").alias("mask")).distinct()))
+    keyed = keyed if whole is None else whole.union(keyed)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
     dealt = keyed.select("key", "fp").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_node_links, "a long, b long").distinct()
@@ -292,7 +310,8 @@ def _with_fingerprints(docs: DataFrame, name: str) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """docs with one document of each near-duplicate component: that with the least doc_id (nulls last); of its rows one.
 
-    Components are told apart by their root fingerprints, so rows with null or repeated doc_ids that no links join all stay.
+    Components are told apart by their root fingerprints, so rows with null or repeated doc_ids that no links join all
+    stay; of a doc_id's rows in one component that with the least fingerprint stays, then that whose text sorts first.
     """
     found = checkpointed(components(docs).select("doc_id", "fp", "root"))
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp")).alias("least"))
@@ -307,4 +326,5 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     rows = _with_fingerprints(docs.where("doc_id is null").union(keep_ids(docs, repeated)), name)
     right = doubtful.toDF("_wanted_id", "_wanted_fp")
     same = rows["doc_id"].cast("long").eqNullSafe(right["_wanted_id"]) & (rows[name] == right["_wanted_fp"])
-    return single.union(rows.join(right, same, "left_semi").dropDuplicates(["doc_id", name]).drop(name))
+    least = rows.join(right, same, "left_semi").groupBy("doc_id", name).agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
+    return single.union(least.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
