@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import BROADCAST_ROWS, checkpointed, maybe_broadcast
+from chalkline.llm.common import checkpointed, maybe_broadcast
 
 LEAST_COSINE = 0.7
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -142,30 +142,26 @@ def anchors_of(vectors: list[dict[str, float]], least: float) -> list[str]:
     return sorted(found)
 
 
-def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term and df, the rows of docs (text) that have it, for every term of terms (term)."""
-    wanted = checkpointed(terms)
-    seen = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
-    rows = wanted.count()
-    if rows <= BROADCAST_ROWS:
-        return seen.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    # too many terms to send to all tasks: counts are shuffled, not the words
-    return seen.groupBy("term").agg(F.count("*").alias("df")).join(wanted, "term", "left_semi")
+def document_frequencies(docs: DataFrame, always: list[str]) -> DataFrame:
+    """term and df, the rows of docs (text) that have it, for every term of two rows or more and those of always that any row has.
+
+    Counts are shuffled, not words: each task adds up its own first.
+    """
+    seen = docs.select(F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return seen.where((F.col("df") > 1) | F.col("term").isin(always))
 
 
 def unit_licences(docs: DataFrame, templates=TEMPLATES + WRAPPED, least: float = LEAST_COSINE) -> DataFrame:
     """doc_id, text_key, licence and score of the best unit for each text of docs (doc_id, path, text) that has one."""
     vocabulary = sorted({t for _, text in templates for t in local_terms(text)})
-    words = F.array(*[F.lit(t) for t in vocabulary])
-    seen = docs.select(F.explode(F.array_intersect(terms_of(F.col("text")), words)).alias("term")).groupBy("term").count()
-    frequency = {r["term"]: r["count"] for r in seen.collect()}  # a row for each template term at most
+    frequencies = checkpointed(document_frequencies(docs, vocabulary))
+    frequency = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}  # a row for each template term at most
     total = docs.count()
     idf = {t: math.log((1 + total) / (1 + frequency.get(t, 0))) for t in vocabulary}
     vectors = template_vectors(idf, templates)
     anchors = anchors_of(vectors, least)
     spark = docs.sparkSession
     weights = spark.createDataFrame([(t, k, templates[k][0], x) for k, v in enumerate(vectors) for t, x in v.items()], "t_term string, template int, licence string, weight double")
-    idfs = spark.createDataFrame(sorted(idf.items()), "i_term string, idf double")
     heads = F.array(*[F.lit(t) for t in anchors]) if anchors else F.array().cast("array<string>")
     name = F.substring_index("path", "/", -1)
     lines = F.split("text", "\n", -1)
@@ -176,10 +172,11 @@ def unit_licences(docs: DataFrame, templates=TEMPLATES + WRAPPED, least: float =
     rows = rows.select("doc_id", "text_key", "unit", terms_of(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", heads))
     # rows that repeat scale a unit's counts alike, which leaves its cosines as they are
     keys = ["doc_id", "text_key", "unit"]
-    counts = rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    counts = checkpointed(counts)
-    other = document_frequencies(docs, counts.select("term").where(~F.col("term").isin(vocabulary)).distinct())
-    idfs = checkpointed(idfs.union(other.select("term", F.log((1.0 + total) / (1 + F.col("df"))))))
+    counts = checkpointed(rows.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf")))
+    # the terms of units, each once, meet the counts; a term that has none there is in one document only
+    wanted = counts.groupBy("term").agg(F.lit(1).alias("one"))
+    idfs = wanted.join(frequencies.withColumnRenamed("term", "seen_term"), F.col("term") == F.col("seen_term"), "left")
+    idfs = checkpointed(idfs.select(F.col("term").alias("i_term"), F.log((1.0 + total) / (1 + F.coalesce("df", F.lit(1)))).alias("idf")))
     counts = counts.join(maybe_broadcast(idfs, idfs.count()), F.col("term") == F.col("i_term"))
     counts = checkpointed(counts.select(*keys, "term", (F.col("tf") * F.col("idf")).alias("x")))
     norms = counts.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))

@@ -22,7 +22,7 @@ OP2 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(
   FROM o GROUP BY conv_id"""
 
 _DOMAIN = "CASE " + " ".join(f"WHEN left(md5(coalesce(source, '')), 1) IN ({', '.join(repr(d) for d in digits)}) THEN '{name}'" for name, digits in mixing.DOMAINS) + " END"
-_WEIGHT = "CASE domain " + " ".join(f"WHEN '{n}' THEN {w}" for n, w in mixing.DOMAIN_WEIGHTS) + " END"
+_WEIGHT = "CASE domain " + " ".join(f"WHEN '{path[0]}' THEN {w}" for path, w in mixing.WEIGHTS.items()) + " END"
 
 
 def _poured(src: str, parent: str, budget: str, weight: str, key: str) -> str:
@@ -60,20 +60,25 @@ OP5 = f"""WITH b AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark
     coalesce(n_hit, 0) > 0 AND {decontaminate.SHARE} * n_hit >= len(w) AS contaminated
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licences.TEMPLATES))
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(licences.TEMPLATES + licences.WRAPPED))
 _TERMS = "regexp_extract_all(" + _LOWER.format("{}") + f", '{licences.TERM}')"
+_OPENS, _CLOSES, _COMMENT = (x.replace("'", "''") for x in (licences.OPENS, licences.CLOSES, licences.COMMENT))
 
 OP8 = f"""WITH tt AS (SELECT k, name, unnest({_TERMS.format("t")}) AS term FROM (VALUES {_TEMPLATES}) AS v(k, name, t)),
-  voc AS (SELECT DISTINCT term FROM tt),
   d AS (SELECT doc_id, text, 'repo' || (doc_id // 256) || '/d' || (doc_id // 16) AS folder, doc_id % 16 = 0 AS is_file, CASE WHEN doc_id % 16 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS name FROM documents),
-  df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({_TERMS.format("text")}) AS term FROM d) JOIN voc USING (term) GROUP BY term),
-  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) AS idf FROM voc LEFT JOIN df USING (term)),
+  df AS (SELECT term, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest({_TERMS.format("text")}) AS term FROM d) GROUP BY term),
+  idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(n, 0))) AS idf FROM (SELECT term FROM df UNION SELECT term FROM tt) LEFT JOIN df USING (term)),
   tw AS (SELECT k, name, term, count(*) * any_value(idf) AS x FROM tt JOIN idf USING (term) GROUP BY k, name, term),
   tv AS (SELECT k, name, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM tw),
-  units AS (SELECT doc_id, unnest(u) AS line, unnest(range(len(u))) AS unit FROM (SELECT doc_id, CASE WHEN is_file THEN list_append(string_split(text, chr(10)), text) ELSE string_split(text, chr(10)) END AS u FROM d)),
-  near AS (SELECT * FROM units WHERE regexp_matches(line, '(?i)licen|apache|mit|gnu|cc|bsd|mozilla|redistribut|permi|creative')),
-  c AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({_TERMS.format("line")}) AS term FROM near) GROUP BY ALL),
-  x AS (SELECT doc_id, unit, term, tf * coalesce(idf, ln(1 + (SELECT count(*) FROM d))) AS x FROM c LEFT JOIN idf USING (term)),
+  l AS (SELECT *, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, is_file, text, lines,
+      list_filter(regexp_split_to_array(array_to_string(list_transform(lines, lambda x: regexp_replace(regexp_replace(x, '{_OPENS}', ''), '{_CLOSES}', '')), chr(10)), '\n{{2,}}'), lambda x: contains(x, chr(10))) AS paragraphs,
+      CASE WHEN regexp_matches(text, '^\s*/\*') THEN split_part(text, '*/', 1) WHEN regexp_matches(text, '^\s*<!--') THEN split_part(text, '-->', 1)
+        ELSE array_to_string(lines[1:coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '{_COMMENT}')), false), len(lines) + 1) - 1], chr(10)) END AS header FROM l),
+  units AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS unit
+    FROM (SELECT doc_id, list_concat(lines, paragraphs, [header], CASE WHEN is_file THEN [text] ELSE [] END) AS us FROM u)),
+  c AS (SELECT doc_id, unit, term, count(*) AS tf FROM (SELECT doc_id, unit, unnest({_TERMS.format("line")}) AS term FROM units) GROUP BY ALL),
+  x AS (SELECT doc_id, unit, term, tf * idf AS x FROM c JOIN idf USING (term)),
   norm AS (SELECT doc_id, unit, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
   dots AS (SELECT doc_id, unit, k, name, sum(x.x * tv.x) AS dot FROM x JOIN tv USING (term) GROUP BY ALL),
   best AS (SELECT doc_id, arg_min(name, (-score, name)) AS licence, max(score) AS score FROM (SELECT doc_id, name, round(dot / norm, 6) AS score FROM dots JOIN norm USING (doc_id, unit)) WHERE score >= {licences.LEAST_COSINE} GROUP BY doc_id),
