@@ -5,21 +5,23 @@ shard (the range) and its start within it besides the ids, so metadata can be re
 indexes let a reader of a few doc_ids skip the other pages. Spark's own writer commits the files, so a lost executor's
 files are written again.
 
-Pieces between single spaces or line feeds are tokenized once and remembered, and so are the words in them: the byte-level
-pre-tokenizer always cuts before a single space between characters that aren't white space, around a single line feed
-between such, and after letters. So a text's ids are those of its pieces in turn.
-
-Null texts count as empty and give the end id alone; rows of one doc_id are ordered by text and all kept, null doc_ids
-come first; an empty table gives an empty file.
+Byte-level tokenizers: pieces between single spaces or line feeds are tokenized once and remembered, as the
+pre-tokenizer always cuts before a single space between characters that aren't white space, and around a single line
+feed between such. So a text's ids are those of its pieces in turn. Texts with any other white space, and all texts
+where the tokenizer's file has another pre-tokenizer, a normalizer or added tokens that reach beyond a piece, are
+tokenized whole.
+
+Null texts count as empty and give the end id alone; rows of one doc_id are ordered by the hash of their text, then by
+text, and all kept; null doc_ids come first; an empty table gives an empty file; other columns are left out.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import sys
 import types
 import zlib
-from array import array
+from itertools import chain
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,31 +36,26 @@ END_ID = 0
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
 #: Pieces and words remembered by a worker at most (together some 250 MB).
 PIECES, WORDS = 700_000, 400_000
+#: Bytes of texts that a worker tokenizes in one go, and rows of a doc_id from which its range is cut by text too.
+SLICE_BYTES, REPEATED = 4 << 20, 4096
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
-SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-#: Letters of Latin alphabets, and at most one mark behind them: the pre-tokenizer cuts between the two.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,:;!?]?)")
-
-
-def single_spaced(text: str) -> bool:
-    """Whether all white space is single spaces and line feeds between other characters."""
-    words = text.split()
-    gaps = len(words) - 1
-    return gaps == text.count(" ") + text.count("\n") and len("".join(words)) + gaps == len(text)
+#: White space other than single spaces and line feeds between other characters.
+ODD_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-class Numbers(dict):
-    """Numbers of pieces as they are met; new ones wait to be tokenized."""
+#: A word of Latin letters and at most one mark behind it: the pre-tokenizer cuts between the two and nowhere else.
+LETTERS, MARKS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}", ".,:;!?"
+PLAIN, WORD = rf"^\n?(?P<word>[{LETTERS}]+)(?P<mark>[{MARKS}]?)$", rf"^ ?[{LETTERS}]+$"
 
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
 
-    def __missing__(self, piece) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
-        return number
+def cut_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's file makes ids of pieces between single spaces independent of each other."""
+    pre = spec.get("pre_tokenizer") or {}
+    by_pieces = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    within = all(t["content"].split() == [t["content"]] and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens") or ())
+    apart = all(any(not c.isalpha() and c not in MARKS for c in t["content"]) for t in spec.get("added_tokens") or ())
+    return by_pieces and within and apart and not spec.get("normalizer") and not spec["model"].get("dropout")
 
 
 def byte_letters() -> dict[int, str]:
@@ -68,105 +65,154 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Numbers(dict):
+    """Numbers of strings as they are met; new ones wait to be tokenized."""
+
+    def __init__(self, known: list[str]):
+        super().__init__((x, i) for i, x in enumerate(known))
+        self.new: list[str] = []
+
+    def __missing__(self, string: str) -> int:
+        self[string] = number = len(self)
+        self.new.append(string)
+        return number
+
+    def of(self, coded) -> np.ndarray:
+        """Numbers of a dictionary-encoded pyarrow array."""
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)  # much quicker than to_pylist
+        return np.fromiter(map(self.__getitem__, distinct), np.int32, len(distinct))[coded.indices.to_numpy()]
+
+
+class Runs:
+    """Ids of numbered strings, one run after another."""
+
+    def __init__(self):
+        self.lengths, self.starts, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
+        self.count = self.used = 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        n = len(lengths)
+        while self.count + n > len(self.lengths):
+            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.lengths[self.count : self.count + n] = lengths
+        self.starts[self.count : self.count + n] = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.count += n
+        self.used += len(flat)
+
+    def add_lists(self, lists: list[list[int]]) -> None:
+        self.add(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def take(self, at: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbers at one after another, and their lengths; the first id goes at the places skip."""
+        lengths, starts = self.lengths[at], self.starts[at]
+        if skip is not None:
+            lengths[skip] -= 1
+            starts[skip] += 1
+        upto = np.cumsum(lengths, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        return self.ids[np.arange(total) + np.repeat(starts - (upto - lengths), lengths)], lengths
+
+
 class PieceEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of pieces and words.
+    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of pieces and of their words.
 
-    A piece is what stands after a space; one that begins with a line feed stands after that instead. A tuple holds a
-    piece at a text's start, None is the end of a text.
+    A piece is what stands after a space; one that begins with a line feed stands after that instead. The empty piece
+    is the end of a text, a lone line feed is an empty text (its id is cut off like that before any text's first piece).
+    A piece is a line feed or nothing, its word (the space before it included) or whatever else it is, and its mark.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end_id, self.letters = Tokenizer.from_file(path), end_id, byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.line = self.whole(["\n"])[0]
+        self.by_pieces = cut_at_spaces(spec) and len(self.line) == 1
+        self.words = None
         self.forget()
 
     def forget(self) -> None:
-        self.number = Numbers()
-        self.lengths, self.starts, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.int32)
-        self.count = self.used = 0
+        self.number, self.pieces = Numbers(["", "\n"]), Runs()
+        self.pieces.add_lists([[self.end_id], self.line])
+        if self.words is None or len(self.words) > WORDS:
+            known = ["", "\n", *MARKS]
+            self.words, self.parts = Numbers(known), Runs()
+            self.parts.add_lists([[], *self.whole(known[1:])])
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, as bytes, by the tokenizer."""
-        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn_words(self, words: list[str]) -> None:
-        """Each of words is one pre-token of Latin letters, so the tokenizer's model takes it as it is."""
-        if len(self.words) > WORDS:
-            self.words.clear()
-        words = list(dict.fromkeys(w for w in words if w not in self.words))
-        written = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-        tokenize = self.tokenizer.model.tokenize
-        for word, letters in zip(words, written):
-            self.words[word] = array("i", [t.id for t in tokenize(letters)]).tobytes()
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts by the tokenizer as it is."""
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self) -> None:
-        pieces, self.number.new = self.number.new, []
-        # each piece in parts: plain words and marks, or its whole text
-        parts, wanted = [], []
-        for piece in pieces:
-            if not piece:
-                parts.append(() if piece == "" else None)
-                continue
-            if isinstance(piece, tuple):
-                parts.append(piece)
-                continue
-            at_line = piece[0] == "\n"
-            body = piece[1:] if at_line else piece
-            if m := PLAIN.fullmatch(body):
-                own = ("\n", m[1]) if at_line else (" " + m[1],)
-                parts.append((*own, m[2]) if m[2] else own)
-                wanted.append(own[-1])
-            else:
-                parts.append(("\n", body) if at_line else (" " + body,))
-        if wanted:
-            self.learn_words(wanted)
-        marks = list(dict.fromkeys(w for p in parts if p for w in p if w not in self.words))
-        other = {w: ids for k in range(0, len(marks), 8192) for w, ids in zip(marks[k : k + 8192], self.whole(marks[k : k + 8192]))}
-        end = np.array([self.end_id], "<i4").tobytes()
-        find = self.words
-        found = [end if p is None else b"".join([find[w] if w in find else other[w] for w in p]) for p in parts]
-        flat = np.frombuffer(b"".join(found), "<i4")
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        while self.count + len(found) > len(self.lengths):
-            self.lengths, self.starts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.starts))
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.lengths[self.count : self.count + len(found)] = lengths
-        self.starts[self.count : self.count + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.count += len(found)
-        self.used += len(flat)
+        """Tokenize the new pieces."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        pieces, self.number.new = pa.array(self.number.new, pa.string()), []
+        found, at_line = pc.extract_regex(pieces, PLAIN), pc.starts_with(pieces, "\n")
+        body = pc.coalesce(pc.struct_field(found, "word"), pc.replace_substring_regex(pieces, r"^\n", ""))
+        words = pc.binary_join_element_wise(pc.if_else(at_line, "", " "), body, "")
+        numbers = [
+            at_line.to_numpy(zero_copy_only=False).astype(np.int32),  # the line feed's number is 1
+            self.words.of(words.dictionary_encode()),
+            self.words.of(pc.fill_null(pc.struct_field(found, "mark"), "").dictionary_encode()),
+        ]
+        self.learn_words()
+        flat, lengths = self.parts.take(np.stack(numbers, 1).ravel())
+        self.pieces.add(flat, lengths.reshape(-1, 3).sum(1))
+
+    def learn_words(self) -> None:
+        """Tokenize the new words; one of Latin letters alone is one pre-token, which the tokenizer's model takes as it is."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, the end id after each, and how many each has."""
-        if self.count > PIECES:
+        new, self.words.new = self.words.new, []
+        if not new:
+            return
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), WORD).to_pylist()
+        written = "\n".join(w for w, p in zip(new, plain) if p).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize = self.tokenizer.model.tokenize
+        by_model = iter([[t.id for t in tokenize(w)] for w in written])
+        others = iter(self.whole([w for w, p in zip(new, plain) if not p]))
+        self.parts.add_lists([next(by_model if p else others) for p in plain])
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (a pyarrow string array without nulls) one after another, the end id after each, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False) if self.by_pieces else np.ones(len(texts), bool)
+        if odd.all():
+            return self.encode_whole(texts)
+        if odd.any():
+            plain, rest = self.encode(texts.filter(pa.array(~odd))), self.encode_whole(texts.filter(pa.array(odd)))
+            parts: list = [None] * len(texts)
+            for (flat, sizes), at in ((plain, np.flatnonzero(~odd)), (rest, np.flatnonzero(odd))):
+                for i, part in zip(at.tolist(), np.split(flat, np.cumsum(sizes)[:-1])):
+                    parts[i] = part
+            return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
+        if len(self.number) > PIECES:
             self.forget()
-        pieces, ends, firsts = [], [], []
-        for text in texts:
-            if not text:
-                pass
-            elif single_spaced(text):
-                firsts.append(len(pieces) + 1)
-                pieces += ("\n" + text).replace("\n", " \n").split(" ")
-            else:
-                first, *rest = SINGLE_SPACE.split(text)
-                pieces.append((first,))
-                pieces += rest if not rest or min(map(len, rest)) and not any(x[0] == "\n" for x in rest) else [(" " + x,) for x in rest]
-            pieces.append(None)
-            ends.append(len(pieces))
-        at = np.fromiter(map(self.number.__getitem__, pieces), np.int32, len(pieces))
+        lines = pc.replace_substring(texts, "\n", " \n")
+        pieces = pc.split_pattern(pc.binary_join_element_wise("\n", lines, " ", ""), " ")
+        cuts = pieces.offsets.to_numpy().astype(np.int64)
+        cuts -= cuts[0]
+        at = self.number.of(pieces.flatten().dictionary_encode())
         if self.number.new:
             self.learn()
-        lengths, starts = self.lengths[at], self.starts[at]
         # a text's first piece was written after a line feed, whose id goes
-        lengths[firsts] -= 1
-        starts[firsts] += 1
-        upto = np.cumsum(lengths)
-        flat = self.ids[np.arange(int(lengths.sum()), dtype=np.int32) + np.repeat(starts - (upto - lengths).astype(np.int32), lengths)]
-        bounds = np.r_[0, upto][ends] if ends else np.empty(0, np.int64)
-        return flat, np.diff(np.r_[0, bounds])
+        flat, lengths = self.pieces.take(at, cuts[:-1])
+        return flat, np.diff(np.r_[0, np.cumsum(lengths, dtype=np.int64)][cuts])
+
+    def encode_whole(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array([*x, self.end_id], np.int32) for x in self.whole(texts.to_pylist())]
+        return np.concatenate([np.empty(0, np.int32), *found]), np.array(list(map(len, found)), np.int64)
 
 
 def _encoder(path: str, end_id: int) -> PieceEncoder:
@@ -178,6 +224,15 @@ def _encoder(path: str, end_id: int) -> PieceEncoder:
     return held.__dict__[key]
 
 
+def _slices(texts):
+    """(first row, rows) of parts of texts of about SLICE_BYTES."""
+    import pyarrow.compute as pc
+
+    part = (np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy()) // SLICE_BYTES) if len(texts) else np.empty(0, np.int64)
+    firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(texts) else part
+    return zip(firsts.tolist(), np.diff(np.r_[firsts, len(texts)]).tolist())
+
+
 def _encode_batches(path: str, end_id: int):
     def run(batches):
         import os
@@ -187,14 +242,14 @@ def _encode_batches(path: str, end_id: int):
         os.environ.update(RAYON_NUM_THREADS="1", TOKENIZERS_PARALLELISM="false")
         encoder, shard, start = _encoder(path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.string()).to_pylist()
-            for k in range(0, max(1, len(texts)), 64):
-                flat, sizes = encoder.encode([x or "" for x in texts[k : k + 64]])
+            texts = batch.column(1).cast(pa.string()).fill_null("")
+            for k, n in _slices(batch.column(1)):
+                flat, sizes = encoder.encode(texts.slice(k, n))
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, pa.int32()))
-                columns = [batch.column(0).slice(k, 64), pa.array(np.full(len(sizes), shard, np.int32)), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int32)), ids]
+                columns = [batch.column(0).slice(k, n), pa.array(np.full(n, shard, np.int32)), pa.array(start + ends - sizes), pa.array(sizes.astype(np.int32)), ids]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shard", "shard_start", "n_tokens", "ids"])
-                start += int(ends[-1]) if len(ends) else 0
+                start += int(ends[-1])
 
     return run
 
@@ -205,11 +260,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
+    bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["doc_id", "text"]
-    dealt = id_and_text(docs).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions(*keys)
+    texts = id_and_text(docs)
+    # ranges of doc_ids are found without reading texts, unless a doc_id has so many rows that its range must be cut
+    often = texts.groupBy("doc_id").count().where(F.col("count") > REPEATED)
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = texts.repartitionByRange(n, *(["doc_id"] if often.isEmpty() else order[:2])).sortWithinPartitions(*order)
     writer = dealt.mapInArrow(_encode_batches(tokenizer_path, end_id), SCHEMA).write
     options = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
     writer.options(**options).parquet(path)

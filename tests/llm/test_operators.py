@@ -9,6 +9,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,15 +102,15 @@ def test_index_node(kind):
     assert (simhash.node_forest(codes) == brute_links(codes)).all()
 
 
-def test_links_with_split_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [24, 64])
+def test_links_with_lower_nodes(spark, monkeypatch, bits):
     rng = np.random.default_rng(2)
     monkeypatch.setattr(simhash, "NODE_ROWS", 64)
-    codes = np.unique(np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.choice(24, 4, False).astype(np.uint64)) for _ in range(900)], np.uint64))
-    rows = spark.createDataFrame([(int(c),) for c in codes], "fp long")
+    codes = np.unique(np.array([np.bitwise_xor.reduce(np.uint64(1) << rng.choice(bits, 4 if bits < 64 else 3, False).astype(np.uint64)) for _ in range(900)], np.uint64))
+    rows = spark.createDataFrame([(int(c.view(np.int64)),) for c in codes], "fp long")
     roots = {r.fp: r.root for r in simhash.connected(simhash.near_links(rows)).collect()}
-    up = brute_links(codes)
     sets = collections.defaultdict(set)
-    for c, u in zip(codes.tolist(), up.tolist()):
+    for c, u in zip(codes.view(np.int64).tolist(), brute_links(codes).tolist()):
         sets[u].add(c)
     for own in sets.values():
         assert len({roots.get(c, c) for c in own}) == 1
@@ -123,6 +124,9 @@ def test_masks_leave_no_pair_out():
         for _ in range(300):
             bits = sum(1 << b for b in rng.sample(range(64), 4))
             assert any(not bits & m for m in masks)
+            lower = simhash.lower_masks(masks[-1], 6)
+            assert bits & masks[-1] or any(not bits & m for m in lower)
+            assert all(m & masks[-1] == masks[-1] and m.bit_count() > masks[-1].bit_count() for m in lower)
 
 
 def test_chat_round_trip(spark):
@@ -174,11 +178,46 @@ def test_pieces_equal_whole_texts_at_random():
     plain, own, rng = Tokenizer.from_file(path), tokens.PieceEncoder(path), random.Random(4)
     chars = ["a", "B", "ü", " ", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "'", "s", "1", "!", "日", "<|endoftext|>", "\r\n", "😀"]
     texts = ["".join(rng.choices(chars, k=rng.randint(0, 30))) for _ in range(3000)] + ["ab. cd, ef\nGh ü! x1 y.z A" * 3, "One two\nthree. Four"]
-    flat, sizes = own.encode(texts)
+    flat, sizes = own.encode(pa.array(texts))
     assert flat.tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 0]]
     assert sizes.sum() == len(flat)
 
 
+def test_pieces_of_other_tokenizers():
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    plain, own = Tokenizer.from_file(path), tokens.PieceEncoder(path)
+    texts = ["", "Hello  World", "a b c\nd", "x" * 5000, "ÜNÏ <|endoftext|> it's", "one two"]
+    flat, sizes = own.encode(pa.array(texts))
+    assert flat.tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 0]] and len(sizes) == len(texts)
+
+
+def test_tokens_of_repeated_ids_over_shards(spark, tmp_path, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "REPEATED", 50)
+    rows = [(7, f"text number {i % 90}") for i in range(200)] + [(None, f"none {i}") for i in range(80)] + [(i, None) for i in range(5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
+    path = str(tmp_path / "ids")
+    tokens.write_tokens(table, path, partitions=5)
+    stored = tokens.read_tokens(spark, path)
+    found = sorted(stored.collect(), key=lambda r: r.start)
+    hashed = {r.text: r.h for r in table.select("text", F.xxhash64(F.col("text").cast("binary")).alias("h")).distinct().collect()}
+    wanted = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]], r[1] or ""))
+    at = 0
+    for r, (doc_id, text) in zip(found, wanted, strict=True):
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.ids) == (doc_id, at, ids)
+        at += len(ids)
+    # metadata alone doesn't read the ids, and a filter of doc_ids reaches the files
+    plan = stored.select("doc_id", "n_tokens").where("doc_id = 3")._jdf.queryExecution().toString()
+    assert "EqualTo(doc_id,3)" in plan and "ReadSchema: struct<doc_id:bigint,n_tokens:int>" in plan.replace("shard:int,", "").replace("shard_start:bigint,", "")
+
+
 def brute_contamination(text, items):
     find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
     words, hit, found = find(text), set(), set()
@@ -212,19 +251,32 @@ def test_contamination(spark, docs):
     assert decontaminate.contamination(table.where("false"), bench).count() == 0
 
 
-def test_contamination_in_blocks(spark, docs, monkeypatch):
+def test_contamination_in_blocks(spark, docs):
     bench = spark.createDataFrame(bench_rows(), "item_id long, text string")
     table = docs.select("doc_id", "text")
     whole = sorted(map(str, decontaminate.contamination(table, bench).collect()))
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
-    assert sorted(map(str, decontaminate.contamination(table, bench).collect())) == whole
+    assert sorted(map(str, decontaminate.contamination(table, bench, size=100).collect())) == whole
+    left = [sorted(map(str, decontaminate.remove_contaminated(docs, bench, size=n).collect())) for n in (100, 1 << 20)]
+    assert left[0] == left[1] and 0 < len(left[0]) < docs.count()
+
+
+def test_contamination_by_rows_of_one_item(spark):
+    words = [f"w{i}" for i in range(20)]
+    items = [(2, "x w1 w2"), (2, " ".join(words)), (None, "only here"), (2, "x w1 w2")]
+    rows = [(1, "a b x " + " ".join(words[1:])), (1, None), (1, "x w1 w2"), (None, "not only here"), (3, "")]
+    table, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (1 << 20, 10):
+        got = sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.contamination(table, bench, size).collect())
+        assert got == [(0, 3, 2, 0), (1, 0, 0, 0), (1, 3, 3, 1), (1, 22, 20, 1), (3, 0, 0, 0)]
+    kept = decontaminate.remove_contaminated(table.withColumn("n_hit", F.lit("clash")), bench)
+    assert kept.columns == ["doc_id", "text", "n_hit"] and sorted(map(str, (r.text for r in kept.collect()))) == ["", "None"]
 
 
 def test_longest_matches():
     index = decontaminate.BenchmarkIndex([(1, b" ".join(b"w%d" % i for i in range(30)))])
     text = b"x w0 " + b" ".join(b"w%d" % i for i in range(5, 25)) + b" y"
-    _, (where, item, start, place, length) = index.search([b"none", text])
-    assert (where.tolist(), item.tolist(), start.tolist(), place.tolist(), length.tolist()) == ([1], [1], [5], [2], [20])
+    _, (where, row, start, place, length) = index.search([b"none", text])
+    assert (where.tolist(), index.item_ids[row].tolist(), start.tolist(), place.tolist(), length.tolist()) == ([1], [1], [5], [2], [20])
 
 
 def labelled(kind):
@@ -271,6 +323,17 @@ def test_held_out_rows_are_not_learned(spark, docs):
     assert len(learning_rows(docs, labels, "toxic", rows=5)) <= 6
 
 
+def test_long_texts_leave_the_sample_to_others(spark):
+    from chalkline.llm.samples import learning_rows
+
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, "x" * 5000 if k % 3 == 0 else f"text {i}") for k, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    got = learning_rows(docs, labels, "toxic", size=4000)
+    assert sorted(got) == sorted((f"text {i}".encode(), i % 2) for k, i in enumerate(ids) if k % 3)
+    assert len(learning_rows(docs, labels, "toxic", size=8000)) == len(got) + 1
+
+
 def test_quality_learns_shapes():
     rng = random.Random(2)
     rows = []
@@ -358,6 +421,31 @@ def test_budgets_go_to_siblings_first(spark):
     assert sum(got.values()) <= 1600
 
 
+def test_budgets_by_weights_of_every_level(spark):
+    rows = [("a", "en", "x", 1000), ("a", "en", "y", 1000), ("a", "de", "x", 1000), ("a", None, "z", 1000), ("b", "en", "x", 1000), ("c", "en", "x", 1000)]
+    counted = spark.createDataFrame(rows, "domain string, lang string, source string, tokens long")
+    weights = {("a",): 3, ("b",): 1, ("a", "en"): 2, ("a", None): 0, ("a", "en", "y"): 3}
+    got = {tuple(r)[:3]: r.budget for r in mixing.leaf_budgets(counted, 0.2, 1, weights).collect()}
+    # 1200: a 900 (en 600: x 150, y 450; de 300), b 300; c isn't named and has nothing
+    assert got == {("a", "en", "x"): 150, ("a", "en", "y"): 450, ("a", "de", "x"): 300, ("a", None, "z"): 0, ("b", "en", "x"): 300, ("c", "en", "x"): 0}
+    full = {tuple(r)[:3]: r.budget for r in mixing.leaf_budgets(counted, 1.0, 1, weights).collect()}
+    assert sum(full.values()) == 4000 and full["a", None, "z"] == full["c", "en", "x"] == 0
+
+
+def test_mix_judges_rows_by_their_own_leaf(spark):
+    rng = random.Random(3)
+    rows = [(i % 40, " ".join(rng.choices(WORDS, k=rng.randint(0, 30))), rng.choice(["en", "de", None]), rng.choice(["s1", "s2", "s3"])) for i in range(200)]
+    rows += [(None, "no id", "en", "s1"), (50, None, "en", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("times", F.lit(9)).repartition(3)
+    for share, epochs in ((0.4, 1), (0.9, 3)):
+        ids = collections.Counter((r.doc_id, r.lang, r.source, r.n_tokens) for r in mixing.mixed_ids(docs, share, epochs).collect())
+        mixed = mixing.mix(docs, share, epochs)
+        assert mixed.columns == docs.columns
+        assert ids == collections.Counter((r.doc_id, r.lang, r.source, len((r.text or "").split())) for r in mixed.collect())
+    own = mixing.mix(docs, 0.5, 1, weights={("L-de",): 1}, domain=F.concat(F.lit("L-"), F.col("lang")))
+    assert {r.lang for r in own.collect() if r.text} == {"de"}
+
+
 def test_mixing_prefixes(spark, docs, none):
     found = mixing.mixed_ids(docs, 0.6, 2).collect()
     assert found and mixing.mixed_ids(none).count() == 0
