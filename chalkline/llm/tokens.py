@@ -36,8 +36,8 @@ END_ID = 0
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
 #: Pieces and words remembered by a worker at most (together some 250 MB).
 PIECES, WORDS = 700_000, 400_000
-#: Bytes of texts that a worker tokenizes in one go, and rows of a doc_id from which its range is cut by text too.
-SLICE_BYTES, REPEATED = 4 << 20, 4096
+#: Bytes of texts that a worker tokenizes in one go.
+SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
 
 #: White space other than single spaces and line feeds between other characters.
@@ -263,11 +263,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str | None = None,
     spark = docs.sparkSession
     bounded_batches(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = id_and_text(docs)
-    # ranges of doc_ids are found without reading texts, unless a doc_id has so many rows that its range must be cut
-    often = texts.groupBy("doc_id").count().where(F.col("count") > REPEATED)
+    # the hash cuts the range of a doc_id that many rows have; Spark samples ranges from whole rows, so it costs no reading
     order = ["doc_id", F.xxhash64("text"), "text"]
-    dealt = texts.repartitionByRange(n, *(["doc_id"] if often.isEmpty() else order[:2])).sortWithinPartitions(*order)
+    dealt = id_and_text(docs).repartitionByRange(n, *order[:2]).sortWithinPartitions(*order)
     writer = dealt.mapInArrow(_encode_batches(tokenizer_path, end_id), SCHEMA).write
     options = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.row.count.limit": PAGE_ROWS, "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": 1 << 20}
     writer.options(**options).parquet(path)

@@ -194,12 +194,11 @@ def test_pieces_of_other_tokenizers():
     assert flat.tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 0]] and len(sizes) == len(texts)
 
 
-def test_tokens_of_repeated_ids_over_shards(spark, tmp_path, monkeypatch):
+def test_tokens_of_repeated_ids_over_shards(spark, tmp_path):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    monkeypatch.setattr(tokens, "REPEATED", 50)
     rows = [(7, f"text number {i % 90}") for i in range(200)] + [(None, f"none {i}") for i in range(80)] + [(i, None) for i in range(5)]
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
     path = str(tmp_path / "ids")
