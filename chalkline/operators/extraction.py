@@ -97,8 +97,8 @@ def selector_kind(value: Column) -> Column:
 
 def claim_expectation(kind: Column) -> Column:
     out = F.lit("reference")
-    for expectation, kinds in H.EXPECTATIONS.items():
-        out = F.when(kind.isin(*kinds.split("|")), expectation).otherwise(out)
+    for own, expectation in H.EXPECTATIONS.items():
+        out = F.when(kind == own, expectation).otherwise(out)
     return out
 
 

@@ -77,24 +77,89 @@ It is faster.
 """
 
 
-def test_markdown():
-    got = [(r["role"], r["purpose"], r["kind"], r["text"], r["line"]) for r in markdown.read_body(BODY)]
-    assert got == [
+def statements_of(spark, *texts):
+    table = spark.createDataFrame(list(enumerate(texts)), "body_id int, body string")
+    rows = markdown.statements(table, ["body_id"]).orderBy("body_id", "ordinal").collect()
+    return [[(r.role, r.purpose, r.kind, r.text, r.line) for r in rows if r.body_id == i] for i in range(len(texts))]
+
+
+def test_markdown(spark):
+    assert statements_of(spark, BODY)[0] == [
         ("intent", "intent", None, "This adds the ledger. Second line.", 1),
         ("obligation", "acceptance", None, "Keep LedgerTotals exact: for refunds", 8),
         ("obligation", "acceptance", None, "Keep LedgerTotals exact: for charges", 9),
         ("obligation", "acceptance", None, "Do not touch the exporter", 10),
         ("claim", "implementation", None, "The ledger reads rows from storage. It is faster.", 16),
-        ("claim", "implementation", None, "first thing; 2. second thing", 19),
+        ("claim", "implementation", None, "first thing", 19),
+        ("claim", "implementation", None, "second thing", 19),
         (None, None, "consumer_migration", "src/app/ledger.py -> Ledger.read", 22),
         (None, None, "completion_condition", "no LegacyLedger in src/app/", 24),
-    ] or got[5][3] == "first thing"
+    ]
+
+
+LISTS = """- dropped item
+text after it is introduction
+~~~
+```
+still fenced
+~~~
+```
+fenced again
+```
+more introduction
+# Scope:
+- a
+  goes on
+    - b
+  - c
+      - d
+\t- e
+- a
+    b2 is text of a
+
+- f
+- g <!-- hidden --> [h](u) **i**
+- (1) one; (2) two;
+## Why (draft)
+a paragraph
+over two lines
+* AC-1: no label of goals
+* O2. a label of goals
+### unknown
+- not kept
+# Change region
+## Inputs
+- T3: `x`
+"""
 
 
-def test_inline_numbers():
-    assert markdown.numbered_parts("1. one; 2. two; (3) three") == ["one", "two", "three"]
-    assert markdown.numbered_parts("see 1. only") == ["see 1. only"]
-    assert markdown.heading_name("2. Goals & aims (draft):") == "goals and aims"
+def test_markdown_lists_and_fences(spark):
+    found = statements_of(spark, LISTS, None, "", "\n\nOnly\r\nthis\n\nnot this", "## 1) Acceptance Criteria & x\n- y\n#### Goals -- :\n- y\n- Y")
+    scope, goal = ("context", "scope", None), ("objective", "goal", None)
+    assert found[0] == [
+        ("intent", "intent", None, "text after it is introduction more introduction", 2),
+        (*scope, "a goes on: b", 14),
+        (*scope, "a goes on: c: d", 16),
+        (*scope, "a goes on: c: e", 17),
+        (*scope, "a b2 is text of a", 18),
+        (*scope, "f", 21),
+        (*scope, "g h i", 22),
+        (*scope, "one", 23),
+        (*scope, "two", 23),
+        (*goal, "a paragraph over two lines", 25),
+        (*goal, "AC-1: no label of goals", 27),
+        (*goal, "a label of goals", 28),
+        (None, None, "input_boundary", "x", 33),
+    ]
+    assert found[1:] == [[], [], [("intent", "intent", None, "Only this", 3)], [(*goal, "y", 4)]]
+
+
+def test_inline_numbers(spark):
+    row = spark.range(1).select(
+        *[markdown.numbered_parts(F.lit(x)).alias(str(i)) for i, x in enumerate(["1. one; 2. two; (3) three", "see 1. only"])],
+        *[markdown.heading_name(F.lit(x)).alias(f"h{i}") for i, x in enumerate(["2. Goals & aims (draft):", "- 3) What's / new --", "`Test` **plan**"])],
+    ).first()
+    assert tuple(row) == (["one", "two", "three"], ["see 1. only"], "goals and aims", "3) what's new", "test plan")
 
 
 def packet(number, body, issue=None, files=(), checks=()):
