@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from chalkline.functions.lexical import identifier_keys, merged
 
 # Words at a clause's edges that are no part of a phrase, and what ends a clause.
-EDGE_WORDS = "a add an any be do does executing defining declaring emitting introduce keep must no not remain remains the to".split()
+EDGE_WORDS = (
+    "a", "add", "an", "any", "be", "do", "does", "executing", "defining", "declaring", "emitting", "introduce", "keep", "must", "no", "not", "remain",
+    "remains", "the", "to",
+)
 CLAUSE_BREAK = r"(?i)\s*(?:[,;，；]|\bor\b|\band\b|\bwithout\b|\bnor\b)\s*"
 CLAUSE_WORD = r"[A-Za-z][A-Za-z0-9_.:/-]*"
 # Roles of facts in transformations, and suffixes of files that code graphs cover.

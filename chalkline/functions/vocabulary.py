@@ -2,9 +2,9 @@
 
 # Words that never associate texts.
 STOP_WORDS = (
-    "acceptance artifact behavior change changes compact current debug each existing exports from implementation into makes "
-    "normal possible report requirement reused summary that this through true without with"
-).split()
+    "acceptance", "artifact", "behavior", "change", "changes", "compact", "current", "debug", "each", "existing", "exports", "from", "implementation",
+    "into", "makes", "normal", "possible", "report", "requirement", "reused", "summary", "that", "this", "through", "true", "without", "with",
+)
 
 # Names and suffixes of file profiles.
 DOCUMENT_SUFFIXES = (".md", ".mdx", ".rst", ".txt", ".pdf", ".doc", ".docx")
@@ -31,7 +31,9 @@ SOURCE_ROOTS = ("src", "lib", "app", "packages")
 OWN_DOMAINS = ("test", "tests", "spec", "specs", "docs", ".github")
 
 # Requirement profiles by tokens, in order, and the fact profiles each admits.
-REMOVAL_TERMS = "remove removed removal delete deleted deprecate deprecated cleanup clean exclude prevent avoid mustn".split()
+REMOVAL_TERMS = (
+    "remove", "removed", "removal", "delete", "deleted", "deprecate", "deprecated", "cleanup", "clean", "exclude", "prevent", "avoid", "mustn",
+)
 PROFILE_TERMS = (
     ("ui", ("render", "renderer", "html", "component", "display")),
     ("workflow_configuration", ("workflow", "configuration", "config", "action", "actions", "pipeline")),
@@ -62,8 +64,10 @@ ADMITTED = {
 # Kinds of symbols that code graphs hold, and suffixes of the files they cover.
 SYMBOL_KINDS = ("file", "function", "method", "class", "route", "variable", "constant")
 STRUCTURAL_SUFFIXES = (
-    ".astro .c .cc .cbl .cob .cobol .cfc .cfm .cfs .cpp .cpy .cs .cshtml .cjs .cts .cu .cuh .cxx .dart .dfm .dpk .dpr .erl .escript .ets .fmx .go .h "
-    ".hpp .hrl .hxx .inc .install .java .js .jsx .kt .kts .liquid .lpr .lua .luau .m .metal .mjs .mm .module .mts .nix .pas .php .properties .py .pyw "
-    ".r .rake .razor .rb .rs .scala .sc .sol .svelte .swift .tf .tfvars .theme .tofu .ts .tsx .vb .vue .xsjs .xsjslib .xml"
-).split()
+    ".astro", ".c", ".cc", ".cbl", ".cob", ".cobol", ".cfc", ".cfm", ".cfs", ".cpp", ".cpy", ".cs", ".cshtml", ".cjs", ".cts", ".cu", ".cuh", ".cxx",
+    ".dart", ".dfm", ".dpk", ".dpr", ".erl", ".escript", ".ets", ".fmx", ".go", ".h", ".hpp", ".hrl", ".hxx", ".inc", ".install", ".java", ".js",
+    ".jsx", ".kt", ".kts", ".liquid", ".lpr", ".lua", ".luau", ".m", ".metal", ".mjs", ".mm", ".module", ".mts", ".nix", ".pas", ".php",
+    ".properties", ".py", ".pyw", ".r", ".rake", ".razor", ".rb", ".rs", ".scala", ".sc", ".sol", ".svelte", ".swift", ".tf", ".tfvars", ".theme",
+    ".tofu", ".ts", ".tsx", ".vb", ".vue", ".xsjs", ".xsjslib", ".xml",
+)
 STRUCTURAL_ENDS = (".routes", ".app", ".app.src", ".routing.yml", ".routing.yaml")

@@ -2,32 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.lexical import distinctive_terms, each
 
 #: Rows of a token index that may be broadcast.
 INDEX_ROWS = 200_000
+#: Words without distinction that are bits instead of rows of the index.
+COMMON_TERMS = 62
 
 
 def indexed(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= INDEX_ROWS else df
 
 
+def _common_mask(tokens: Column, common: list[str]) -> Column:
+    """A bit for each of common that tokens has."""
+    if not common:
+        return F.lit(0).cast("long")
+    known = F.array(*map(F.lit, common))
+    return F.aggregate(F.array_intersect(tokens, known), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(known, x).cast("int") - 1)))
+
+
 def text_association(foci: DataFrame, facts: DataFrame, focus_key: str, fact_key: str) -> DataFrame:
     """focus_key, fact_key, n_shared, n_distinctive and matched_terms (joined) of pairs that share two tokens, one of them distinctive.
 
     foci and facts have a key and tokens (sorted distinct). Tokens meet through an inverted index, so only pairs with a
-    common token exist. Facts dealt by their key beforehand (facts.repartition(n, fact_key)) stay where they are: pairs are
-    then counted without a shuffle of their own, as a fact's pairs are all with it.
+    common token exist. The COMMON_TERMS commonest words that aren't distinctive make no pairs: they are bits of both
+    sides, and what two sides share of them is counted there. Facts dealt by their key beforehand (facts.repartition(n,
+    fact_key)) stay where they are: pairs are then counted without a shuffle of their own, as a fact's pairs are all with it.
     """
     index = each(foci, "tokens", "term", focus_key)
     telling = distinctive_terms(foci, [focus_key]).withColumn("telling", F.lit(1))
     index = index.join(telling, [focus_key, "term"], "left").select(focus_key, "term", F.coalesce("telling", F.lit(0)).alias("telling"))
-    own = each(facts, "tokens", "term", fact_key)
+    often = index.where("telling = 0").groupBy("term").count().orderBy(F.col("count").desc(), "term").limit(COMMON_TERMS)
+    common = [r["term"] for r in often.collect()]
+    masks = foci.select(F.col(focus_key).alias("_focus"), _common_mask(F.col("tokens"), common).alias("_wanted"))
+    index = index.where(~F.col("term").isin(common)).join(masks, F.col(focus_key).eqNullSafe(F.col("_focus"))).drop("_focus")
+    own = facts.select(fact_key, _common_mask(F.col("tokens"), common).alias("_own"), F.explode(F.filter("tokens", lambda x: ~x.isin(common))).alias("term"))
     pairs = own.join(indexed(index, index.count()), "term")
-    counted = pairs.groupBy(focus_key, fact_key).agg(F.count("*").alias("n_shared"), F.sum("telling").alias("n_distinctive"), F.array_sort(F.collect_list(F.when(F.col("telling") == 1, F.col("term")))).alias("terms"))
+    counted = pairs.groupBy(focus_key, fact_key).agg(
+        (F.count("*") + F.bit_count(F.max("_own").bitwiseAND(F.max("_wanted")))).alias("n_shared"),
+        F.sum("telling").alias("n_distinctive"),
+        F.array_sort(F.collect_list(F.when(F.col("telling") == 1, F.col("term")))).alias("terms"),
+    )
     kept = counted.where("n_shared >= 2 and n_distinctive >= 1")
     return kept.select(focus_key, fact_key, "n_shared", "n_distinctive", F.array_join("terms", ",").alias("matched_terms"))
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Bounds of a scan, folders it leaves out, and the symbol tokens it matches.
 MAX_FILES, MAX_BYTES, MAX_MATCHES = 2000, 8_000_000, 100
-IGNORED_FOLDERS = ".codegraph .git .mypy_cache .pytest_cache .ruff_cache .tox .venv __pycache__ build dist node_modules vendor venv".split()
+IGNORED_FOLDERS = (
+    ".codegraph", ".git", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".venv", "__pycache__", "build", "dist", "node_modules", "vendor",
+    "venv",
+)
 SYMBOL = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
