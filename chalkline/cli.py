@@ -44,6 +44,10 @@ def run_evaluate(spark: SparkSession, suite: str, source: str, json_path: str |
         print(e, file=sys.stderr)
         return 2
     head = cases.select("k", "thresholds").first()
+    unknown = sorted(set(head.thresholds or {}) - set(GATES))
+    if unknown:
+        print(f"thresholds that nothing is computed for: {', '.join(unknown)}", file=sys.stderr)
+        return 2
     read = packets.read_packets(spark, source)
     if not read.where("refusal is not null").isEmpty():
         return 2

@@ -30,6 +30,20 @@ def query_scores(ranked: DataFrame, gold: DataFrame, queries: DataFrame, query:
     )
 
 
+def telling_places(candidates: DataFrame, gold: DataFrame, query: list[str], item: str, order: list, k: int) -> DataFrame:
+    """query, item and place of what query_scores() looks at in whole rankings: the first k candidates, and the first gold one.
+
+    order: ascending columns that tell a query's candidates apart. The first k are cut in each task before they meet; the
+    first gold candidate's place is a count of those before it, so no task sorts a query's whole ranking.
+    """
+    keyed = candidates.select(*query, item, F.struct(*order).alias("_rank"))
+    top = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*query).orderBy("_rank"))).where(F.col("place") <= k)
+    best = keyed.join(gold.select(*query, item).distinct(), [*query, item]).groupBy(*query).agg(F.min_by(item, "_rank").alias("_item"), F.min("_rank").alias("_best"))
+    before = keyed.join(best, query).where(F.col("_rank") < F.col("_best")).groupBy(*query).agg(F.count("*").alias("_before"))
+    first = best.join(before, query, "left").select(*query, F.col("_item").alias(item), (F.coalesce("_before", F.lit(0)) + 1).alias("place"))
+    return top.select(*query, item, F.col("place").cast("long").alias("place")).union(first).distinct()
+
+
 def retrieval_metrics(scores: DataFrame) -> DataFrame:
     """Means over queries with gold (0 without any), and of the others the share with nothing returned (1 without any)."""
     positive = F.col("n_expected") > 0

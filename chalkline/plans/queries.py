@@ -83,7 +83,7 @@ def evidence_ids(t: Tables) -> DataFrame:
 
 
 def line_overlap(t: Tables) -> DataFrame:
-    lines = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("line"), "event_type").where("event_type <> 'view'")
+    lines = t.events.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("line"), "event_type")
     users = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
     spans = [users.select("user_id", F.lit(w).alias("w"), F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / w))).alias("k")) for w in (5, 10, 20)]
     # spans leave gaps, so some lines fall to wider ones and some to none
@@ -121,12 +121,15 @@ def relation_delta(t: Tables) -> DataFrame:
 
 
 def _supply_edges(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_quantity = 50").select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
+    return t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
 
 
 def bounded_paths(t: Tables) -> DataFrame:
-    seeds = t.spark.createDataFrame([("s1",), ("s2",), ("s3",)], "seed string")
-    return graph.bounded_paths(_supply_edges(t), seeds).select("seed", "depth", F.array_join("nodes", ">").alias("path"))
+    """Customers to orders to parts and on to other orders: all edges, three seeds."""
+    placed = t.orders.select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
+    held = t.lineitem.select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey"))
+    seeds = t.spark.createDataFrame([("c1",), ("c2",), ("c4",)], "seed string")
+    return graph.bounded_paths(placed.union(held).distinct(), seeds).select("seed", "depth", F.array_join("nodes", ">").alias("path"))
 
 
 def _owners(t: Tables) -> DataFrame:
@@ -162,9 +165,9 @@ def file_rollup(t: Tables) -> DataFrame:
 
 
 def retained_bridges(t: Tables) -> DataFrame:
-    edges = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).where("o_totalprice > 350000")
-    edges = edges.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("p"), F.col("o_orderkey") % 40).alias("target")).distinct()
-    back = t.supplier.where("s_suppkey % 3 = 0").select(F.concat(F.lit("p"), F.col("s_suppkey") % 40).alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target")).distinct()
+    edges = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    edges = edges.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("p"), F.col("o_orderkey") % 1000).alias("target")).distinct()
+    back = t.supplier.select(F.concat(F.lit("p"), F.col("s_suppkey") % 1000).alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target")).distinct()
     changed = t.spark.createDataFrame([("n1",), ("n4",), ("n9",)], "file string")
     return graph.retained_bridges(edges.union(back), changed, depth=3)
 
@@ -224,7 +227,7 @@ def verification_status(t: Tables) -> DataFrame:
 
 def closure_scan(t: Tables) -> DataFrame:
     word = F.regexp_extract("text", "[A-Za-z]{7,}", 0)
-    selectors = t.benchmark.select("item_id", word.alias("value"), F.lit(False).alias("phrase")).where("value <> '' and item_id % 4 = 0")
+    selectors = t.benchmark.select("item_id", word.alias("value"), F.lit(False).alias("phrase")).where("value <> ''")
     files = scan.read_until(t.documents.select("doc_id", "text", F.octet_length("text").alias("size")), "size", ["doc_id"]).where("within")
     found = scan.line_matches(files, selectors, "doc_id", "item_id")
     return scan.capped_matches(found, "item_id", ["doc_id", "line"]).select("item_id", "doc_id", "line", "place")
@@ -247,9 +250,9 @@ def ordered_path(t: Tables) -> DataFrame:
 
 def _rankings(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = t.documents.select("lang", "doc_id", "n_chars")
-    ranked = evaluation.ranked_candidates(docs, ["lang"], [F.col("n_chars").desc(), "doc_id"]).where("place <= 1000")
     gold = t.labels.where("quality = 1").select("doc_id").join(t.documents.select("doc_id", "lang"), "doc_id").where("lang <> 'fr'")
-    return ranked, gold, docs.select("lang").distinct()
+    order = [(-F.col("n_chars")).alias("n_chars"), F.col("doc_id")]
+    return evaluation.telling_places(docs, gold, ["lang"], "doc_id", order, 50), gold, docs.select("lang").distinct()
 
 
 def query_scores(t: Tables) -> DataFrame:
@@ -345,7 +348,7 @@ def markdown_statements(t: Tables) -> DataFrame:
 
 def budgeted_paths(t: Tables) -> DataFrame:
     """Supply edges of each nation's suppliers as a review: two seeds each, all budgets."""
-    edges = t.lineitem.where("l_quantity = 50").join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    edges = t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     edges = edges.select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("target"), F.lit("calls").alias("relation"), F.col("l_partkey").alias("order")).distinct()
     seeds = t.supplier.withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("n <= 2").select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.col("n").alias("order"))
     found = graph.budgeted_paths(edges, seeds)
