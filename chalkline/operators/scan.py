@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.functions.paths import fact_profile
+from chalkline.functions.selectors import inferred_selectors
+from chalkline.operators.association import indexed
+
+#: Phrases that all lines are matched with at once.
+PHRASES = 5_000
 # Bounds of a scan, folders it leaves out, and the symbol tokens it matches.
 MAX_FILES, MAX_BYTES, MAX_MATCHES = 2000, 8_000_000, 100
 IGNORED_FOLDERS = (
@@ -20,14 +28,14 @@ def quoted(value: Column) -> Column:
 
 
 def bounded_match(text: Column, selector: Column, phrase: Column) -> Column:
-    """A phrase is found anywhere in any case; anything else between characters that aren't of words."""
-    word = F.concat(F.lit(r"(?:^|[^A-Za-z0-9_])"), quoted(selector), F.lit(r"(?:$|[^A-Za-z0-9_])"))
+    """A phrase is found anywhere; anything else between characters that aren't of words. Case never matters."""
+    word = F.concat(F.lit(r"(?i)(?:^|[^A-Za-z0-9_])"), quoted(selector), F.lit(r"(?:$|[^A-Za-z0-9_])"))
     return F.when(phrase, F.contains(F.lower(text), F.lower(selector))).otherwise(F.regexp_like(text, word))
 
 
 def within_scopes(path: Column, scopes: Column) -> Column:
-    """Without scopes every path is within; else one that is a scope or below it."""
-    return (F.size(scopes) == 0) | F.exists(scopes, lambda s: (path == s) | path.startswith(F.concat(F.rtrim(s, F.lit("/")), F.lit("/"))))
+    """Without scopes every path is within; else one that any scope is found in."""
+    return (F.size(scopes) == 0) | F.exists(scopes, lambda s: bounded_match(path, s, F.lit(False)))
 
 
 def read_until(files: DataFrame, size: str, order: list[str], max_bytes: int = MAX_BYTES, bins: int = 1024) -> DataFrame:
@@ -54,16 +62,21 @@ def scannable(path: Column) -> Column:
 def line_matches(files: DataFrame, selectors: DataFrame, file_key: str, selector_key: str) -> DataFrame:
     """file_key, selector_key and line (from 1) of lines of files (text) that match a selector (value, phrase).
 
-    Selectors are a plan's few; each word selector meets lines through its first symbol token, phrases through none.
+    A word selector meets lines through its first symbol token; phrases and selectors without tokens meet every line, in
+    blocks of PHRASES.
     """
     lines = files.select(file_key, F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
-    keyed = selectors.withColumn("head", F.regexp_extract("value", SYMBOL, 0))
-    words = keyed.where("not phrase and head <> ''")
-    tokens = lines.withColumn("head", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0)))))
-    found = tokens.join(F.broadcast(words), "head").where(bounded_match(F.col("content"), F.col("value"), F.lit(False)))
-    loose = keyed.where("phrase or head = ''")
-    plain = lines.join(F.broadcast(loose), bounded_match(F.col("content"), F.col("value"), F.col("phrase")))
-    return found.select(file_key, selector_key, "line").union(plain.select(file_key, selector_key, "line"))
+    keyed = selectors.withColumn("head", F.lower(F.regexp_extract("value", SYMBOL, 0)))
+    words, loose = keyed.where("not phrase and head <> ''"), keyed.where("phrase or head = ''")
+    tokens = lines.withColumn("head", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0)), F.lower))))
+    found = tokens.join(indexed(words, words.count()), "head").where(bounded_match(F.col("content"), F.col("value"), F.lit(False)))
+    out = found.select(file_key, selector_key, "line")
+    blocks = -(-loose.count() // PHRASES)
+    for k in range(blocks):
+        block = F.broadcast(loose.where(F.pmod(F.xxhash64(selector_key, "value"), F.lit(blocks)) == k))  # some PHRASES rows
+        plain = lines.join(block, bounded_match(F.col("content"), F.col("value"), F.col("phrase")))
+        out = out.union(plain.select(file_key, selector_key, "line"))
+    return out
 
 
 def capped_matches(matches: DataFrame, plan: str, order: list[str], limit: int = MAX_MATCHES) -> DataFrame:
@@ -79,14 +92,111 @@ def scan_coverage(plans: DataFrame, files: DataFrame, plan: str) -> DataFrame:
 
 
 def scan_plans(statements: DataFrame) -> DataFrame:
-    """A plan for each guardrail, removal claim and negative completion condition (statement_id, kind, text, expectation).
+    """A plan for each side of a guardrail, a removal and a negative completion condition (statement_id, kind, text, expectation).
 
-    Removals scan both revisions, the others the head.
+    Removals scan both revisions and expect a transition, the others the head and absence.
     """
     wanted = statements.where(F.col("kind").isin("guardrail", "removal") | ((F.col("kind") == "completion_condition") & (F.col("expectation") == "absent_head")))
-    sides = F.when(F.col("kind") == "removal", F.array(F.lit("base"), F.lit("head"))).otherwise(F.array(F.lit("head")))
-    digest = F.substring(F.sha2(F.concat_ws("\0", "statement_id", "kind"), 256), 1, 20)
-    return wanted.select(F.concat(F.lit("SP:"), digest).alias("plan_id"), "statement_id", "kind", "expectation", F.explode(sides).alias("revision_side"))
+    removal = F.col("kind") == "removal"
+    sides = F.when(removal, F.array(F.lit("base"), F.lit("head"))).otherwise(F.array(F.lit("head")))
+    expects = F.when(removal, "transition").otherwise("absence")
+    return wanted.select(F.concat(F.lit("CSP:"), "statement_id").alias("plan_id"), "statement_id", "kind", expects.alias("expectation"), F.explode(sides).alias("revision_side"))
+
+
+def authored_candidates(predicates: DataFrame) -> DataFrame:
+    """plan_id, place, role, kind, value and source_predicate_id of claims' predicates (claim_id, predicate_id, selector_kind,
+    values, role, n); ordered paths select nothing."""
+    kind = F.when(F.col("selector_kind") == "repository_path", "path").otherwise("identifier")
+    return predicates.where("selector_kind <> 'ordered_path'").select(
+        F.concat(F.lit("CSP:"), "claim_id").alias("plan_id"), F.col("n").alias("place"), "role", kind.alias("kind"), F.col("values")[0].alias("value"), F.col("predicate_id").alias("source_predicate_id")
+    )
+
+
+def inferred_candidates(guardrails: DataFrame) -> DataFrame:
+    """The same of guardrails' prose (statement_id, text): all are targets that no predicate is behind."""
+    found = guardrails.select(F.concat(F.lit("CSP:"), "statement_id").alias("plan_id"), F.posexplode(inferred_selectors(F.col("text"))).alias("place", "s"))
+    return found.select("plan_id", "place", F.lit("target").alias("role"), "s.kind", "s.value", F.lit(None).cast("string").alias("source_predicate_id"))
+
+
+def scan_predicates(candidates: DataFrame) -> DataFrame:
+    """plan_id, predicate_id, kind, value, scopes and source_predicate_id of a plan's distinct targets, numbered in order.
+
+    Every target is looked for within all of the plan's path scopes; a plan with scopes has no phrases.
+    """
+    scoped = candidates.where("role = 'path_scope' and kind = 'path'").groupBy("plan_id", "value").agg(F.min("place").alias("place"))
+    scopes = scoped.groupBy("plan_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("scopes"))
+    targets = candidates.where("role = 'target'").groupBy("plan_id", "kind", "value", "source_predicate_id").agg(F.min("place").alias("place"))
+    joined = targets.join(scopes, "plan_id", "left").withColumn("scopes", F.coalesce("scopes", F.array().cast("array<string>")))
+    kept = joined.where("size(scopes) = 0 or kind <> 'phrase'")
+    number = F.row_number().over(Window.partitionBy("plan_id").orderBy("place", "kind", "value", "source_predicate_id"))
+    return kept.withColumn("number", number).select("plan_id", F.concat_ws(":predicate:", "plan_id", F.col("number").cast("string")).alias("predicate_id"), "number", "kind", "value", "scopes", "source_predicate_id")
+
+
+def scan_refusal(side: Column, has_root: Column, revision: Column, expected: Column, clean: Column, n_predicates: Column) -> Column:
+    """Why a plan isn't scanned on a side; null if it is. A checkout must be there, at the reviewed revision and without changes."""
+    stale = (F.coalesce(revision, F.lit("")) == "") | ((F.coalesce(expected, F.lit("")) != "") & (revision != expected))
+    return (
+        F.when(~has_root, F.when(side == "base", "closure_scan_base_input_missing").otherwise("closure_scan_head_input_missing"))
+        .when(stale, "closure_scan_stale_checkout")
+        .when(~clean, "closure_scan_dirty_checkout")
+        .when(n_predicates == 0, "closure_scan_no_executable_selector")
+    )
+
+
+def scanned_paths(files: DataFrame, keys: list[str], max_files: int = MAX_FILES) -> DataFrame:
+    """The first max_files files of each checkout (keys; path) by path, and file_limited: whether there are more."""
+    order = Window.partitionBy(*keys).orderBy("path")
+    first = files.where(scannable(F.col("path"))).withColumn("path_place", F.row_number().over(order)).where(F.col("path_place") <= max_files + 1)
+    more = F.max("path_place").over(Window.partitionBy(*keys)) > max_files
+    return first.withColumn("file_limited", more).where(F.col("path_place") <= max_files)
+
+
+def surface_matches(files: DataFrame, predicates: DataFrame, keys: list[str], max_bytes: int = MAX_BYTES, max_matches: int = MAX_MATCHES) -> tuple[DataFrame, DataFrame]:
+    """Matches of plans on three surfaces, and how far each plan was scanned.
+
+    files: of scanned_paths(), with text (null if it can't be read); predicates: keys and the columns of scan_predicates().
+    Paths come first, then file after file: its lines' contents, then their symbol names. Of a plan the first max_matches
+    count; contents are read until max_bytes; files with a NUL at their beginning aren't read. A checkout has at most
+    max_files files, so its plans meet them by key; lines are never sent to all tasks.
+    """
+    whole = [*keys, "plan_id"]
+    met = files.join(predicates, keys).where(within_scopes(F.col("path"), F.col("scopes")))
+    columns = [*whole, "predicate_id", "number", "surface", "path", "line", "excerpt", "turn", "at"]
+    named = met.where((F.col("kind") == "path") & bounded_match(F.col("path"), F.col("value"), F.lit(False)))
+    named = named.select(*whole, "predicate_id", "number", F.lit("paths").alias("surface"), "path", F.lit(0).alias("line"), F.col("path").alias("excerpt"), F.lit(0).alias("turn"), F.lit(0).alias("at"))
+    readable = F.col("text").isNotNull() & ~F.contains(F.substring("text", 1, 4096), F.lit("\0"))
+    read = met.where((F.col("kind") != "path") & readable)
+    # a plan's files are counted once, whatever predicates look at them
+    sizes = read.groupBy(*whole, "path").agg(F.first(F.octet_length("text")).alias("size"))
+    upto = F.sum("size").over(Window.partitionBy(*whole).orderBy("path"))
+    sizes = sizes.withColumn("fits", upto <= max_bytes)
+    lines = read.join(sizes.where("fits").select(*whole, "path"), [*whole, "path"]).select(*whole, "predicate_id", "number", "kind", "value", "path", F.posexplode(F.split("text", "\r\n|[\n\r]", -1)).alias("line", "content"))
+    lines = lines.withColumn("line", F.col("line") + 1)
+    contents = lines.where(bounded_match(F.col("content"), F.col("value"), F.col("kind") == "phrase"))
+    contents = contents.select(*whole, "predicate_id", "number", F.lit("file_content").alias("surface"), "path", "line", F.substring(F.trim("content"), 1, 240).alias("excerpt"), F.lit(1).alias("turn"), F.lit(0).alias("at"))
+    symbols = lines.where("kind = 'identifier'").select("*", F.posexplode(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0))).alias("at", "symbol")).where(F.lower("symbol") == F.lower("value"))
+    symbols = symbols.select(*whole, "predicate_id", "number", F.lit("symbol_names").alias("surface"), "path", "line", F.col("symbol").alias("excerpt"), F.lit(2).alias("turn"), "at")
+    found = reduce(DataFrame.union, [part.select(*columns) for part in (named, contents, symbols)])
+    order = Window.partitionBy(*whole).orderBy(F.col("turn") > 0, "path", "line", "turn", "at", "number")
+    found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_matches)
+    identity = F.concat_ws("\0", "plan_id", "predicate_id", "revision_side" if "revision_side" in keys else F.lit("head"), F.concat("predicate_id", F.lit(":target")), "surface", "path", F.col("line").cast("string"))
+    rows = found.select(*whole, "predicate_id", F.concat(F.lit("CSM:"), F.substring(F.sha2(identity, 256), 1, 16)).alias("match_id"), "surface", "path", F.nullif("line", F.lit(0)).alias("line"), "excerpt", fact_profile(F.col("path")).alias("profile"), "place")
+    plans = predicates.select(*whole).distinct().join(files.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.bool_or("file_limited").alias("file_limited")), keys, "left")
+    byte_limited = sizes.groupBy(*whole).agg(F.bool_or(~F.col("fits")).alias("byte_limited"), F.count_if("fits").alias("n_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("n_bytes"))
+    n_matches = found.groupBy(*whole).agg(F.count("*").alias("n_matches"))
+    states = plans.join(byte_limited, whole, "left").join(n_matches, whole, "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"]).na.fill(False, ["file_limited", "byte_limited"])
+    limited = F.col("file_limited") | F.col("byte_limited") | (F.col("n_matches") >= max_matches)
+    return rows, states.select(*whole, "n_paths", "n_files", "n_bytes", "n_matches", F.when(F.col("n_paths") == 0, "unavailable").when(limited, "partial").otherwise("complete").alias("state"))
+
+
+def closure_evidence(states: DataFrame, sides: list[str]) -> DataFrame:
+    """plan columns, n_matches and summary: one fact for all sides of a plan's scan, side by side in the order of names.
+
+    states: plan_id, revision_side, n_matches and state.
+    """
+    said = F.struct("revision_side", F.concat_ws(": ", "revision_side", "state").alias("text"))
+    folded = states.where(F.col("revision_side").isin(*sides)).groupBy("plan_id").agg(F.sum("n_matches").alias("n_matches"), F.sort_array(F.collect_list(said)).alias("said"))
+    return folded.select("plan_id", "n_matches", F.array_join(F.transform("said", lambda x: x["text"]), "; ").alias("summary"))
 
 
 def unavailable_results(plans: DataFrame, message: str) -> DataFrame:

@@ -164,8 +164,8 @@ ORACLE_SQL = {
         files AS (SELECT doc_id, text FROM documents QUALIFY sum(octet_length(encode(text))) OVER (ORDER BY doc_id) <= 8000000),
         raw AS (SELECT doc_id, string_split(text, chr(10)) AS c FROM files),
         lines AS (SELECT doc_id, unnest(c) AS content, unnest(range(1, len(c) + 1)) AS line FROM raw)
-        SELECT item_id, doc_id, line, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, line) AS place FROM lines JOIN sel ON contains(content, v)
-        AND regexp_matches(content, '(^|[^A-Za-z0-9_])' || v || '($|[^A-Za-z0-9_])') QUALIFY place <= 100""",
+        SELECT item_id, doc_id, line, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, line) AS place FROM lines JOIN sel ON contains(lower(content), lower(v))
+        AND regexp_matches(content, '(?i)(^|[^A-Za-z0-9_])' || v || '($|[^A-Za-z0-9_])') QUALIFY place <= 100""",
     "predicate_rollup": f"""WITH s AS (SELECT l_orderkey, CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_quantity > 30 THEN 'contradicted' ELSE 'unverified' END WHEN l_linestatus = 'F' THEN 'demonstrated' ELSE 'partial' END AS s FROM lineitem)
         SELECT l_orderkey, count(*) AS n_predicates, {_ROLLED.format(s="s", full="")} AS status FROM s GROUP BY l_orderkey""",
     "component_rollup": f"""WITH s AS (SELECT o_custkey, o_orderpriority, CASE WHEN o_totalprice > 480000 THEN 'contradicted' WHEN o_orderstatus = 'F' THEN 'demonstrated' WHEN o_orderstatus = 'P' THEN 'partial' ELSE 'unverified' END AS s

@@ -134,9 +134,9 @@ def test_bounded_code(spark):
 
 
 def test_scan_matching(spark):
-    rows = [("x Old_Name()", "Old_Name", False), ("xOld_Name", "Old_Name", False), ("has OLD thing", "old THING", True), ("a.b c", "a.b", False), ("axb", "a.b", False)]
+    rows = [("x OLD_Name()", "Old_Name", False), ("xOld_Name", "Old_Name", False), ("has OLD thing", "old THING", True), ("a.b c", "a.b", False), ("axb", "a.b", False)]
     assert many(spark, "t string, s string, p boolean", rows, scan.bounded_match(C("t"), C("s"), C("p"))) == [True, False, True, True, False]
-    assert many(spark, "p string", [("src/a.py",), ("srcx/a.py",)], scan.within_scopes(C("p"), F.array(L("src/")))) == [True, False]
+    assert many(spark, "p string", [("src/a.py",), ("srcx/a.py",), ("lib/SRC/b",)], scan.within_scopes(C("p"), F.array(L("src"), L("nowhere")))) == [True, False, True]
     files = spark.createDataFrame([(i, "x" * i) for i in range(1, 50)], "id long, text string").withColumn("size", F.length("text"))
     kept = scan.read_until(files, "size", ["id"], max_bytes=100, bins=7).where("within").agg(F.max("id")).first()[0]
     assert kept == 13
@@ -214,6 +214,49 @@ def test_scan_plans(spark):
     assert {r.state for r in scan.unavailable_results(plans, "none").collect()} == {"unavailable"}
 
 
+def test_scan_predicates(spark):
+    schema = "claim_id string, predicate_id string, selector_kind string, values array<string>, role string, n int"
+    rows = [("T1", "p1", "symbol", ["Old"], "target", 1), ("T1", "p2", "repository_path", ["src/app/"], "path_scope", 2), ("T1", "p3", "ordered_path", ["a", "b"], "target", 3), ("T1", "p4", "repository_path", ["x.py"], "target", 4), ("T1", "p1", "symbol", ["Old"], "target", 5)]
+    authored = scan.authored_candidates(spark.createDataFrame(rows, schema))
+    prose = scan.inferred_candidates(spark.createDataFrame([("G1", "Do not touch the exporter module, keep loadRows")], "statement_id string, text string"))
+    got = {r.predicate_id: (r.kind, r.value, list(r.scopes), r.source_predicate_id) for r in scan.scan_predicates(authored.union(prose)).collect()}
+    assert got["CSP:T1:predicate:1"] == ("identifier", "Old", ["src/app/"], "p1") and got["CSP:T1:predicate:2"] == ("path", "x.py", ["src/app/"], "p4")
+    assert got["CSP:G1:predicate:2"] == ("identifier", "loadRows", [], None) and got["CSP:G1:predicate:1"][0] == "phrase" and len(got) == 4
+
+
+def test_scan_surfaces(spark):
+    files = spark.createDataFrame(
+        [("r", "head", "src/old.py", "x = OldThing\nOldThing(oldthing)\n"), ("r", "head", "src/b.py", "nothing\0 OldThing"), ("r", "head", "lib/OldThing.py", "a OldThing b"), ("r", "head", "vendor/z.py", "OldThing"), ("r", "base", "src/old.py", "OldThing")],
+        "review_id string, revision_side string, path string, text string",
+    )
+    keys = ["review_id", "revision_side"]
+    seen = scan.scanned_paths(files, keys)
+    assert "vendor/z.py" not in {r.path for r in seen.collect()}
+    own = [("r", s, "CSP:T1", f"CSP:T1:predicate:{n}", n, kind, value, scopes, None) for s in ("base", "head") for n, kind, value, scopes in ((1, "identifier", "OldThing", ["src"]), (2, "path", "old.py", ["src"]), (3, "phrase", "b", []))]
+    predicates = spark.createDataFrame(own, "review_id string, revision_side string, plan_id string, predicate_id string, number int, kind string, value string, scopes array<string>, source_predicate_id string")
+    found, states = scan.surface_matches(seen, predicates, keys)
+    got = [(r.predicate_id[-1], r.surface, r.path, r.line, r.excerpt, r.profile) for r in found.where("revision_side = 'head'").orderBy("place").collect()]
+    assert got == [
+        ("2", "paths", "src/old.py", None, "src/old.py", "production"),
+        ("3", "file_content", "lib/OldThing.py", 1, "a OldThing b", "production"),
+        ("1", "file_content", "src/old.py", 1, "x = OldThing", "production"),
+        ("1", "symbol_names", "src/old.py", 1, "OldThing", "production"),
+        ("1", "file_content", "src/old.py", 2, "OldThing(oldthing)", "production"),
+        ("1", "symbol_names", "src/old.py", 2, "OldThing", "production"),
+        ("1", "symbol_names", "src/old.py", 2, "oldthing", "production"),
+    ]
+    assert {(r.revision_side, r.n_files, r.n_matches, r.state) for r in states.collect()} == {("head", 2, 7, "complete"), ("base", 1, 3, "complete")}
+    few, cut = scan.surface_matches(scan.scanned_paths(files, keys, 1), predicates, keys, max_bytes=5, max_matches=2)
+    assert {r.state for r in cut.collect()} == {"partial"} and few.where("revision_side = 'head'").count() == 0
+    assert {tuple(r) for r in scan.closure_evidence(states, ["base", "head"]).collect()} == {("CSP:T1", 10, "base: complete; head: complete")}
+
+
+def test_scan_refusals(spark):
+    rows = [("base", False, None, None, True, 1), ("head", True, "x", "y", True, 1), ("head", True, "x", "x", False, 1), ("head", True, "x", None, True, 0), ("head", True, "x", "x", True, 1)]
+    got = many(spark, "s string, r boolean, v string, e string, c boolean, n int", rows, scan.scan_refusal(C("s"), C("r"), C("v"), C("e"), C("c"), C("n")))
+    assert got == ["closure_scan_base_input_missing", "closure_scan_stale_checkout", "closure_scan_dirty_checkout", "closure_scan_no_executable_selector", None]
+
+
 @pytest.mark.parametrize("states, wanted", [(["no_association"], "unassociated"), (["stale_source"], "unavailable"), ([], "no_structural_evidence")])
 def test_dispositions(spark, states, wanted):
     assert one(spark, "s array<string>", (states,), graph.disposition_state(L(False), L(0), L(0), C("s"))) == wanted
