@@ -70,6 +70,12 @@ def eligible_evidence(claim_kind: Column, role: Column, profile: Column, operati
     return F.when(silent, False).otherwise(F.coalesce(out, F.lit(False)))
 
 
+def eligible_candidate(claim_kind: Column, role: Column, profile: Column, operation: Column, base_keys: Column, head_keys: Column) -> Column:
+    """eligible_evidence() for outside selectors, who may be asked about states: any fact of that revision speaks for one."""
+    own = eligible_evidence(claim_kind, role, profile, operation, base_keys, head_keys)
+    return F.when(claim_kind == "before_state", F.size(base_keys) > 0).when(claim_kind == "after_state", F.size(head_keys) > 0).otherwise(own)
+
+
 def inferred_selectors(text: Column) -> Column:
     """Array of (kind, value) from prose: a clause's identifiers, or its first four words as a phrase."""
     edge = lambda w: F.lower(w).isin(*EDGE_WORDS)

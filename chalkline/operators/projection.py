@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions.paths import architectural_domain, architectural_layer
@@ -145,3 +145,50 @@ def owned_diagnostics(diagnostics: DataFrame) -> DataFrame:
     shared = F.size(F.collect_set("focus_id").over(group)) > 1
     owner = F.when(F.col("state") == "not_applicable", "hidden").when((F.col("scope") == "review") | F.col("focus_id").isNull() | shared, "review").otherwise(F.concat(F.lit("focus:"), "focus_id"))
     return diagnostics.withColumn("owner", owner)
+
+
+def merged_members(rows: DataFrame, keys: list[str], agreeing: list[str], unions: list[str]) -> tuple[DataFrame, DataFrame]:
+    """One row for each member (keys) of several selections, its list columns (unions) as sorted unions, and the conflicts.
+
+    A member must be described alike wherever it is selected: conflicts names keys and columns of agreeing that aren't.
+    Unknown values (null, unresolved) agree with any.
+    """
+    known = lambda c: F.when(F.col(c) != "unresolved", F.col(c))
+    folded = rows.groupBy(*keys).agg(
+        *[F.coalesce(F.max(known(c)), F.max(c)).alias(c) for c in agreeing],
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in unions],
+        F.array_compact(F.array(*[F.when(F.min(known(c)) != F.max(known(c)), F.lit(c)) for c in agreeing])).alias("_conflicts"),
+    )
+    conflicts = folded.select(*keys, F.explode("_conflicts").alias("column"))
+    return folded.drop("_conflicts"), conflicts
+
+
+def is_structural(slot: Column, target_kind: Column) -> Column:
+    """Whether a selected relation has a place in the graph: a path, or an anchor or context that is a symbol or its change."""
+    around = slot.isin("changed_anchor", "runtime_context", "test_context") & target_kind.isin("symbol", "structural_change")
+    return F.coalesce((slot == "structural_path") | around, F.lit(False))
+
+
+def claim_disposition(projected: Column, n_deferred: Column, kind: Column, n_predicates: Column, n_seeds: Column) -> Column:
+    """The disposition of a transformation claim: state claims need no structure, predicates without subjects are unassociated."""
+    return (
+        F.when(projected, "projected")
+        .when(n_deferred > 0, "deferred")
+        .when(kind.isin("before_state", "after_state", "uncertainty"), "not_applicable")
+        .when((n_predicates > 0) & (n_seeds == 0), "unassociated")
+        .otherwise("no_structural_evidence")
+    )
+
+
+def selector_provenance(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """review_id, claim_id, node_id, membership and sources of nodes that predicates' subjects are (found: review_id,
+    claim_id, predicate_id, evidence_id; facts: review_id, id, node_id): all asserted."""
+    met = found.join(facts.select("review_id", F.col("id").alias("evidence_id"), "node_id"), ["review_id", "evidence_id"])
+    sources = F.array_sort(F.collect_set(F.concat_ws(":", F.lit("selector"), "predicate_id", "evidence_id")))
+    return met.where("node_id is not null").groupBy("review_id", "claim_id", "node_id").agg(sources.alias("sources")).withColumn("membership", F.lit("asserted"))
+
+
+def overlay_evidence(overlay: DataFrame, nodes: DataFrame) -> DataFrame:
+    """review_id, focus_id and the sorted ids of facts behind an overlay's members (nodes: review_id, node_id, evidence_ids)."""
+    met = overlay.join(nodes.select("review_id", "node_id", F.explode("evidence_ids").alias("id")), ["review_id", "node_id"])
+    return met.groupBy("review_id", "focus_id").agg(F.array_sort(F.collect_set("id")).alias("evidence_ids"))

@@ -2,10 +2,12 @@
 
 import pytest
 
-from chalkline.plans.queries import QUERIES
-from chalkline.plans.sql import ORACLE_SQL
+from chalkline.plans import queries, review_queries, review_sql, sql
 from tests.compare import duck_rows, spark_rows
 
+QUERIES = queries.QUERIES | review_queries.QUERIES
+ORACLE_SQL = sql.ORACLE_SQL | review_sql.ORACLE_SQL
+
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, duck, sf_dir, name):
