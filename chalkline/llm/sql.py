@@ -72,8 +72,8 @@ OP8 = f"""WITH tt AS (SELECT k, name, unnest({_TERMS.format("t")}) AS term FROM
   tv AS (SELECT k, name, term, x / sqrt(sum(x * x) OVER (PARTITION BY k)) AS x FROM tw),
   l AS (SELECT *, string_split(text, chr(10)) AS lines FROM d WHERE text IS NOT NULL),
   u AS (SELECT doc_id, is_file, text, lines,
-      list_filter(regexp_split_to_array(array_to_string(list_transform(lines, lambda x: regexp_replace(regexp_replace(x, '{_OPENS}', ''), '{_CLOSES}', '')), chr(10)), '\n{{2,}}'), lambda x: contains(x, chr(10))) AS paragraphs,
-      CASE WHEN regexp_matches(text, '^\s*/\*') THEN split_part(text, '*/', 1) WHEN regexp_matches(text, '^\s*<!--') THEN split_part(text, '-->', 1)
+      list_filter(regexp_split_to_array(array_to_string(list_transform(lines, lambda x: regexp_replace(regexp_replace(x, '{_OPENS}', ''), '{_CLOSES}', '')), chr(10)), '\\n{{2,}}'), lambda x: contains(x, chr(10))) AS paragraphs,
+      CASE WHEN regexp_matches(text, '^\\s*/\\*') THEN split_part(text, '*/', 1) WHEN regexp_matches(text, '^\\s*<!--') THEN split_part(text, '-->', 1)
         ELSE array_to_string(lines[1:coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '{_COMMENT}')), false), len(lines) + 1) - 1], chr(10)) END AS header FROM l),
   units AS (SELECT doc_id, unnest(us) AS line, unnest(range(len(us))) AS unit
     FROM (SELECT doc_id, list_concat(lines, paragraphs, [header], CASE WHEN is_file THEN [text] ELSE [] END) AS us FROM u)),
