@@ -27,7 +27,7 @@ from chalkline.llm.common import bounded_batches, checkpointed, filtered, fresh,
 
 WINDOW = 13
 #: Bytes of benchmark texts that are searched for in one pass; of documents' texts whose suffixes are sorted at once.
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 #: A document is contaminated if matches cover at least one word of so many.
 SHARE = 20
 MATCHES = "array<struct<item_id:bigint,item_start:int,doc_start:int,length:int>>"

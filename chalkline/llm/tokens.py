@@ -34,8 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group; rows of a page (the grain of its index).
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
-#: Pieces and words remembered by a worker at most (together some 250 MB).
-PIECES, WORDS = 700_000, 400_000
+#: Pieces and words remembered by a worker at most (together some 130 MB).
+PIECES, WORDS = 400_000, 300_000
 #: Bytes of texts that a worker tokenizes in one go.
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
@@ -134,16 +134,17 @@ class PieceEncoder:
             spec = json.load(file)
         self.line = self.whole(["\n"])[0]
         self.by_pieces = cut_at_spaces(spec) and len(self.line) == 1
-        self.words = None
+        self.forget_words()
         self.forget()
 
     def forget(self) -> None:
         self.number, self.pieces = Numbers(["", "\n"]), Runs()
         self.pieces.add_lists([[self.end_id], self.line])
-        if self.words is None or len(self.words) > WORDS:
-            known = ["", "\n", *MARKS]
-            self.words, self.parts = Numbers(known), Runs()
-            self.parts.add_lists([[], *self.whole(known[1:])])
+
+    def forget_words(self) -> None:
+        known = ["", "\n", *MARKS]
+        self.words, self.parts = Numbers(known), Runs()
+        self.parts.add_lists([[], *self.whole(known[1:])])
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts by the tokenizer as it is."""
@@ -154,6 +155,8 @@ class PieceEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if len(self.words) > WORDS:
+            self.forget_words()
         pieces, self.number.new = pa.array(self.number.new, pa.string()), []
         found, at_line = pc.extract_regex(pieces, PLAIN), pc.starts_with(pieces, "\n")
         body = pc.coalesce(pc.struct_field(found, "word"), pc.replace_substring_regex(pieces, r"^\n", ""))
