@@ -150,7 +150,7 @@ def test_evaluate_command(spark, tmp_path, target, code):
     (tmp_path / "in" / "one.json").write_text(json.dumps(packet(1, BODY, None, files)))
     fact = "E:change_relation:" + hashlib.sha256(b"change_relation\0hunk:src/app/ledger.py:0:change:0:1,2").hexdigest()[:20]
     gold = [{"slot": "changed_anchor", "focus_statement_id": "R1", "target_id": fact if target == "hit" else "E:none"}]
-    suite = {"schema_version": "evaluation_suite.v6", "k": 5, "thresholds": {"recall_at_k": 1.0, "other": 1.0}, "cases": [{"id": "c", "fixture": "x/one.json", "expected_selections": gold, "expected_no_selections": [{"slot": "changed_anchor", "focus_statement_id": "R9"}]}]}
+    suite = {"schema_version": "evaluation_suite.v6", "k": 5, "thresholds": {"recall_at_k": 1.0}, "cases": [{"id": "c", "fixture": "x/one.json", "expected_selections": gold, "expected_no_selections": [{"slot": "changed_anchor", "focus_statement_id": "R9"}]}]}
     (tmp_path / "suite.json").write_text(json.dumps(suite))
     args = ["evaluate", str(tmp_path / "suite.json"), str(tmp_path / "in"), "--json", str(tmp_path / "a.json"), "--markdown", str(tmp_path / "a.md")]
     assert cli.main(args) == code
@@ -161,3 +161,6 @@ def test_evaluate_command(spark, tmp_path, target, code):
         assert cli.main(args) == code and (tmp_path / "a.json").read_bytes() == first
     (tmp_path / "suite.json").write_text(json.dumps(suite | {"schema_version": "v0"}))
     assert cli.main(args) == 2
+    # a threshold that nothing is computed for is refused, not passed over
+    (tmp_path / "suite.json").write_text(json.dumps(suite | {"thresholds": {"recall_at_k": 1.0, "other": 1.0}}))
+    assert cli.main(args) == 2
