@@ -5,9 +5,9 @@ shard (the range) and its start within it besides the ids, so metadata can be re
 indexes let a reader of a few doc_ids skip the other pages. Spark's own writer commits the files, so a lost executor's
 files are written again.
 
-Byte-level tokenizers: pieces between single spaces or line feeds are tokenized once and remembered, as the
-pre-tokenizer always cuts before a single space between characters that aren't white space, and around a single line
-feed between such. So a text's ids are those of its pieces in turn. Texts with any other white space, and all texts
+Byte-level tokenizers: texts are cut into pieces between single spaces or line feeds, as the pre-tokenizer always cuts
+before a single space between characters that aren't white space, and around a single line feed between such. So a
+text's ids are those of its pieces in turn. A piece's word is tokenized once and remembered. Texts with any other white space, and all texts
 where the tokenizer's file has another pre-tokenizer, a normalizer or added tokens that reach beyond a piece, are
 tokenized whole.
 
@@ -34,8 +34,8 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Bytes of a row group; rows of a page (the grain of its index).
 GROUP_BYTES, PAGE_ROWS = 64 << 20, 64
-#: Pieces and words remembered by a worker at most (together some 130 MB).
-PIECES, WORDS = 400_000, 300_000
+#: Words remembered by a worker at most (some 130 MB).
+WORDS = 700_000
 #: Bytes of texts that a worker tokenizes in one go.
 SLICE_BYTES = 4 << 20
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens int, ids array<int>"
@@ -46,6 +46,8 @@ ODD_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680
 
 #: A word of Latin letters and at most one mark behind it: the pre-tokenizer cuts between the two and nowhere else.
 LETTERS, MARKS = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}", ".,:;!?"
+#: Stands for a text's end among the words; no word begins with two spaces.
+END = "  "
 PLAIN, WORD = rf"^\n?(?P<word>[{LETTERS}]+)(?P<mark>[{MARKS}]?)$", rf"^ ?[{LETTERS}]+$"
 
 
@@ -105,6 +107,12 @@ class Runs:
     def add_lists(self, lists: list[list[int]]) -> None:
         self.add(np.fromiter(chain.from_iterable(lists), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))
 
+    @classmethod
+    def of(cls, flat: np.ndarray, lengths: np.ndarray) -> Runs:
+        runs = cls()
+        runs.add(flat, lengths)
+        return runs
+
     def take(self, at: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbers at one after another, and their lengths; the first id goes at the places skip."""
         lengths, starts = self.lengths[at], self.starts[at]
@@ -117,11 +125,12 @@ class Runs:
 
 
 class PieceEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of pieces and of their words.
+    """Ids of texts by a tokenizer of the tokenizers library; remembers the ids of words.
 
     A piece is what stands after a space; one that begins with a line feed stands after that instead. The empty piece
     is the end of a text, a lone line feed is an empty text (its id is cut off like that before any text's first piece).
     A piece is a line feed or nothing, its word (the space before it included) or whatever else it is, and its mark.
+    Pieces are far more than words, so a slice's distinct pieces are put together from their words by Arrow and numpy.
     """
 
     def __init__(self, path: str, end_id: int = END_ID):
@@ -135,32 +144,27 @@ class PieceEncoder:
         self.line = self.whole(["\n"])[0]
         self.by_pieces = cut_at_spaces(spec) and len(self.line) == 1
         self.forget_words()
-        self.forget()
-
-    def forget(self) -> None:
-        self.number, self.pieces = Numbers(["", "\n"]), Runs()
-        self.pieces.add_lists([[self.end_id], self.line])
 
     def forget_words(self) -> None:
-        known = ["", "\n", *MARKS]
-        self.words, self.parts = Numbers(known), Runs()
-        self.parts.add_lists([[], *self.whole(known[1:])])
+        known = ["\n", *MARKS]
+        self.words, self.parts = Numbers(["", *known, END]), Runs()
+        self.parts.add_lists([[], *self.whole(known), [self.end_id]])
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts by the tokenizer as it is."""
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self) -> None:
-        """Tokenize the new pieces."""
+    def piece_runs(self, pieces) -> Runs:
+        """Ids of distinct pieces (a pyarrow string array), by their places."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
         if len(self.words) > WORDS:
             self.forget_words()
-        pieces, self.number.new = pa.array(self.number.new, pa.string()), []
         found, at_line = pc.extract_regex(pieces, PLAIN), pc.starts_with(pieces, "\n")
         body = pc.coalesce(pc.struct_field(found, "word"), pc.replace_substring_regex(pieces, r"^\n", ""))
         words = pc.binary_join_element_wise(pc.if_else(at_line, "", " "), body, "")
+        words = pc.if_else(pc.equal(pieces, ""), pa.scalar(END), words)
         numbers = [
             at_line.to_numpy(zero_copy_only=False).astype(np.int32),  # the line feed's number is 1
             self.words.of(words.dictionary_encode()),
@@ -168,7 +172,7 @@ class PieceEncoder:
         ]
         self.learn_words()
         flat, lengths = self.parts.take(np.stack(numbers, 1).ravel())
-        self.pieces.add(flat, lengths.reshape(-1, 3).sum(1))
+        return Runs.of(flat, lengths.reshape(-1, 3).sum(1))
 
     def learn_words(self) -> None:
         """Tokenize the new words; one of Latin letters alone is one pre-token, which the tokenizer's model takes as it is."""
@@ -180,10 +184,13 @@ class PieceEncoder:
             return
         plain = pc.match_substring_regex(pa.array(new, pa.string()), WORD).to_pylist()
         written = "\n".join(w for w, p in zip(new, plain) if p).encode().decode("latin-1").translate(self.letters).split(self.letters[10])
-        tokenize = self.tokenizer.model.tokenize
-        by_model = iter([[t.id for t in tokenize(w)] for w in written])
-        others = iter(self.whole([w for w, p in zip(new, plain) if not p]))
-        self.parts.add_lists([next(by_model if p else others) for p in plain])
+        tokenize, others = self.tokenizer.model.tokenize, iter(self.whole([w for w, p in zip(new, plain) if not p]))
+        flat, lengths, letters = [], [], iter(written)
+        for p in plain:  # flat, as a list for each word would be the garbage collector's to visit
+            ids = [t.id for t in tokenize(next(letters))] if p else next(others)
+            flat += ids
+            lengths.append(len(ids))
+        self.parts.add(np.array(flat, np.int32), np.array(lengths, np.int64))
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (a pyarrow string array without nulls) one after another, the end id after each, and how many each has."""
@@ -200,17 +207,13 @@ class PieceEncoder:
                 for i, part in zip(at.tolist(), np.split(flat, np.cumsum(sizes)[:-1])):
                     parts[i] = part
             return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
-        if len(self.number) > PIECES:
-            self.forget()
         lines = pc.replace_substring(texts, "\n", " \n")
         pieces = pc.split_pattern(pc.binary_join_element_wise("\n", lines, " ", ""), " ")
         cuts = pieces.offsets.to_numpy().astype(np.int64)
         cuts -= cuts[0]
-        at = self.number.of(pieces.flatten().dictionary_encode())
-        if self.number.new:
-            self.learn()
+        coded = pieces.flatten().dictionary_encode()
         # a text's first piece was written after a line feed, whose id goes
-        flat, lengths = self.pieces.take(at, cuts[:-1])
+        flat, lengths = self.piece_runs(coded.dictionary).take(coded.indices.to_numpy(), cuts[:-1])
         return flat, np.diff(np.r_[0, np.cumsum(lengths, dtype=np.int64)][cuts])
 
     def encode_whole(self, texts) -> tuple[np.ndarray, np.ndarray]:
