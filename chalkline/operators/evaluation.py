@@ -122,3 +122,12 @@ def partition_faults(candidates: DataFrame, labels: DataFrame, request: str, ite
 
 def ranked_candidates(candidates: DataFrame, query: list[str], order: list) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(Window.partitionBy(*query).orderBy(*order)))
+
+
+def query_mismatches(observed: DataFrame, expected: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """keys, missing and unexpected (sorted items) of queries whose observed items aren't the expected ones."""
+    left = observed.select(*keys, item).distinct().withColumn("seen", F.lit(True))
+    right = expected.select(*keys, item).distinct().withColumn("wanted", F.lit(True))
+    joined = left.join(right, [*keys, item], "full_outer").where("seen is null or wanted is null")
+    only = lambda flag: F.array_sort(F.collect_list(F.when(F.col(flag).isNull(), F.col(item))))
+    return joined.groupBy(*keys).agg(only("seen").alias("missing"), only("wanted").alias("unexpected"))

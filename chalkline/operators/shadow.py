@@ -124,3 +124,25 @@ def shadow_metrics(expected: DataFrame, observed: DataFrame, baseline: DataFrame
         ratio("n_insufficient_shared", "n_insufficient", "insufficient_recall"),
         ratio("n_baseline_kept", "n_baseline", "baseline_retention"),
     )
+
+
+def outcome_mismatches(outcomes: DataFrame) -> DataFrame:
+    """case_id, claim_id and code of what differs in outcomes; only states and diagnostics count where no human has labelled.
+
+    outcomes: case_id, claim_id, labelled, diagnostics_matched, and expected_ and observed_ of state, and of the arrays
+    selected, roles, unresolved, rejected, insufficient (compared as sets; null arrays count as empty).
+    """
+    empty = F.array().cast("array<string>")
+    members = lambda name: F.array_sort(F.array_distinct(F.coalesce(F.col(name), empty)))
+    differ = lambda *names: F.reduce(F.array(*[members(f"expected_{n}") != members(f"observed_{n}") for n in names]), F.lit(False), lambda a, b: a | b)
+    labelled = F.coalesce("labelled", F.lit(False))
+    rules = {
+        "shadow_state_mismatch": ~F.col("expected_state").eqNullSafe(F.col("observed_state")),
+        "shadow_selection_mismatch": labelled & differ("selected"),
+        "shadow_role_mismatch": labelled & differ("roles"),
+        "shadow_unresolved_mismatch": labelled & differ("unresolved"),
+        "shadow_disposition_mismatch": labelled & differ("rejected", "insufficient"),
+        "shadow_diagnostic_mismatch": ~F.coalesce("diagnostics_matched", F.lit(False)),
+    }
+    codes = F.array_compact(F.array(*[F.when(rule, code) for code, rule in rules.items()]))
+    return outcomes.select("case_id", "claim_id", F.explode(codes).alias("code"))

@@ -31,6 +31,19 @@ STRUCTURE_LABELS = (
     "authority struct<status:string,proposed_by:string,verified_by:string,verification_method:string,verification_evidence:array<string>,system_under_test_isolated:boolean,proposal_digest:string>"
 )
 
+PACKETS = (
+    "schema_version string, repository string, pull_request long, base_sha string, head_sha string, candidates array<struct<file_node_id:string,path:string,operation:string,member_node_ids:array<string>>>, "
+    "symbols array<struct<node_id:string,file_node_id:string,path:string,qualified_name:string,symbol_kind:string,operation:string>>, "
+    "relations array<struct<relation_id:string,source_node_id:string,target_node_id:string,relation:string,operation:string>>, "
+    "changed_surfaces array<struct<base_path:string,head_path:string,status:string,additions:long,deletions:long,hunk_headers:array<string>>>, "
+    "subjects array<struct<subject_id:string,subject_kind:string,authored_statement:string>>, relation_ids array<string>, coverage struct<state:string>, coverage_state string"
+)
+OBSERVATIONS = (
+    "schema_version string, packet_digest string, files array<struct<file_node_id:string,role:string>>, focuses array<struct<subject_id:string,disposition_state:string,"
+    + ",".join(f"{x}_{y}_ids:array<string>" for y in ("file_node", "node") for x in ("direct", "suggested", "context", "unresolved"))
+    + ",relation_ids:array<string>,exact_relation_ids:array<string>>>"
+)
+
 
 class ArtifactError(ValueError):
     """An artifact that isn't what it claims to be."""
@@ -90,6 +103,19 @@ def structure_labels(spark: SparkSession, path: str, digest: str) -> DataFrame:
     return read.select(F.explode("focuses").alias("f")).select("f.*")
 
 
+def structure_packets(spark: SparkSession, path: str) -> DataFrame:
+    """Structural packets of both versions; the older one tells its coverage's state alone."""
+    read = read_json(spark, path, PACKETS, ("structural_correctness_packet.v2", "structural_correctness_packet.v3"))
+    older = F.col("schema_version") == "structural_correctness_packet.v2"
+    state = F.when(older, F.col("coverage_state")).otherwise(F.col("coverage.state"))
+    return read.withColumn("coverage_state", state).drop("coverage")
+
+
+def structure_observations(spark: SparkSession, path: str) -> DataFrame:
+    """Observations of structural packets, of both versions."""
+    return read_json(spark, path, OBSERVATIONS, ("structural_correctness_observation.v2", "structural_correctness_observation.v3"))
+
+
 def verified_authority(proposal: dict, verified_by: str, method: str, evidence: list[str], isolated: bool) -> dict:
     """The authority of labels that someone other than their proposer has verified, bound to the proposal's digest."""
     if not verified_by or verified_by == proposal["authority"]["proposed_by"]:
