@@ -59,6 +59,29 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+class Shared:
+    """A value of bounded size sent once to each executor; pickled by value, as executors may not have this package."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self.pickled, self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"pickled": self.pickled, "held": None}
+
+    @property
+    def value(self):
+        if self.held is None:
+            import pickle
+
+            self.held = pickle.loads(self.pickled.value)
+        return self.held
+
+    def unpersist(self) -> None:
+        self.pickled.unpersist()
+
+
 def id_and_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and the text's UTF-8 bytes, nothing else of docs."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))

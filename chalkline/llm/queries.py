@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import chat, decontaminate, licences, media, mixing, quality, simhash, tokens, toxicity, urls
+from chalkline.llm import chat, decontaminate, licences, media, mixing, packing, quality, ranking, simhash, tokens, toxicity, urls, vector_codes
 from chalkline.llm.common import read_table
 
 #: A conversation that every formatting run has besides its table: both turns hold control strings.
@@ -68,4 +68,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(read_table(spark, sf_dir, "pages"), outcomes)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_tokens, op4_mixing, op5_decontamination, op6_toxicity, op7_quality, op8_licences, op9_media, op10_urls)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, sf_dir, "documents")).select(*packing.PLACED)
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.ranked_documents(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_tokens, op4_mixing, op5_decontamination, op6_toxicity, op7_quality, op8_licences, op9_media, op10_urls, op11_vector_codes, op12_packing, op13_ranking)}

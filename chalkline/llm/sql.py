@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chalkline.llm import decontaminate, licences, mixing, urls
+from chalkline.llm import decontaminate, licences, mixing, ranking, urls, vector_codes
 from chalkline.llm.queries import PROBE
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,4 +114,42 @@ OP10 = f"""WITH u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/
     CASE {_FITS.format(*[f"'{v}'" for v, _ in _ORDERED])} WHEN lower_bound >= {urls.LEAST_GOOD} THEN 'allow' ELSE 'block' END AS verdict, lower_bound
   FROM u JOIN l USING (host)"""
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2, "op4_mixing": OP4, "op5_decontamination": OP5, "op8_licences": OP8, "op10_urls": OP10}
+
+
+def _lloyd() -> str:
+    """Rounds as one CTE after another over (vec_id, part, components) and (part, entry, components)."""
+    c = vector_codes
+    near = """SELECT vec_id, label, part, v, min(struct_pack(d := d, entry := entry)) AS m FROM (SELECT p.*, entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+      FROM parts p JOIN book_{0} b USING (part)) GROUP BY vec_id, label, part, v"""
+    steps = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"parts AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // {c.PARTS} + 1:(part + 1) * len(v) // {c.PARTS}] AS v FROM kept, (SELECT unnest(range(0, {c.PARTS})) AS part))",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {c.ENTRIES})",
+        "book_0 AS MATERIALIZED (SELECT part, entry, v FROM parts JOIN first USING (vec_id))",
+    ]
+    for k in range(c.ROUNDS):
+        steps.append(f"near_{k} AS MATERIALIZED ({near.format(k)})")
+        steps.append(f"""mean_{k} AS (SELECT part, entry, list(x ORDER BY i) AS v FROM (SELECT part, m.entry AS entry, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS x
+      FROM near_{k}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM parts) + 1)) AS i) GROUP BY ALL) GROUP BY part, entry)""")
+        steps.append(f"book_{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(n.v, b.v) AS v FROM book_{k} b LEFT JOIN mean_{k} n USING (part, entry))")
+    return "WITH " + ",\n  ".join([
+        *steps,
+        f"final AS ({near.format(c.ROUNDS)})",
+        "coded AS (SELECT vec_id, label, string_agg(printf('%02x', m.entry), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM final GROUP BY vec_id, label)",
+        f"digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book_{c.ROUNDS})",
+    ]) + "\n  SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM coded, digest"
+
+
+OP11 = _lloyd()
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+  s AS (SELECT count(*) AS n, sum(len(terms))::HUGEINT AS l FROM t WHERE len(terms) > 0),
+  p AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM t) GROUP BY doc_id, term),
+  q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+  w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term),
+  c AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * s.n) // s.l))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id)
+  SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0) WHERE rank <= {ranking.TOP}"""
+
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2, "op4_mixing": OP4, "op5_decontamination": OP5, "op8_licences": OP8, "op10_urls": OP10, "op11_vector_codes": OP11, "op13_ranking": OP13}
