@@ -31,16 +31,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm.common import bounded_batches, checkpointed, id_and_text, maybe_broadcast, shared_path
-from chalkline.llm.tokens import LETTERS, MARKS, Numbers, Runs, _slices
+from chalkline.llm.tokens import LETTERS, MARKS, Numbers, Runs, _slices, byte_letters
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 #: Words remembered by a worker at most; fillings tried by the search; steps of an enumeration around a piece, fillings kept of it.
-WORDS, NODES, FILLINGS, BRANCHES = 400_000, 4000, 2000, 6
+WORDS, NODES, FILLINGS, BRANCHES = 700_000, 6000, 2000, 6
 PLACED = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, shard int, nth long"
 
 #: A word of Latin letters and at most one mark behind it, which are tokens apart.
 PLAIN = rf"^(?P<word>[{LETTERS}]+)(?P<mark>[{MARKS}]?)$"
+#: A word that no normalizer of case or composition changes.
+LOWER = r"^[a-z\x{df}-\x{f6}\x{f8}-\x{ff}]+$"
 
 
 class SpacedEncoder:
@@ -64,6 +66,9 @@ class SpacedEncoder:
         within = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) and t["content"].split() == [t["content"]] for t in spec.get("added_tokens") or ())
         self.by_words = len(cuts) == 1 and cuts[0].get("behavior") == "Removed" and bool(cuts[0].get("invert")) and r"[^\s" in cuts[0]["pattern"].get("Regex", "") and within and not spec["model"].get("dropout")
         self.apart = self.by_words and [self.whole([f"ab{m}"])[0] for m in MARKS] == [self.whole(["ab"])[0] + self.whole([m])[0] for m in MARKS]
+        # what the pre-tokenizer does to a word of plain lower-case letters is to write its bytes as letters
+        self.letters, probe = byte_letters(), "abßöÿz"
+        self.by_model = self.by_words and self.whole([probe])[0] == [t.id for t in self.tokenizer.model.tokenize(probe.encode().decode("latin-1").translate(self.letters))]
         self.forget()
 
     def forget(self) -> None:
@@ -74,10 +79,22 @@ class SpacedEncoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def numbered(self, words) -> np.ndarray:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         numbers = self.words.of(words.dictionary_encode())
         new, self.words.new = self.words.new, []
-        if new:
-            self.runs.add_lists(self.whole(new))
+        if not new:
+            return numbers
+        plain = pc.match_substring_regex(pa.array(new, pa.string()), LOWER).to_pylist() if self.by_model else [False] * len(new)
+        written = iter("\n".join(w for w, p in zip(new, plain) if p).encode().decode("latin-1").translate(self.letters).split(self.letters[10]))
+        tokenize, others = self.tokenizer.model.tokenize, iter(self.whole([w for w, p in zip(new, plain) if not p]))
+        flat, lengths = [], []
+        for p in plain:  # flat, as a list for each word would be the garbage collector's to visit
+            ids = [t.id for t in tokenize(next(written))] if p else next(others)
+            flat += ids
+            lengths.append(len(ids))
+        self.runs.add(np.array(flat, np.int32), np.array(lengths, np.int64))
         return numbers
 
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
@@ -238,31 +255,38 @@ def fillings(numbers: dict[int, int], room: int, waste: int) -> tuple[list[tuple
         return [((room, 1),)], True  # one piece of just that length dominates every other filling
     lengths = sorted((x for x, n in numbers.items() if n and x <= room), reverse=True)
     below = [*accumulate((x * numbers[x] for x in reversed(lengths)), initial=0)][::-1]  # tokens of lengths[i:]
-    found, visits = [], 0
+    negative = [-x for x in lengths]
+    found, visits, perfect = [], 0, 0
 
     def extend(i: int, left: int, chosen: tuple) -> None:
-        nonlocal visits
+        nonlocal visits, perfect
         visits += 1
         used = dict(chosen)
+        if numbers.get(left, 0) > used.get(left, 0):  # it dominates whatever else fills what is left
+            used[left] = used.get(left, 0) + 1
+            found.append((0, tuple(sorted(used.items(), reverse=True))))
+            perfect += 1
+            return
         if left <= waste and not any(x <= left and numbers[x] > used.get(x, 0) for x in reversed(lengths)):
             found.append((left, chosen))
-        for j in range(i, len(lengths)):
-            if visits >= FILLINGS or left - below[j] > waste:
+            perfect += not left
+        for j in range(bisect_left(negative, -left, i), len(lengths)):
+            if visits >= FILLINGS or perfect >= BRANCHES or left - below[j] > waste:
                 return
             x = lengths[j]
             for n in range(min(numbers[x], left // x), 0, -1):
                 extend(j + 1, left - n * x, (*chosen, (x, n)))
-                if visits >= FILLINGS:
+                if visits >= FILLINGS or perfect >= BRANCHES:
                     return
 
     extend(0, room, ())
-    found.sort(key=lambda f: (f[0], sum(n for _, n in f[1])))
+    found = sorted(set(found), key=lambda f: (f[0], sum(n for _, n in f[1]), f[1]))
     kept: list[tuple] = []
     small = lambda f: sum(n for _, n in f) <= 8
     for _, chosen in found:
         if len(kept) < BRANCHES and not (small(chosen) and any(small(k) and dominates(k, chosen) for k in kept)):
             kept.append(chosen)
-    return kept, visits < FILLINGS and len(kept) < BRANCHES
+    return kept, visits < FILLINGS and perfect < BRANCHES and len(kept) < BRANCHES
 
 
 def solve(numbers: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple, int]], bool]:
@@ -305,7 +329,8 @@ def solve(numbers: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
         wasted += waste * copies
         if wasted > (count - 1) * capacity - total:
             continue
-        remaining = {x: m for x, n in left.items() if (m := n - copies * dict(filling).get(x, 0))}
+        taken = dict(filling)
+        remaining = {x: m for x, n in left.items() if (m := n - copies * taken.get(x, 0))}
         if not remaining:
             best = [*path, (filling, copies)]
             count = sum(n for _, n in best)
