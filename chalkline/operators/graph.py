@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chalkline.operators.stages import kept
+
+# What limits a seed, in the order it is told.
+LIMITS = ("seed_node_budget", "seed_path_budget", "review_node_budget", "review_path_budget")
 # Bounds of traversals, and the relations they follow.
 PATH_DEPTH, SEED_NODES, SEED_PATHS, REVIEW_NODES, REVIEW_PATHS = 3, 80, 120, 80, 120
 OWNERSHIP_DEPTH, OWNERSHIP_RELATIONS = 8, 240
@@ -26,19 +30,133 @@ def bounded_paths(edges: DataFrame, seeds: DataFrame, depth: int = PATH_DEPTH) -
     return out
 
 
-def budgeted_paths(edges: DataFrame, seeds: DataFrame, review: str = "review_id", policy: tuple = (PATH_DEPTH, SEED_NODES, SEED_PATHS, REVIEW_NODES, REVIEW_PATHS)) -> DataFrame:
-    """Paths and seed states of the fair, budgeted traversal, a review at a time.
+def _took_turns(level: DataFrame, key: list[str]) -> DataFrame:
+    """Candidates (key, seed, seed_order, at, node, is_own: the seed has it already, spare: nodes that it may still add) with
+    turn: which turn of their seed they take, null for those that its full node budget skips; n_before: turns before theirs."""
+    seed = Window.partitionBy(*key, "seed")
+    first = F.row_number().over(Window.partitionBy(*key, "seed", "node").orderBy("at")) == 1
+    level = level.withColumn("is_first", first & ~F.col("is_own"))
+    # the place of a node among those that are new to the seed; all of a node's candidates share it
+    upto = seed.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    level = level.withColumn("new_place", F.sum(F.col("is_first").cast("int")).over(upto))
+    level = level.withColumn("new_place", F.when(F.col("is_own"), 0).otherwise(F.min(F.when(F.col("is_first"), F.col("new_place"))).over(Window.partitionBy(*key, "seed", "node"))))
+    level = level.withColumn("fits", F.col("new_place") <= F.col("spare"))
+    count = F.sum(F.col("fits").cast("int")).over(upto)
+    return level.withColumn("turn", F.when(F.col("fits"), count)).withColumn("n_before", count - F.col("fits").cast("int")).drop("new_place")
 
-    edges: review, source, target, relation, order (of a node's neighbours); seeds: review, seed, order. Depth by depth
-    the seeds take turns, a path each, until a whole round gives none; so budgets cut as the turns go and the result
-    depends on them, which is why a review is one group. Rows: kind (path or state), seed, nodes, relations, detail.
-    """
-    from chalkline.operators.stateful import traverse
 
-    schema = f"{review} string, kind string, seed string, ordinal int, nodes array<string>, relations array<string>, detail array<string>"
-    rows = edges.select(F.col(review).cast("string").alias(review), F.lit("edge").alias("what"), "source", "target", "relation", F.col("order").cast("long").alias("order"))
-    rows = rows.union(seeds.select(F.col(review).cast("string"), F.lit("seed"), "seed", F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("order").cast("long")))
-    return rows.groupBy(review).applyInPandas(traverse(review, policy), schema)
+def budgeted_paths(edges: DataFrame, seeds: DataFrame, review: str = "review_id", policy: tuple = (PATH_DEPTH, SEED_NODES, SEED_PATHS, REVIEW_NODES, REVIEW_PATHS)) -> DataFrame:
+    """Paths and seed states of the fair, budgeted traversal.
+
+    edges: review, source, target, relation, order (of a node's neighbours); seeds: review, seed, order. Depth by depth the
+    seeds take turns, a path each, until a whole round gives none. A seed's candidates of a depth are one join of its paths
+    with the edges; their order gives turns, turns of all seeds the review's order. Budgets are cuts of these orders, since
+    none is given back: a seed adds its first so many nodes; once the review is full, its later candidates are those that lead
+    to nodes it has met, and they are dealt anew from there. So a depth is a few windows, by seed and then by review over
+    what the seeds' path budgets leave. Rows: kind (path or state), seed, ordinal, nodes, relations, detail.
+    """
+    depth, seed_nodes, seed_paths, review_nodes, review_paths = policy
+    key = [review]
+    edges = edges.select(F.col(review).cast("string").alias(review), "source", "target", "relation", F.col("order").cast("long").alias("order"))
+    # a node's neighbours in the order of the edges; an edge serves both of its ends
+    both = edges.select(review, F.col("source").alias("end"), F.col("target").alias("node"), "relation", "order", "source", "target", F.lit(0).alias("back"))
+    both = both.union(edges.select(review, F.col("target").alias("end"), F.col("source").alias("node"), "relation", "order", "source", "target", F.lit(1).alias("back")))
+    named = seeds.select(F.col(review).cast("string").alias(review), "seed", F.col("order").cast("long").alias("order")).groupBy(review, "seed").agg(F.min("order").alias("order"))
+    named = kept(named.withColumn("seed_order", F.row_number().over(Window.partitionBy(review).orderBy("order", "seed"))).drop("order"))
+    own = named.select(review, "seed", F.col("seed").alias("node"))
+    frontier = named.select(review, "seed", "seed_order", F.array("seed").alias("nodes"), F.array().cast("array<string>").alias("relations"), F.col("seed").alias("end"), F.lit(1).cast("long").alias("place"))
+    # of each seed: paths so far, done (its path budget ended it); limits as they come
+    state = named.select(review, "seed", "seed_order", F.lit(0).cast("long").alias("n_paths"), F.lit(False).alias("done"))
+    total = named.groupBy(review).agg(F.lit(0).cast("long").alias("n_all"), F.count("*").alias("n_met"))
+    met = named.select(review, F.col("seed").alias("node"))
+    found = limits = None
+    for k in range(1, depth + 1):
+        open_ = frontier.join(state.where("not done").select(review, "seed", "n_paths"), [review, "seed"]).join(total.where(F.col("n_all") < review_paths), review)
+        level = open_.join(both, [review, "end"]).where(~F.array_contains("nodes", F.col("node")))
+        at = F.row_number().over(Window.partitionBy(review, "seed").orderBy("place", "order", "source", "target", "relation", "back"))
+        level = level.select(review, "seed", "seed_order", "n_paths", "n_all", "n_met", F.concat("nodes", F.array("node")).alias("nodes"), F.concat("relations", F.array("relation")).alias("relations"), "node", at.alias("at"))
+        level = level.join(own.withColumn("is_own", F.lit(True)), [review, "seed", "node"], "left").join(met.withColumn("is_met", F.lit(True)), [review, "node"], "left")
+        sizes = own.groupBy(review, "seed").agg((seed_nodes - F.count("*")).alias("spare"))
+        level = kept(level.join(sizes, [review, "seed"]).na.fill(False, ["is_own", "is_met"]))
+        # as if the review had room for every node; then the turn at which it is full
+        first = _took_turns(level, key)
+        usable = first.where(F.col("turn").isNotNull() & (F.col("n_paths") + F.col("turn") <= seed_paths))
+        new = usable.where("not is_met").groupBy(review, "node").agg(F.min(F.struct("turn", "seed_order")).alias("met_at"), F.first("n_met").alias("n_met"))
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy(review).orderBy("met_at")))
+        full = new.groupBy(review).agg(F.min(F.when(F.col("n") == review_nodes - F.col("n_met"), F.col("met_at"))).alias("full_at"))
+        full = total.select(review, F.when(F.col("n_met") >= review_nodes, F.struct(F.lit(0).alias("turn"), F.lit(0).alias("seed_order"))).alias("was_full")).join(full, review, "left").select(review, F.coalesce("was_full", "full_at").alias("full_at"))
+        full = full.where("full_at is not null")
+        has = met.union(new.where(F.col("n") <= review_nodes - F.col("n_met")).select(review, "node")).distinct()
+        first = first.join(full, review, "left")
+        here = F.struct(F.col("turn").alias("turn"), F.col("seed_order").alias("seed_order"))
+        # a candidate comes before the review is full if the turn that it is looked at in does
+        seen = F.struct((F.col("n_before") + 1).alias("turn"), F.col("seed_order").alias("seed_order"))
+        first = first.withColumn("early", F.col("full_at").isNull() | (seen <= F.struct(F.col("full_at.turn").alias("turn"), F.col("full_at.seed_order").alias("seed_order"))))
+        early = first.where("early")
+        late = first.where("not early").select(*level.columns)
+        taken = early.where(F.col("turn").isNotNull())
+        held = taken.groupBy(review, "seed").agg(F.max("turn").alias("n_early"))
+        gained = taken.where("not is_own").select(review, "seed", "node").distinct()
+        grown = gained.groupBy(review, "seed").agg(F.count("*").alias("n_gained"))
+        late = late.drop("is_own", "is_met").join(own.union(gained).withColumn("is_own", F.lit(True)), [review, "seed", "node"], "left").join(has.withColumn("is_met", F.lit(True)), [review, "node"], "left")
+        late = late.join(held, [review, "seed"], "left").join(grown, [review, "seed"], "left").na.fill(0, ["n_early", "n_gained"]).na.fill(False, ["is_own", "is_met"]).withColumn("spare", F.col("spare") - F.col("n_gained"))
+        dealt = _took_turns(late.where("is_met"), key)
+        strays = late.where("not is_met")
+        columns = [review, "seed", "seed_order", "n_paths", "n_all", "nodes", "relations", "node", "at"]
+        rows = early.select(*columns, "turn", "n_before", F.lit("seed_node_budget").alias("skipped"))
+        rows = rows.unionByName(dealt.select(*columns, (F.col("turn") + F.col("n_early")).alias("turn"), (F.col("n_before") + F.col("n_early")).alias("n_before"), F.lit("seed_node_budget").alias("skipped")))
+        # a stray is looked at between the seed's own turns; with a full seed its own budget is what skips it
+        around = dealt.select(review, "seed", "at", "turn", F.lit(None).cast("long").alias("n_own"), F.col("is_first").cast("int").alias("adds"), F.lit(False).alias("stray"), "n_early", "spare", "seed_order", "n_paths", "n_all", "nodes", "relations", "node", "fits")
+        around = around.unionByName(strays.select(review, "seed", "at", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("long").alias("n_own"), F.lit(0).alias("adds"), F.lit(True).alias("stray"), "n_early", "spare", "seed_order", "n_paths", "n_all", "nodes", "relations", "node", F.lit(False).alias("fits")))
+        upto = Window.partitionBy(review, "seed").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+        around = around.withColumn("b", F.coalesce(F.sum(F.col("fits").cast("int")).over(upto), F.lit(0))).withColumn("a", F.coalesce(F.sum("adds").over(upto), F.lit(0))).where("stray")
+        rows = rows.unionByName(around.select(*columns, "turn", (F.col("b") + F.col("n_early")).alias("n_before"), F.when(F.col("a") >= F.col("spare"), "seed_node_budget").otherwise("review_node_budget").alias("skipped")))
+        rows = kept(rows)
+        # a seed ends when it looks at a candidate with its path budget spent; the review when its budget is
+        going = rows.where(F.col("turn").isNotNull() & (F.col("n_paths") + F.col("turn") <= seed_paths))
+        going = going.withColumn("ordinal", F.col("n_all") + F.row_number().over(Window.partitionBy(review).orderBy("turn", "seed_order")))
+        going = kept(going.where(F.col("ordinal") <= review_paths))
+        ends = going.where(F.col("ordinal") == review_paths).select(review, here.alias("ended_at"))
+        looked = rows.join(ends, review, "left").where(F.col("ended_at").isNull() | (seen <= F.struct(F.col("ended_at.turn").alias("turn"), F.col("ended_at.seed_order").alias("seed_order"))))
+        over = F.col("n_paths") + F.col("n_before") >= seed_paths
+        told = looked.select(review, "seed", F.when(over, "seed_path_budget").when(F.col("turn").isNull(), F.col("skipped")).alias("limit"), over.alias("over")).where("limit is not null").distinct()
+        limits = told.select(review, "seed", "limit") if limits is None else limits.union(told.select(review, "seed", "limit"))
+        paths = going.select(review, "seed", "seed_order", "nodes", "relations", "ordinal", "node", "turn")
+        found = paths if found is None else found.union(paths)
+        spent = told.where("over").select(review, "seed").distinct().withColumn("now_done", F.lit(True))
+        added = going.groupBy(review, "seed").agg(F.count("*").alias("n"))
+        state = kept(state.join(added, [review, "seed"], "left").join(spent, [review, "seed"], "left").select(review, "seed", "seed_order", (F.col("n_paths") + F.coalesce("n", F.lit(0))).alias("n_paths"), (F.col("done") | F.coalesce("now_done", F.lit(False))).alias("done")))
+        own = own.union(going.select(review, "seed", "node")).distinct()
+        met = own.select(review, "node").distinct()
+        total = state.groupBy(review).agg(F.sum("n_paths").alias("n_all")).join(met.groupBy(review).agg(F.count("*").alias("n_met")), review)
+        frontier = going.select(review, "seed", "seed_order", "nodes", "relations", F.col("node").alias("end"), F.col("turn").alias("place"))
+    cut = state.where("not done").join(total.where(F.col("n_all") >= review_paths), review).select(review, "seed", F.lit("review_path_budget").alias("limit"))
+    places = F.array(*map(F.lit, LIMITS))
+    told = limits.union(cut).groupBy(review, "seed").agg(F.array_sort(F.collect_set(F.array_position(places, F.col("limit")))).alias("limits"))
+    detail = F.when(F.col("limits").isNull(), F.array(F.lit("complete"))).otherwise(F.concat(F.array(F.lit("truncated")), F.transform("limits", lambda i: F.element_at(places, i.cast("int")))))
+    none = F.array().cast("array<string>")
+    states = named.join(told, [review, "seed"], "left").select(review, F.lit("state").alias("kind"), "seed", (F.col("seed_order") - 1).cast("int").alias("ordinal"), none.alias("nodes"), none.alias("relations"), detail.alias("detail"))
+    return found.select(review, F.lit("path").alias("kind"), "seed", (F.col("ordinal") - 1).cast("int").alias("ordinal"), "nodes", "relations", none.alias("detail")).union(states)
+
+
+def ownership_chains(parents: DataFrame, keys: tuple[str, ...] = ("review_id",)) -> tuple[DataFrame, DataFrame]:
+    """keys, node and chain (from the root to the node) of every node, and the nodes below or on a cycle, which have none.
+
+    parents: keys, child, parent; one parent for each child. Chains double: each round a node's chain goes on with its top's
+    chain, so a chain of n owners takes log2(n) joins and its length is never bounded.
+    """
+    keys = list(keys)
+    own = parents.select(*keys, F.col("child").alias("node"), "parent")
+    roots = own.select(*keys, F.col("parent").alias("node")).distinct().join(own.select(*keys, "node"), [*keys, "node"], "left_anti")
+    state = kept(own.select(*keys, "node", F.array("node", "parent").alias("chain"), F.col("parent").alias("top")).union(roots.select(*keys, "node", F.array("node"), F.lit(None).cast(own.schema["parent"].dataType))))
+    done, open_ = state.where("top is null"), state.where("top is not null")
+    while not open_.isEmpty():
+        above = state.select(*keys, F.col("node").alias("top"), F.col("chain").alias("upper"), F.col("top").alias("next"))
+        longer = open_.join(above, [*keys, "top"]).select(*keys, "node", F.concat("chain", F.slice("upper", F.lit(2), F.size("upper"))).alias("chain"), F.col("next").alias("top"))
+        state = kept(done.union(longer.withColumn("top", F.when(F.size(F.array_distinct("chain")) == F.size("chain"), F.col("top")))))
+        done, open_ = state.where("top is null"), state.where("top is not null")
+    whole = F.size(F.array_distinct("chain")) == F.size("chain")
+    return state.where(whole).select(*keys, "node", F.reverse("chain").alias("chain")), state.where(~whole).select(*keys, "node")
 
 
 def ancestors(parents: DataFrame, starts: DataFrame, depth: int = OWNERSHIP_DEPTH) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import lexical, paths
-from chalkline.operators import assessment, association, convergence, delta, evaluation, facts, graph, overlap, rollups, scan
-from chalkline.operators.stateful import structural_closure
+from chalkline.operators import assessment, association, closure, convergence, delta, evaluation, facts, graph, overlap, rollups, scan
 from chalkline.sources import diffs, markdown
 
 #: Orders and events before these instants are the base revision.
@@ -166,8 +165,8 @@ def file_rollup(t: Tables) -> DataFrame:
 
 def retained_bridges(t: Tables) -> DataFrame:
     edges = t.orders.join(t.customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    edges = edges.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("p"), F.col("o_orderkey") % 1000).alias("target")).distinct()
-    back = t.supplier.select(F.concat(F.lit("p"), F.col("s_suppkey") % 1000).alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target")).distinct()
+    edges = edges.select(F.concat(F.lit("n"), "c_nationkey").alias("source"), F.concat(F.lit("p"), "o_orderkey").alias("target")).distinct()
+    back = t.supplier.select(F.concat(F.lit("p"), "s_suppkey").alias("source"), F.concat(F.lit("n"), "s_nationkey").alias("target")).distinct()
     changed = t.spark.createDataFrame([("n1",), ("n4",), ("n9",)], "file string")
     return graph.retained_bridges(edges.union(back), changed, depth=3)
 
@@ -349,20 +348,26 @@ def markdown_statements(t: Tables) -> DataFrame:
 def budgeted_paths(t: Tables) -> DataFrame:
     """Supply edges of each nation's suppliers as a review: two seeds each, all budgets."""
     edges = t.lineitem.join(t.supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = edges.select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("target"), F.lit("calls").alias("relation"), F.col("l_partkey").alias("order")).distinct()
+    edges = edges.select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.lit("calls").alias("relation"), F.col("l_partkey").alias("order")).distinct()
     seeds = t.supplier.withColumn("n", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("n <= 2").select(F.col("s_nationkey").cast("string").alias("review_id"), F.concat(F.lit("s"), "s_suppkey").alias("seed"), F.col("n").alias("order"))
     found = graph.budgeted_paths(edges, seeds)
     return found.select("review_id", "kind", "seed", "ordinal", F.array_join("nodes", ">").alias("path"), F.array_join("detail", ",").alias("detail"))
 
 
 def greedy_closure(t: Tables) -> DataFrame:
-    """Orders as paths of a customer: lines are symbols, the first two parts are selected, the last one is a terminal."""
-    nodes = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("nodes"))
-    paths_ = t.orders.join(nodes, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").cast("string").alias("focus_id"), F.col("o_orderkey").cast("string").alias("path_id"), F.col("o_orderpriority").alias("anchor"), F.size("nodes").alias("depth"),
-        F.col("o_orderkey").cast("int").alias("ordinal"), "nodes", F.element_at("nodes", -1).alias("terminal"), F.slice("nodes", 1, 2).alias("selected"),
-    )
-    return paths_.groupBy("focus_id").applyInPandas(structural_closure(2, 5), "focus_id string, kind string, id string")
+    """Orders as paths of a customer along their parts; parts of open lines are selected anchors, an order's last part is a
+    runtime context and the suppliers of returned lines are direct test contexts."""
+    focus = F.col("o_custkey").cast("string").alias("focus_id")
+    lines = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    review = F.lit("all").alias("review_id")
+    own = F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("nodes")
+    open_ = F.array_sort(F.collect_set(F.when(F.col("l_linestatus") == "O", F.concat(F.lit("A"), "l_partkey")))).alias("bridge_ids")
+    paths_ = lines.groupBy("o_custkey", "o_orderkey").agg(own, open_)
+    paths = paths_.select(review, focus, F.col("o_orderkey").cast("string").alias("target_id"), F.size("nodes").alias("depth"), F.col("o_orderkey").alias("rank"), "nodes", "bridge_ids")
+    anchors = lines.where("l_linestatus = 'O'").select(review, focus, F.concat(F.lit("A"), "l_partkey").alias("target_id"), F.col("l_partkey").cast("string").alias("node_id")).distinct()
+    led = paths_.select(review, focus, F.lit("runtime_context").alias("slot"), F.element_at("nodes", -1).alias("target_id"), F.col("o_orderkey").alias("rank"), F.col("o_orderkey").alias("source_ordinal"), F.array(F.col("o_orderkey").cast("string")).alias("bridge_ids"))
+    direct = lines.where("l_returnflag = 'R'").select(review, focus, F.lit("test_context").alias("slot"), F.concat(F.lit("S"), "l_suppkey").alias("target_id"), F.col("l_suppkey").alias("rank"), F.lit(0).cast("long").alias("source_ordinal"), F.array().cast("array<string>").alias("bridge_ids"))
+    return closure.structural_closure(paths, anchors, led.union(direct)).drop("review_id")
 
 
 _OWN = (

@@ -129,8 +129,8 @@ ORACLE_SQL = {
         SELECT node, ['seed', 'contact', 'owner'][min(rank) + 1] AS role FROM ranks GROUP BY node""",
     "file_rollup": """SELECT 'nation' || s_nationkey AS source_file, p_brand AS target_file, count(*) AS n_relations, 'calls' AS kinds
         FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
-    "retained_bridges": """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey AS a, 'p' || (o_orderkey % 1000) AS b FROM orders JOIN customer ON c_custkey = o_custkey
-            UNION SELECT DISTINCT 'p' || (s_suppkey % 1000), 'n' || s_nationkey FROM supplier),
+    "retained_bridges": """WITH RECURSIVE e AS (SELECT DISTINCT 'n' || c_nationkey AS a, 'p' || o_orderkey AS b FROM orders JOIN customer ON c_custkey = o_custkey
+            UNION SELECT DISTINCT 'p' || s_suppkey, 'n' || s_nationkey FROM supplier),
         ch AS (SELECT unnest(['n1', 'n4', 'n9']) AS f),
         r AS (SELECT DISTINCT b AS file, a AS fin, 1 AS d FROM e WHERE a IN (FROM ch) AND b NOT IN (FROM ch)
             UNION SELECT b, fin, d + 1 FROM r JOIN e ON a = file WHERE d < 3 AND b NOT IN (FROM ch)),

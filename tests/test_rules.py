@@ -4,8 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.functions import focus, lexical, paths, selectors
-from chalkline.operators import assessment, convergence, delta, facts, graph, overlap, rollups, scan
-from chalkline.operators.stateful import greedy_cover, structural_closure, walk
+from chalkline.operators import assessment, closure, convergence, delta, facts, graph, overlap, rollups, scan
 
 C, L = F.col, F.lit
 
@@ -144,20 +143,6 @@ def test_scan_matching(spark):
     assert {(r.k, r.line) for r in found.collect()} == {("s", 2), ("p", 3)}
 
 
-def test_walk_budgets():
-    around = {"s": [("a", "calls"), ("b", "calls")], "a": [("s", "calls"), ("c", "calls")], "b": [("s", "calls")], "c": [("a", "calls")], "t": [("a", "calls")]}
-    found, seeds = walk(around, ["s"], (3, 80, 120, 80, 120))
-    assert [p for _, p, _ in found] == [("s", "a"), ("s", "b"), ("s", "a", "c")] and not seeds[0].limits
-    found, seeds = walk(around, ["s", "t"], (3, 2, 120, 80, 120))
-    assert [p for _, p, _ in found] == [("s", "a"), ("t", "a")] and seeds[0].limits == {"seed_node_budget"}
-    _, seeds = walk(around, ["s"], (3, 80, 1, 80, 120))
-    assert seeds[0].limits == {"seed_path_budget"}
-    _, seeds = walk(around, ["s", "t"], (3, 80, 120, 80, 1))
-    assert all(s.limits == {"review_path_budget"} for s in seeds)
-    _, seeds = walk(around, ["s"], (3, 80, 120, 2, 120))
-    assert seeds[0].limits == {"review_node_budget"}
-
-
 def test_traversal_by_review(spark):
     edges = spark.createDataFrame([("r", "s", "a", "calls", 1), ("r", "a", "b", "calls", 2), ("q", "s", "z", "calls", 1)], "review_id string, source string, target string, relation string, order int")
     seeds = spark.createDataFrame([("r", "s", 1), ("q", "s", 1)], "review_id string, seed string, order int")
@@ -167,18 +152,12 @@ def test_traversal_by_review(spark):
 
 
 def test_greedy_cover_reuses_chosen():
-    paths_ = [{"id": "long", "anchor": "x", "depth": 3, "key": (0,), "covers": {"p", "q"}}, {"id": "short", "anchor": "x", "depth": 1, "key": (1,), "covers": {"q"}}, {"id": "other", "anchor": "x", "depth": 1, "key": (2,), "covers": {"r"}}]
-    assert greedy_cover(paths_, ["p", "q"], 5, 5) == (["long"], [])
-    assert greedy_cover(paths_, ["q", "p"], 5, 5) == (["short", "long"], [])
-    assert greedy_cover(paths_, ["q", "p", "r"], 2, 5) == (["short", "long"], ["r"])
-
-
-def test_structural_closure(spark):
-    rows = [("f", "p1", "a", 1, 0, ["a", "b"], None, ["a", "b"]), ("f", "p2", "a", 2, 1, ["a", "b", "t"], "t", ["a", "b"]), ("f", "p3", "a", 1, 2, ["a", "u"], "u", ["a", "b"])]
-    df = spark.createDataFrame(rows, "focus_id string, path_id string, anchor string, depth int, ordinal int, nodes array<string>, terminal string, selected array<string>")
-    got = [(r.kind, r.id) for r in df.groupBy("focus_id").applyInPandas(structural_closure(2, 30), "focus_id string, kind string, id string").collect()]
-    assert got == [("path", "p1"), ("path", "p2"), ("missed", "end:u")]
-
+    meets = {"p": [(3, 0, "x", "long")], "q": [(1, 1, "x", "short"), (3, 0, "x", "long")], "r": [(1, 2, "x", "other")]}
+    always = lambda goal: lambda: None
+    assert closure.cover(["p", "q"], meets, 5, 5, always) == (["long"], [])
+    assert closure.cover(["q", "p"], meets, 5, 5, always) == (["short", "long"], [])
+    assert closure.cover(["q", "p", "r"], meets, 2, 5, always) == (["short", "long"], ["r"])
+    assert closure.cover(["q"], meets, 5, 5, lambda goal: None) == ([], [])
 
 def test_lifting_and_paths(spark):
     low, high = graph.lifted_endpoints(C("a"), C("b"))
