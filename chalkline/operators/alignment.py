@@ -80,13 +80,32 @@ def unbound(claims: DataFrame, bound: DataFrame, eligible: DataFrame) -> DataFra
 def bypasses(bound: DataFrame, paths: DataFrame, authority: DataFrame) -> DataFrame:
     """review_id, claim_id, path_id of outgoing executable paths that reach a controlled sink without an authority before it.
 
-    bound: paths already bound to the claim; paths: review_id, path_id, nodes; authority: review_id, claim_id, node.
+    bound: paths already bound to the claim; paths: review_id, path_id, nodes; authority: review_id, claim_id, node. Paths are
+    listed by their nodes once; authorities and sinks meet them by node, so no claim meets all paths of its review.
     """
-    nodes = authority.groupBy("review_id", "claim_id").agg(F.collect_set("node").alias("authorities"))
-    known = bound.join(paths, ["review_id", "path_id"]).join(nodes, ["review_id", "claim_id"])
-    controlled = known.where(F.arrays_overlap(F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))), F.col("authorities")))
-    sinks = controlled.select("review_id", "claim_id", F.element_at("nodes", -1).alias("sink")).distinct()
-    ends = paths.select("review_id", "path_id", "nodes", F.element_at("nodes", -1).alias("sink"))
-    met = ends.join(sinks, ["review_id", "sink"]).join(nodes, ["review_id", "claim_id"])
-    free = met.where(~F.arrays_overlap("nodes", "authorities")).select("review_id", "claim_id", "path_id")
-    return free.join(bound.select("review_id", "claim_id", "path_id"), ["review_id", "claim_id", "path_id"], "left_anti")
+    claim, path = ["review_id", "claim_id"], ["review_id", "claim_id", "path_id"]
+    last = paths.select("review_id", "path_id", F.element_at("nodes", -1).alias("sink"))
+    along = paths.select("review_id", "path_id", F.posexplode("nodes").alias("at", "node"), (F.size("nodes") - 1).alias("end"))
+    met = along.join(authority.select(*claim, "node").distinct(), ["review_id", "node"])
+    controlled = met.where("at < end").select(*path).distinct().join(bound.select(*path), path, "left_semi")
+    sinks = controlled.join(last, ["review_id", "path_id"]).select(*claim, "sink").distinct()
+    reached = last.join(sinks, ["review_id", "sink"]).select(*path)
+    return reached.join(met.select(*path), path, "left_anti").join(bound.select(*path), path, "left_anti")
+
+
+def control(bound: DataFrame, paths: DataFrame, authority: DataFrame, revisions: DataFrame, doubts: DataFrame) -> DataFrame:
+    """review_id, claim_id, n_controls, n_bypasses, incomplete, uncertain and status of every claim with an authority.
+
+    revisions: review_id, state and n_truncated of the head's graph; doubts: review_id, claim_id of claims that authored
+    uncertainty speaks of. A bypass contradicts; control demonstrates if the head's graph is complete and nobody doubts it.
+    """
+    claim, path = ["review_id", "claim_id"], ["review_id", "claim_id", "path_id"]
+    along = paths.select("review_id", "path_id", F.posexplode("nodes").alias("at", "node"), (F.size("nodes") - 1).alias("end")).where("at < end")
+    holds = along.join(authority.select(*claim, "node").distinct(), ["review_id", "node"]).select(*path).distinct().join(bound.select(*path), path, "left_semi")
+    count = lambda df, name: df.groupBy(*claim).agg(F.count("*").alias(name))
+    gaps = revisions.groupBy("review_id").agg(F.bool_or((F.coalesce("state", F.lit("")) != "complete") | (F.col("n_truncated") > 0)).alias("incomplete"))
+    out = authority.select(*claim).distinct().join(count(holds, "n_controls"), claim, "left").join(count(bypasses(bound, paths, authority), "n_bypasses"), claim, "left")
+    out = out.join(gaps, "review_id", "left").join(doubts.select(*claim).distinct().withColumn("uncertain", F.lit(True)), claim, "left")
+    out = out.na.fill(0, ["n_controls", "n_bypasses"]).na.fill({"incomplete": True, "uncertain": False})
+    status = F.when(F.col("n_bypasses") > 0, "contradicted").when(F.col("n_controls") == 0, "unverified").when(F.col("incomplete") | F.col("uncertain"), "partial").otherwise("demonstrated")
+    return out.withColumn("status", status)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chalkline.functions.paths import fact_profile
 from chalkline.functions.selectors import inferred_selectors
 from chalkline.operators.association import indexed
+from chalkline.operators.stages import kept
 
 #: Phrases that all lines are matched with at once.
 PHRASES = 5_000
@@ -20,6 +21,8 @@ IGNORED_FOLDERS = (
     "venv",
 )
 SYMBOL = r"[A-Za-z_][A-Za-z0-9_]*"
+#: Words as selectors are bounded by; how much of a word's beginning is a key.
+RUN, PREFIX = "[A-Za-z0-9_]+", 4
 
 
 def quoted(value: Column) -> Column:
@@ -59,26 +62,63 @@ def scannable(path: Column) -> Column:
     return ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, IGNORED_FOLDERS)))
 
 
-def line_matches(files: DataFrame, selectors: DataFrame, file_key: str, selector_key: str) -> DataFrame:
-    """file_key, selector_key and line (from 1) of lines of files (text) that match a selector (value, phrase).
+def selector_key(value: Column, phrase: Column) -> Column:
+    """What a line must have for a selector to match: "=" and a whole word of it, or "^" and how one begins; null if neither is sure.
 
-    A word selector meets lines through its first symbol token; phrases and selectors without tokens meet every line, in
-    blocks of PHRASES.
+    A selector's words are whole in the text; of a phrase only those between others are, as its ends may be parts of longer
+    words. A phrase of two words meets how its second word begins.
     """
-    lines = files.select(file_key, F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
-    keyed = selectors.withColumn("head", F.lower(F.regexp_extract("value", SYMBOL, 0)))
-    words, loose = keyed.where("not phrase and head <> ''"), keyed.where("phrase or head = ''")
-    tokens = lines.withColumn("head", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0)), F.lower))))
-    found = tokens.join(indexed(words, words.count()), "head").where(bounded_match(F.col("content"), F.col("value"), F.lit(False)))
-    out = found.select(file_key, selector_key, "line")
-    blocks = -(-loose.count() // PHRASES)
+    runs = F.regexp_extract_all(F.lower(value), F.lit(RUN), F.lit(0))
+    begins, ends = (F.lower(value).rlike(x).cast("int") for x in (r"^[A-Za-z0-9_]", r"[A-Za-z0-9_]$"))
+    whole = F.when(phrase, F.slice(runs, begins + 1, F.greatest(F.size(runs) - begins - ends, F.lit(0)))).otherwise(F.transform(F.regexp_extract_all(value, F.lit(RUN), F.lit(0)), F.lower))
+    longest = F.aggregate(whole, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    last = F.element_at(runs, -1)
+    opens = (F.size(runs) >= 2) | ((F.size(runs) == 1) & (begins == 0))
+    return F.when(F.size(whole) > 0, F.concat(F.lit("="), longest)).when(phrase & opens, F.concat(F.lit("^"), F.substring(last, 1, PREFIX)))
+
+
+def line_keys(content: Column, prefixes: bool) -> Column:
+    """The keys that selectors can meet a line by; prefixes: the beginnings of words too."""
+    own = F.regexp_extract_all(F.lower(content), F.lit(RUN), F.lit(0))
+    # characters beyond ASCII may become ASCII letters in lower case, which selectors of words don't see
+    raw = F.transform(F.regexp_extract_all(content, F.lit(RUN), F.lit(0)), F.lower)
+    words = F.array_distinct(F.when(content.rlike(r"^[\x00-\x7f]*$"), own).otherwise(F.concat(own, raw)))
+    whole = F.transform(words, lambda w: F.concat(F.lit("="), w))
+    if not prefixes:
+        return whole
+    begun = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.lit(PREFIX)), lambda n: F.concat(F.lit("^"), F.substring(w, F.lit(1), n)))))
+    return F.array_distinct(F.concat(whole, begun))
+
+
+def selector_hits(lines: DataFrame, selectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, content, any columns) with the selectors (keys, value, phrase, any columns) that match them.
+
+    One pass over the lines: each meets selectors by its words, so lines times selectors are never compared. Selectors without
+    a sure word (signs, parts of one word) meet all lines of their keys, without keys in blocks of PHRASES.
+    """
+    wanted = selectors.withColumn("_key", selector_key(F.col("value"), F.col("phrase")))
+    count = {r[0]: r[1] for r in wanted.groupBy(F.coalesce(F.substring("_key", 1, 1), F.lit(""))).count().collect()}
+    match = bounded_match(F.col("content"), F.col("value"), F.col("phrase"))
+    keyed = lines.withColumn("_key", F.explode(line_keys(F.col("content"), "^" in count)))
+    out = keyed.join(indexed(wanted.where("_key is not null"), sum(count.values())), [*keys, "_key"]).where(match).drop("_key")
+    if not count.get(""):
+        return out
+    loose = wanted.where("_key is null").drop("_key")
+    if keys:
+        return out.unionByName(lines.join(indexed(loose, count[""]), keys).where(match))
+    blocks = -(-count[""] // PHRASES)
     for k in range(blocks):
-        block = F.broadcast(loose.where(F.pmod(F.xxhash64(selector_key, "value"), F.lit(blocks)) == k))  # some PHRASES rows
-        plain = lines.join(block, bounded_match(F.col("content"), F.col("value"), F.col("phrase")))
-        out = out.union(plain.select(file_key, selector_key, "line"))
+        block = F.broadcast(loose.where(F.pmod(F.xxhash64("value"), F.lit(blocks)) == k))  # some PHRASES rows
+        out = out.unionByName(lines.join(block, match))
     return out
 
 
+def line_matches(files: DataFrame, selectors: DataFrame, file_key: str, selector_key: str) -> DataFrame:
+    """file_key, selector_key and line (from 1) of lines of files (text) that match a selector (value, phrase)."""
+    lines = files.select(file_key, F.posexplode(F.split("text", "\n", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    return selector_hits(lines, selectors.select(selector_key, "value", "phrase"), []).select(file_key, selector_key, "line")
+
+
 def capped_matches(matches: DataFrame, plan: str, order: list[str], limit: int = MAX_MATCHES) -> DataFrame:
     """The first matches of each plan in order."""
     return matches.withColumn("place", F.row_number().over(Window.partitionBy(plan).orderBy(*order))).where(F.col("place") <= limit)
@@ -151,44 +191,75 @@ def scanned_paths(files: DataFrame, keys: list[str], max_files: int = MAX_FILES)
     return first.withColumn("file_limited", more).where(F.col("path_place") <= max_files)
 
 
+def read_files(files: DataFrame, predicates: DataFrame, keys: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """keys, scopes, path, size and fits of the files that plans with these scopes read, by path until max_bytes.
+
+    Plans of equal scopes read the same files, so these are dealt once for each set of scopes; texts stay where they are.
+    Files that can't be read (null text, a NUL at the beginning) aren't.
+    """
+    readable = F.col("text").isNotNull() & ~F.contains(F.substring("text", 1, 4096), F.lit("\0"))
+    sizes = files.where(readable).select(*keys, "path", F.octet_length("text").alias("size"))
+    sets = predicates.where("kind <> 'path'").select(*keys, "scopes").distinct()
+    met = sizes.join(sets, keys).where(within_scopes(F.col("path"), F.col("scopes")))
+    upto = F.sum("size").over(Window.partitionBy(*keys, "scopes").orderBy("path"))
+    return met.withColumn("fits", upto <= max_bytes)
+
+
 def surface_matches(files: DataFrame, predicates: DataFrame, keys: list[str], max_bytes: int = MAX_BYTES, max_matches: int = MAX_MATCHES) -> tuple[DataFrame, DataFrame]:
     """Matches of plans on three surfaces, and how far each plan was scanned.
 
     files: of scanned_paths(), with text (null if it can't be read); predicates: keys and the columns of scan_predicates().
     Paths come first, then file after file: its lines' contents, then their symbol names. Of a plan the first max_matches
-    count; contents are read until max_bytes; files with a NUL at their beginning aren't read. A checkout has at most
-    max_files files, so its plans meet them by key; lines are never sent to all tasks.
+    count; contents are read until max_bytes. Every text is cut into lines once, whatever predicates look at it, and lines
+    meet predicates by their words (selector_hits); paths do so too.
     """
     whole = [*keys, "plan_id"]
-    met = files.join(predicates, keys).where(within_scopes(F.col("path"), F.col("scopes")))
+    scoped = predicates.select(*whole, "predicate_id", "number", "kind", "value", "scopes", (F.col("kind") == "phrase").alias("phrase"))
+    named = selector_hits(files.select(*keys, "path", F.col("path").alias("content")), scoped.where("kind = 'path'"), keys).where(within_scopes(F.col("path"), F.col("scopes")))
     columns = [*whole, "predicate_id", "number", "surface", "path", "line", "excerpt", "turn", "at"]
-    named = met.where((F.col("kind") == "path") & bounded_match(F.col("path"), F.col("value"), F.lit(False)))
     named = named.select(*whole, "predicate_id", "number", F.lit("paths").alias("surface"), "path", F.lit(0).alias("line"), F.col("path").alias("excerpt"), F.lit(0).alias("turn"), F.lit(0).alias("at"))
-    readable = F.col("text").isNotNull() & ~F.contains(F.substring("text", 1, 4096), F.lit("\0"))
-    read = met.where((F.col("kind") != "path") & readable)
-    # a plan's files are counted once, whatever predicates look at them
-    sizes = read.groupBy(*whole, "path").agg(F.first(F.octet_length("text")).alias("size"))
-    upto = F.sum("size").over(Window.partitionBy(*whole).orderBy("path"))
-    sizes = sizes.withColumn("fits", upto <= max_bytes)
-    lines = read.join(sizes.where("fits").select(*whole, "path"), [*whole, "path"]).select(*whole, "predicate_id", "number", "kind", "value", "path", F.posexplode(F.split("text", "\r\n|[\n\r]", -1)).alias("line", "content"))
-    lines = lines.withColumn("line", F.col("line") + 1)
-    contents = lines.where(bounded_match(F.col("content"), F.col("value"), F.col("kind") == "phrase"))
-    contents = contents.select(*whole, "predicate_id", "number", F.lit("file_content").alias("surface"), "path", "line", F.substring(F.trim("content"), 1, 240).alias("excerpt"), F.lit(1).alias("turn"), F.lit(0).alias("at"))
-    symbols = lines.where("kind = 'identifier'").select("*", F.posexplode(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0))).alias("at", "symbol")).where(F.lower("symbol") == F.lower("value"))
+    reads = kept(read_files(files, predicates, keys, max_bytes))
+    open_ = files.join(reads.where("fits").select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
+    lines = open_.select(*keys, "path", F.posexplode(F.split("text", "\r\n|[\n\r]", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
+    hits = selector_hits(lines, scoped.where("kind <> 'path'"), keys).join(reads.where("fits").select(*keys, "scopes", "path"), [*keys, "scopes", "path"], "left_semi")
+    hits = kept(hits.select(*whole, "predicate_id", "number", "kind", "value", "path", "line", "content"))
+    contents = hits.select(*whole, "predicate_id", "number", F.lit("file_content").alias("surface"), "path", "line", F.substring(F.trim("content"), 1, 240).alias("excerpt"), F.lit(1).alias("turn"), F.lit(0).alias("at"))
+    # a symbol that is the selector stands between characters that aren't of words, so its line is a hit
+    symbols = hits.where("kind = 'identifier'").select("*", F.posexplode(F.regexp_extract_all("content", F.lit(SYMBOL), F.lit(0))).alias("at", "symbol")).where(F.lower("symbol") == F.lower("value"))
     symbols = symbols.select(*whole, "predicate_id", "number", F.lit("symbol_names").alias("surface"), "path", "line", F.col("symbol").alias("excerpt"), F.lit(2).alias("turn"), "at")
     found = reduce(DataFrame.union, [part.select(*columns) for part in (named, contents, symbols)])
     order = Window.partitionBy(*whole).orderBy(F.col("turn") > 0, "path", "line", "turn", "at", "number")
     found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_matches)
     identity = F.concat_ws("\0", "plan_id", "predicate_id", "revision_side" if "revision_side" in keys else F.lit("head"), F.concat("predicate_id", F.lit(":target")), "surface", "path", F.col("line").cast("string"))
-    rows = found.select(*whole, "predicate_id", F.concat(F.lit("CSM:"), F.substring(F.sha2(identity, 256), 1, 16)).alias("match_id"), "surface", "path", F.nullif("line", F.lit(0)).alias("line"), "excerpt", fact_profile(F.col("path")).alias("profile"), "place")
-    plans = predicates.select(*whole).distinct().join(files.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.bool_or("file_limited").alias("file_limited")), keys, "left")
-    byte_limited = sizes.groupBy(*whole).agg(F.bool_or(~F.col("fits")).alias("byte_limited"), F.count_if("fits").alias("n_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("n_bytes"))
-    n_matches = found.groupBy(*whole).agg(F.count("*").alias("n_matches"))
-    states = plans.join(byte_limited, whole, "left").join(n_matches, whole, "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"]).na.fill(False, ["file_limited", "byte_limited"])
+    rows = kept(found.select(*whole, "predicate_id", F.concat(F.lit("CSM:"), F.substring(F.sha2(identity, 256), 1, 16)).alias("match_id"), "surface", "path", F.nullif("line", F.lit(0)).alias("line"), "excerpt", fact_profile(F.col("path")).alias("profile"), "place"))
+    plans = predicates.select(*whole, "scopes").distinct().join(files.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.bool_or("file_limited").alias("file_limited")), keys, "left")
+    sizes = reads.groupBy(*keys, "scopes").agg(F.bool_or(~F.col("fits")).alias("byte_limited"), F.count_if("fits").alias("n_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("n_bytes"))
+    read = predicates.where("kind <> 'path'").select(*whole, "scopes").distinct().join(sizes, [*keys, "scopes"])
+    n_matches = rows.groupBy(*whole).agg(F.count("*").alias("n_matches"))
+    states = plans.join(read.drop("scopes"), whole, "left").join(n_matches, whole, "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"]).na.fill(False, ["file_limited", "byte_limited"])
     limited = F.col("file_limited") | F.col("byte_limited") | (F.col("n_matches") >= max_matches)
     return rows, states.select(*whole, "n_paths", "n_files", "n_bytes", "n_matches", F.when(F.col("n_paths") == 0, "unavailable").when(limited, "partial").otherwise("complete").alias("state"))
 
 
+def checked_scans(checkouts: DataFrame, files: DataFrame, plans: DataFrame, predicates: DataFrame, **limits) -> tuple[DataFrame, DataFrame]:
+    """Matches, and for each plan and side its state with the refusal if it wasn't scanned.
+
+    checkouts: review_id, revision_side, has_root, revision, expected, clean; files: review_id, revision_side, path, text; plans:
+    review_id, plan_id, statement_id, revision_side; predicates: review_id, plan_id and the columns of scan_predicates(). A
+    refused checkout's files aren't read.
+    """
+    keys = ["review_id", "revision_side"]
+    counted = predicates.groupBy("review_id", "plan_id").agg(F.count("*").alias("n_predicates"))
+    told = plans.join(checkouts, keys, "left").join(counted, ["review_id", "plan_id"], "left").na.fill(0, ["n_predicates"]).na.fill(False, ["has_root", "clean"])
+    refusal = scan_refusal(F.col("revision_side"), F.col("has_root"), F.col("revision"), F.col("expected"), F.col("clean"), F.col("n_predicates"))
+    told = kept(told.select(*keys, "plan_id", "statement_id", refusal.alias("refusal")))
+    allowed = told.where("refusal is null").select(*keys, "plan_id")
+    open_ = files.join(allowed.select(*keys).distinct(), keys, "left_semi")
+    rows, states = surface_matches(scanned_paths(open_, keys), allowed.join(predicates, ["review_id", "plan_id"]), keys, **limits)
+    shown = told.join(states, [*keys, "plan_id"], "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"])
+    return rows, shown.withColumn("state", F.coalesce("state", F.lit("unavailable")))
+
+
 def closure_evidence(states: DataFrame, sides: list[str]) -> DataFrame:
     """plan columns, n_matches and summary: one fact for all sides of a plan's scan, side by side in the order of names.
 
