@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOSS_ROLE = "assistant"
@@ -34,49 +34,47 @@ def unescaped(text: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted (string), n_turns, n_blocks and loss_spans for every conversation (conv_id, turn, role, text)."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("row"),
-    )
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    turns = turns.withColumn("turns", F.transform("turns", lambda t: F.struct(escaped(t["role"], True).alias("role"), escaped(t["text"]).alias("text"))))
-    # starts of blocks: the first turn, and those whose role differs from the turn before
-    starts = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]))
-    blocks = F.transform(
-        "starts",
-        lambda start, i: F.struct(
-            F.element_at("turns", start)["role"].alias("role"),
-            F.transform(F.slice("turns", start, F.coalesce(F.try_element_at("starts", i + 2), F.size("turns") + 1) - start), lambda t: t["text"]).alias("texts"),
-        ),
-    )
-    turns = turns.withColumn("starts", starts).withColumn("blocks", blocks)
-    pieces = F.flatten(F.transform("blocks", lambda b: F.transform(b["texts"], lambda t, i: F.struct(F.when(i == 0, F.concat(F.lit(OPEN), b["role"], F.lit(">\n"))).otherwise(F.lit(NEXT)).alias("mark"), t.alias("text"), (b["role"] == LOSS_ROLE).alias("loss"), F.when(i == F.size(b["texts"]) - 1, F.lit(CLOSE)).otherwise(F.lit("")).alias("end")))))
-    turns = turns.withColumn("pieces", pieces)
-    formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["mark"], p["text"], p["end"])), "")
-    kind = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans")).cast(kind),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["mark"]) + F.length(p["text"]) + F.length(p["end"])).cast("bigint").alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["mark"])).cast("bigint").alias("start"), F.length(p["text"]).cast("bigint").alias("length"))))).otherwise(acc["spans"]).alias("spans"),
-        ).cast(kind),
-    )["spans"]
-    return turns.select("conv_id", formatted.alias("formatted"), F.size("turns").cast("long").alias("n_turns"), F.size("blocks").cast("long").alias("n_blocks"), spans.alias("loss_spans"))
+    """conv_id, formatted (string), n_turns, n_blocks and loss_spans for every conversation (conv_id, turn, role, text).
+
+    What stands before and after a turn, and where it begins, are windows over the rows, so work grows with the turns.
+    """
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), plain("role").alias("role"), plain("text").alias("text"))
+    rows = rows.withColumn("n", F.row_number().over(order))
+    by_place = Window.partitionBy("conv_id").orderBy("n")
+    apart = lambda other: F.coalesce(other.over(by_place) != F.col("role"), F.lit(True))
+    rows = rows.select("conv_id", "n", escaped(F.col("role"), True).alias("role"), escaped(F.col("text")).alias("text"), apart(F.lag("role")).alias("opens"), apart(F.lead("role")).alias("closes"))
+    mark = F.when(F.col("opens"), F.concat(F.lit(OPEN), "role", F.lit(">\n"))).otherwise(F.lit(NEXT))
+    end = F.when(F.col("closes"), F.lit(CLOSE)).otherwise(F.lit(""))
+    rows = rows.select("conv_id", "n", "role", "opens", F.length(mark).alias("ahead"), F.length("text").alias("size"), F.concat(mark, "text", end).alias("piece"))
+    before = F.coalesce(F.sum(F.length("piece")).over(by_place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = F.when(F.col("role") == LOSS_ROLE, F.struct((before + F.col("ahead")).cast("long").alias("start"), F.col("size").cast("long").alias("length")))
+    held = rows.withColumn("span", span).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", "piece", "span"))).alias("pieces"), F.count("*").alias("n_turns"), F.count_if("opens").alias("n_blocks"))
+    spans = F.transform(F.filter("pieces", lambda p: p["span"].isNotNull()), lambda p: p["span"])
+    return held.select("conv_id", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), "n_turns", "n_blocks", spans.alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns (array of role, text) and loss_text, read back from formatted and loss_spans alone."""
-    blocks = F.filter(F.split("formatted", CLOSE, -1), lambda b: b != "")
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.substring(b, F.instr(b, ">\n") + 2, F.length(b)), r"<turn\+>", -1),
-                lambda t: F.struct(unescaped(F.substring(b, F.lit(len(OPEN) + 1), F.instr(b, ">\n") - len(OPEN) - 1)).alias("role"), unescaped(t).alias("text")),
-            ),
-        )
-    )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescaped(F.substring("formatted", s["start"].cast("int") + 1, s["length"].cast("int")))), "")
-    return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
+    """conv_id, turns (array of role, text), loss_text and formatted_chars, read back from formatted and loss_spans alone.
+
+    Blocks and texts become rows, whose places are sums over them; the loss is the texts that begin and end where a span does.
+    """
+    # what goes along with exploded rows is made before, so that no row carries the whole
+    split = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.filter(F.split("formatted", CLOSE, -1), lambda b: b != "").alias("blocks"))
+    blocks = split.select("conv_id", "formatted_chars", F.posexplode("blocks").alias("block", "b"))
+    begins = F.instr("b", ">\n")
+    blocks = blocks.select("conv_id", "formatted_chars", "block", F.substring("b", F.lit(len(OPEN) + 1), begins - len(OPEN) - 1).alias("role"), F.split(F.substring("b", begins + 2, F.length("b")), r"<turn\+>", -1).alias("texts"))
+    rows = blocks.withColumn("n_texts", F.size("texts")).select("conv_id", "formatted_chars", "block", "role", "n_texts", F.posexplode("texts").alias("at", "text"))
+    ahead = F.when(F.col("at") == 0, F.length("role") + len(OPEN) + 2).otherwise(F.lit(len(NEXT)))
+    behind = F.when(F.col("at") == F.col("n_texts") - 1, F.lit(len(CLOSE))).otherwise(F.lit(0))
+    upto = Window.partitionBy("conv_id").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(ahead + F.length("text") + behind).over(upto), F.lit(0)) + ahead).cast("long")
+    rows = rows.withColumn("start", start).withColumn("length", F.length("text").cast("long"))
+    spans = formatted.select(F.col("conv_id").alias("_conv"), F.inline("loss_spans")).toDF("_conv", "_start", "_length").withColumn("loss", F.lit(True))
+    met = rows.join(spans, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("start") == F.col("_start")) & (F.col("length") == F.col("_length")), "left")
+    turn = F.struct("block", "at", unescaped(F.col("role")).alias("role"), unescaped(F.col("text")).alias("text"), F.coalesce("loss", F.lit(False)).alias("loss"))
+    held = met.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"), F.max("formatted_chars").alias("formatted_chars"))
+    turns = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    loss = F.array_join(F.transform(F.filter("t", lambda t: t["loss"]), lambda t: t["text"]), "")
+    return held.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted_chars")
