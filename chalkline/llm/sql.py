@@ -101,8 +101,10 @@ def _level(name: str, rows: str) -> str:
 
 OP10 = f"""WITH u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
     FROM (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)),
-  h AS (SELECT host, count(quality) AS n, coalesce(sum(quality), 0) AS good, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-    FROM u LEFT JOIN labels ON doc_id = page_id GROUP BY host),
+  v AS (SELECT *, regexp_replace(regexp_replace(host, '^[^@]*@', ''), '\\.*(:[0-9]*)?$', '') AS site FROM u),
+  h AS (SELECT site AS host, n, good, CASE WHEN regexp_matches(site, '^([0-9]+\\.){{3}}[0-9]+$|^\\[') THEN site WHEN two IN {urls.SUFFIX_PAIRS} THEN array_to_string(string_split(site, '.')[-3:], '.') ELSE two END AS domain,
+      CASE WHEN regexp_matches(site, '^([0-9]+\\.){{3}}[0-9]+$|^\\[') THEN site WHEN two IN {urls.SUFFIX_PAIRS} THEN two ELSE string_split(site, '.')[-1] END AS suffix
+    FROM (SELECT site, array_to_string(string_split(site, '.')[-2:], '.') AS two, count(quality) AS n, coalesce(sum(quality), 0) AS good FROM v LEFT JOIN labels ON doc_id = page_id GROUP BY site)),
   w AS (SELECT coalesce((sum(good) + 1) / (sum(n) + 2), 0.5) AS mean FROM h WHERE n > 0),
   {_level("s", "SELECT suffix, sum(n) AS n, sum(good) AS good, any_value(w.mean) AS p FROM h, w WHERE n > 0 GROUP BY suffix")},
   {_level("m", "SELECT h.domain, h.suffix, sum(h.n) AS n, sum(h.good) AS good, any_value(s.mean) AS p FROM h JOIN s USING (suffix) WHERE h.n > 0 GROUP BY h.domain, h.suffix")},
@@ -112,7 +114,7 @@ OP10 = f"""WITH u AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/
   l AS (SELECT host, round(mean - {urls.Z} * sqrt(mean * (1 - mean) / (weight + 1)), 6) AS lower_bound FROM e)
   SELECT page_id, host, path, CASE {_FITS.format(*[f"'{r}'" for _, r in _ORDERED])} END AS rule,
     CASE {_FITS.format(*[f"'{v}'" for v, _ in _ORDERED])} WHEN lower_bound >= {urls.LEAST_GOOD} THEN 'allow' ELSE 'block' END AS verdict, lower_bound
-  FROM u JOIN l USING (host)"""
+  FROM v JOIN (SELECT host AS site, lower_bound FROM l) USING (site)"""
 
 
 
@@ -142,12 +144,12 @@ def _lloyd() -> str:
 
 OP11 = _lloyd()
 
-_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_RANKED = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
 
-OP13 = f"""WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+OP13 = f"""WITH t AS (SELECT doc_id, {_RANKED} AS terms FROM documents),
   s AS (SELECT count(*) AS n, sum(len(terms))::HUGEINT AS l FROM t WHERE len(terms) > 0),
   p AS (SELECT doc_id, term, count(*) AS tf, any_value(size) AS size FROM (SELECT doc_id, len(terms) AS size, unnest(terms) AS term FROM t) GROUP BY doc_id, term),
-  q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+  q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_RANKED}) AS term FROM benchmark) GROUP BY item_id, term),
   w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term),
   c AS (SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * size * s.n) // s.l))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, doc_id)
   SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM c WHERE score > 0) WHERE rank <= {ranking.TOP}"""

@@ -1,7 +1,7 @@
 """URL filters: rules by host and path, and the reputation of hosts by empirical Bayes, in DataFrame operations only.
 
-Outcomes (1 good, 0 bad) of labelled pages are counted by host, registered domain (the last two labels of a host) and
-suffix (the last). Every level's rates follow a beta distribution whose mean is its parent's posterior mean and whose
+Outcomes (1 good, 0 bad) of labelled pages are counted by site (a host without user, port and trailing dots), registered
+domain and public suffix; an address is all three. Every level's rates follow a beta distribution whose mean is its parent's posterior mean and whose
 strength is fitted by the method of moments over the level; so hosts with few pages lean on their domain, domains on
 their suffix, suffixes on the whole. A host passes if the posterior's lower bound, mean less Z standard deviations,
 reaches LEAST_GOOD. A host without labelled pages has its domain's posterior for its prior, and so on up.
@@ -23,6 +23,13 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LEAST_GOOD, Z = 0.5, 1.645
 #: Bounds of a level's fitted strength, in pages.
 STRENGTH = (2.0, 1000.0)
+# Public suffixes of two labels, the commonest ones; callers may give others.
+SUFFIX_PAIRS = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn",
+    "com.co", "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn",
+    "gov.in", "gov.uk", "ltd.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn",
+    "org.nz", "org.uk", "org.za",
+)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -36,12 +43,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def site_of(host: Column) -> Column:
+    """The host that reputations are kept by: without user, port and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(host, "^[^@]*@", ""), r"\.*(:[0-9]*)?$", "")
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def is_address(site: Column) -> Column:
+    """Four numbers, or an address in brackets; nothing is registered above it."""
+    return site.rlike(r"^([0-9]+\.){3}[0-9]+$|^\[")
+
+
+def suffix_of(site: Column, pairs=SUFFIX_PAIRS) -> Column:
+    """The public suffix: the last label, or the last two where both are one; an address is its own."""
+    two = F.substring_index(site, ".", -2)
+    return F.when(is_address(site), site).when(two.isin(*pairs), two).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column, pairs=SUFFIX_PAIRS) -> Column:
+    """The registered domain: the public suffix and the label before it."""
+    return F.when(is_address(site), site).when(F.substring_index(site, ".", -2).isin(*pairs), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
 
 
 def _fits(rule: str, host: Column, path: Column) -> Column:
@@ -73,16 +93,16 @@ def _shrunk(level: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return fitted.select(*level.columns, mean.alias("mean"), (F.col("n") + F.col("strength")).alias("weight"))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """host, pages seen (n) and good of them, mean, weight and lower bound of the posterior, for every host of pages.
+def reputation(pages: DataFrame, outcomes: DataFrame, pairs=SUFFIX_PAIRS) -> DataFrame:
+    """host (a site), pages seen (n) and good of them, mean, weight and lower bound of the posterior, for every site of pages.
 
-    pages: page_id, url; outcomes: page_id and good (0 or 1).
+    pages: page_id, url; outcomes: page_id and good (0 or 1); pairs: public suffixes of two labels.
     """
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), site_of(host_of(F.col("url"))).alias("host"))
     known = outcomes.select(F.col("page_id").cast("long").alias("known_id"), F.col("good").cast("int").alias("good")).where("known_id is not null and good is not null")
     joined = own.join(known, F.col("page_id") == F.col("known_id"), "left")
     hosts = joined.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = checkpointed(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
+    hosts = checkpointed(hosts.withColumn("domain", domain_of(F.col("host"), pairs)).withColumn("suffix", suffix_of(F.col("host"), pairs)))
     seen = hosts.where("n > 0")
     domains = seen.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("whole", F.lit(0))
@@ -108,6 +128,6 @@ def url_verdicts(pages: DataFrame, outcomes: DataFrame, rules=RULES, least_good:
     scores = reputation(pages, outcomes).select(F.col("host").alias(key), "lower_bound")
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    judged = own.join(scores, F.col("host") == F.col(key), "left")
+    judged = own.join(scores, site_of(F.col("host")) == F.col(key), "left")
     method = F.when(F.col("lower_bound") >= least_good, "allow").otherwise("block")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "lower_bound")
