@@ -8,10 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a Python worker gets at once; texts of 100 KB then make batches of some 25 MB.
-BATCH_ROWS = 256
-#: Rows that a table may have to be broadcast by request; beyond it Spark shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows a Python worker gets at once, and bytes where rows are long.
+BATCH_ROWS, BATCH_BYTES = 256, 64 << 20
+#: Rows that a table may have to be broadcast by request, and rows of one number each; beyond it Spark shuffles.
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where that is unset on one machine (tests)."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chalkline-")
         context.setCheckpointDir(folder)
     return folder
@@ -42,8 +44,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep a Python worker's batches small, whatever the length of the texts."""
+    """Keep a Python worker's batches small, whatever the length of the texts (a batch ends with the row that passes the bound)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -94,6 +97,15 @@ def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right[key]), "left_semi")
 
 
+def drop_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't in the only column of ids (distinct, no nulls); up to BROADCAST_IDS no text is shuffled."""
+    key = fresh(docs, "_dropped_id")
+    right = ids.toDF(key)
+    if ids.count() <= BROADCAST_IDS:
+        right = F.broadcast(right)
+    return docs.join(right, docs["doc_id"].cast("long") == right[key], "left_anti")
+
+
 def gathered(batches, column: int, size: int):
     """Arrow batches joined until the binary column has so many bytes."""
     import pyarrow as pa

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.llm.common import bounded_batches, checkpointed, fresh, id_and_text, keep_ids, maybe_broadcast, unsigned_hex
+from chalkline.llm.common import bounded_batches, checkpointed, drop_ids, fresh, id_and_text, keep_ids, maybe_broadcast, unsigned_hex
 
 MAX_BITS = 4
 SHINGLE = 4
@@ -317,7 +317,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "fp")).alias("least"))
     kept = checkpointed(least.select(F.col("least")["doc_id"].alias("doc_id"), F.col("least")["fp"].alias("fp")))
     repeated = checkpointed(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    single = keep_ids(docs, kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select("doc_id"))
+    # all that goes, few beside all that stays: copies, and rows that doc_id alone doesn't tell apart
+    copies = found.where("doc_id is not null").select("doc_id").distinct().join(kept.select("doc_id"), "doc_id", "left_anti")
+    single = drop_ids(docs.where("doc_id is not null"), checkpointed(copies.union(repeated).distinct()))
     doubtful = kept.where("doc_id is null").union(kept.join(repeated, "doc_id", "left_semi"))
     if doubtful.isEmpty():
         return single

@@ -552,3 +552,41 @@ def test_representatives_with_null_and_repeated_ids(spark):
     assert kept.columns == table.columns
     wanted = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4]), (9, text[5])]
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, wanted))
+
+
+def test_long_conversation_grows_with_its_turns(spark):
+    import time
+
+    took = []
+    for n in (1000, 4000, 8000):
+        rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </turn> \\ " + "x" * 50) for i in range(n)]
+        table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        began = time.time()
+        (r,) = chat.read_chats(chat.format_chats(table)).collect()
+        took.append(time.time() - began)
+        assert [(t.role, t.text) for t in r.turns] == [x[2:] for x in rows] and r.loss_text == "".join(x[3] for x in rows if x[2] == "assistant")
+    assert took[2] < 2.5 * took[1] + 1
+
+
+def test_domains_of_odd_hosts(spark):
+    wanted = {
+        "a.co.uk": ("a.co.uk", "co.uk"), "x.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.7": ("10.0.0.7", "10.0.0.7"), "10.0.0.7:80": ("10.0.0.7", "10.0.0.7"), "ex.com:8080": ("ex.com", "com"),
+        "w.ex.com.": ("ex.com", "com"), "me:pw@ex.com": ("ex.com", "com"), "[::1]:8080": ("[::1]", "[::1]"), "localhost": ("localhost", "localhost"), "": ("", ""), "a.b.example.org": ("example.org", "org"), "1.2.3.com": ("3.com", "com"),
+    }
+    site = urls.site_of(F.col("h"))
+    got = {r.h: (r.d, r.s) for r in spark.createDataFrame([(h,) for h in wanted], "h string").select("h", urls.domain_of(site).alias("d"), urls.suffix_of(site).alias("s")).collect()}
+    assert got == wanted
+    pages = spark.createDataFrame([(1, "http://a.co.uk/"), (2, "http://b.co.uk:80/x"), (3, "http://b.co.uk./y"), (4, None)], "page_id long, url string")
+    seen = {r.host: (r.n, r.good) for r in urls.reputation(pages, spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "page_id long, good int")).collect()}
+    assert seen == {"a.co.uk": (1, 1), "b.co.uk": (2, 0), "": (0, 0)}
+    assert {r.page_id: r.host for r in urls.url_verdicts(pages, spark.createDataFrame([], "page_id long, good int")).collect()} == {1: "a.co.uk", 2: "b.co.uk:80", 3: "b.co.uk.", 4: ""}
+    assert urls.url_verdicts(pages.where("false"), spark.createDataFrame([(1, 1)], "page_id long, good int")).collect() == []
+
+
+def test_dropped_ids_keep_rows_without_one(spark, monkeypatch):
+    from chalkline.llm import common
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "doc_id long, text string")
+    for bound in (0, 10):
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        assert sorted(r.text for r in common.drop_ids(docs, spark.createDataFrame([(2,)], "x long")).collect()) == ["a", "c"]
