@@ -179,10 +179,10 @@ def capped_relations(relations: DataFrame, review: list[str], order: list, limit
     return relations.withColumn("kept", F.row_number().over(Window.partitionBy(*review).orderBy(*order)) <= limit)
 
 
-def primary_placements(placements: DataFrame) -> DataFrame:
-    """One parent for each child: of the head revision first, then the one that sorts first (child, parent, in_head)."""
-    ranked = placements.withColumn("place", F.row_number().over(Window.partitionBy("child").orderBy(F.col("in_head").desc(), "parent")))
-    return ranked.where("place = 1").select("child", "parent")
+def primary_placements(placements: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """One parent for each child: of the head revision first, then the one that sorts first (keys, child, parent, in_head)."""
+    ranked = placements.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "child").orderBy(F.col("in_head").desc(), "parent")))
+    return ranked.where("place = 1").select(*keys, "child", "parent")
 
 
 def lifted_endpoints(source_chain: Column, target_chain: Column) -> tuple[Column, Column]:
@@ -192,12 +192,17 @@ def lifted_endpoints(source_chain: Column, target_chain: Column) -> tuple[Column
     return pick(source_chain), pick(target_chain)
 
 
-def relation_groups(edges: DataFrame, chains: DataFrame, keys: list[str], count: str = "n_edges") -> DataFrame:
-    """lifted_source, lifted_target, keys and counts of edges (source, target) with ends lifted by chains (node, chain)."""
-    joined = edges.join(chains.select(F.col("node").alias("source"), F.col("chain").alias("source_chain")), "source")
-    joined = joined.join(chains.select(F.col("node").alias("target"), F.col("chain").alias("target_chain")), "target")
+def grouped_edges(edges: DataFrame, chains: DataFrame, by: list[str] = ()) -> DataFrame:
+    """edges (by, source, target) with lifted_source and lifted_target, by chains (by, node, chain)."""
+    joined = edges.join(chains.select(*by, F.col("node").alias("source"), F.col("chain").alias("source_chain")), [*by, "source"])
+    joined = joined.join(chains.select(*by, F.col("node").alias("target"), F.col("chain").alias("target_chain")), [*by, "target"])
     low, high = lifted_endpoints(F.col("source_chain"), F.col("target_chain"))
-    return joined.groupBy(low.alias("lifted_source"), high.alias("lifted_target"), *keys).agg(F.count("*").alias(count))
+    return joined.withColumn("lifted_source", low).withColumn("lifted_target", high).drop("source_chain", "target_chain")
+
+
+def relation_groups(edges: DataFrame, chains: DataFrame, keys: list[str], by: list[str] = (), count: str = "n_edges") -> DataFrame:
+    """by, lifted_source, lifted_target, keys and counts of edges with ends lifted by chains."""
+    return grouped_edges(edges, chains, by).groupBy(*by, "lifted_source", "lifted_target", *keys).agg(F.count("*").alias(count))
 
 
 def change_backbone(edges: DataFrame, seeds: DataFrame, parents: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions import focus, selectors
 from chalkline.operators import alignment, assessment, association, convergence, extraction, facts, graph, predicates, projection, rollups, scan, shadow, structure
+from chalkline.plans import projection as plan
 from chalkline.plans.queries import HALF_ORDERS, Tables, _bound, _joined
 from chalkline.sources import packets
 
@@ -366,11 +369,45 @@ def anchor_slots(t: Tables) -> DataFrame:
     return ranked.where("canonical").groupBy("l_orderkey").agg(*[F.min(c).alias(c) for c in ("slot", "evidence_role", "association", "source_ordinal", "target_id")])
 
 
+def review_projection(t: Tables) -> DataFrame:
+    """Regions as reviews: nations own customers and suppliers, orders' lines within a region are relations, segments are focuses
+    whose anchors are customers far in debt and whose contexts are suppliers so. All parts of the projection as rows."""
+    place = t.nation.select(F.col("n_nationkey").alias("nation"), _text("r", "n_regionkey").alias("review_id"))
+    at = lambda df, key: df.join(place, F.col(key) == F.col("nation"))
+    customers = at(t.customer, "c_nationkey").select("review_id", _text("c", "c_custkey").alias("node_id"), _text("n", "c_nationkey").alias("parent"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("focus_id"))
+    suppliers = at(t.supplier, "s_nationkey").select("review_id", _text("s", "s_suppkey").alias("node_id"), _text("n", "s_nationkey").alias("parent"), F.col("s_acctbal").alias("balance"), F.lit("BUILDING").alias("focus_id"))
+    nations = place.select("review_id", _text("n", "nation").alias("node_id"), F.lit(None).cast("string").alias("parent"), F.lit(9999.0).alias("balance"), F.lit(None).cast("string").alias("focus_id"))
+    every = customers.unionByName(suppliers).unionByName(nations)
+    sides = F.when(F.col("balance") < 5000, F.array(F.lit("base"), F.lit("head"))).otherwise(F.array(F.lit("head")))
+    symbols = every.select("review_id", "node_id", F.explode(sides).alias("side"), F.concat(F.lit("src/"), "node_id").alias("path")).withColumn("id", F.concat_ws(":", "node_id", "side"))
+    changes = every.where("balance < 0").select("review_id", "node_id", F.concat_ws(":", "node_id", F.lit("change")).alias("id"), F.when(F.substring("node_id", 1, 1) == "c", "modified").otherwise("added").alias("operation"), F.concat(F.lit("src/"), "node_id").alias("path"))
+    ends = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(_text("c", "o_custkey").alias("source"), _text("s", "l_suppkey").alias("target"), F.col("l_linestatus").alias("relation")).distinct()
+    own = ends.join(customers.select("review_id", F.col("node_id").alias("source")), "source").join(suppliers.select("review_id", F.col("node_id").alias("target")), ["review_id", "target"]).withColumn("operation", F.lit("retained"))
+    ownership = every.where("parent is not null").select("review_id", "parent", F.col("node_id").alias("child"), F.array(F.lit("head")).alias("sides"), F.lit("retained").alias("operation"))
+    none = own.where("false")
+    found = plan.StructuralFacts(every.select("review_id", "node_id").distinct(), symbols, changes, own, ownership, none, none, none, none)
+    deep = lambda df: df.where("balance < -900").select("review_id", "focus_id", F.concat(F.lit("PR:"), "node_id").alias("relation_id"), "node_id")
+    anchors = deep(customers).withColumn("association", F.when(F.substring("node_id", -1, 1) < "5", "exact_identifier").otherwise("distinctive_phrase"))
+    paths = deep(suppliers).where("false").select("review_id", "focus_id", "relation_id", F.array("node_id").alias("node_ids"))
+    foci = customers.select("review_id", "focus_id").distinct()
+    rich = customers.where("balance > 9900").select("review_id", "focus_id", F.lit("partial").alias("status")).distinct()
+    bound = customers.where("balance > 9000").select("review_id", "focus_id", F.col("node_id").alias("evidence_id"))
+    others = foci.select("review_id", "focus_id", F.lit(0).alias("n_deferred"), F.lit(0).alias("n_other"), F.array(F.lit("no_association")).alias("states"))
+    shown = plan.project(found, anchors, deep(suppliers), paths, foci, rich, bound, others)
+    row = lambda df, kind, key, value: df.select("review_id", F.lit(kind).alias("kind"), F.concat_ws("|", *key).alias("id"), value.alias("state"))
+    parts = [
+        row(shown.nodes, "node", ["node_id"], F.col("delta")), row(shown.overlays, "member", ["focus_id", "node_id"], F.col("membership")), row(shown.groups, "group", ["lifted_source", "lifted_target", "relation"], F.col("n_edges").cast("string")),
+        row(shown.dispositions, "focus", ["focus_id"], F.col("state")), row(shown.matrix, "matrix", ["subject_id"], F.concat_ws(":", "status", F.size("evidence_ids").cast("string"), F.col("n_nodes").cast("string"))),
+        row(shown.focus_edges, "edge", ["focus_id", "edge_id"], F.lit("inside")),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
 _OWN = (
     requirement_rules, claim_predicates, selector_rules, links, evidence_eligibility, graph_states, scan_surfaces, predicate_status, merged_members,
     relation_changes, ownership_changes, focus_overlay, observed_focuses, verification_matrix, claim_closure, claim_bindings, authority_bypasses,
     check_facts, change_facts, shadow_run, shadow_comparison, shadow_metrics, structural_slots, graph_overview, component_groups, focus_coverage,
-    owned_diagnostics, code_excerpts, focus_anchors, explicit_references, review_checks, linked_issues, revision_states, anchor_slots,
+    owned_diagnostics, code_excerpts, focus_anchors, explicit_references, review_checks, linked_issues, revision_states, anchor_slots, review_projection,
 )
 
 QUERIES = {q.__name__: _bound(q) for q in _OWN}

@@ -206,4 +206,19 @@ ORACLE_SQL = {
         u AS (SELECT *, greatest(0, least(least(a + r, 300), 1000 - coalesce(sum(least(a + r, 300)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS used FROM c),
         k AS (SELECT *, greatest(0, least(a, used - least(r, used // 2))) AS ka FROM u), j AS (SELECT *, greatest(0, least(r, used - ka)) AS kr FROM k)
         SELECT conv_id AS request_id, turn AS ordinal, CAST(ka AS INT) AS n_added, CAST(kr AS INT) AS n_removed, ka <> a OR kr <> r AS truncated FROM j""",
+    "review_projection": """WITH p AS (SELECT n_nationkey AS nk, 'r' || n_regionkey AS review_id FROM nation),
+        c AS (SELECT review_id, 'c' || c_custkey AS node, 'n' || c_nationkey AS parent, c_acctbal AS b, c_mktsegment AS f FROM customer JOIN p ON nk = c_nationkey),
+        s AS (SELECT review_id, 's' || s_suppkey AS node, 'n' || s_nationkey AS parent, s_acctbal AS b, 'BUILDING' AS f FROM supplier JOIN p ON nk = s_nationkey),
+        e AS (SELECT DISTINCT c.review_id, c.node AS a, s.node AS z, c.parent AS ap, s.parent AS zp, l_linestatus AS rel FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN c ON c.node = 'c' || o_custkey JOIN s ON s.node = 's' || l_suppkey WHERE c.review_id = s.review_id),
+        o AS (SELECT review_id, f, node, CASE WHEN right(node, 1) < '5' THEN 1 ELSE 2 END AS k, parent FROM c WHERE b < -900 UNION ALL SELECT review_id, f, node, 3, parent FROM s WHERE b < -900),
+        m AS (SELECT review_id, f, node, min(k) AS k FROM (SELECT review_id, f, node, k FROM o UNION ALL SELECT review_id, f, parent, 3 FROM o) GROUP BY ALL),
+        fs AS (SELECT DISTINCT review_id, f FROM c), mc AS (SELECT review_id, f, count(*) AS n FROM m GROUP BY ALL),
+        bc AS (SELECT review_id, f, count(*) FILTER (WHERE b > 9000) AS n, bool_or(b > 9900) AS rich FROM c GROUP BY ALL)
+        SELECT review_id, 'node' AS kind, node AS id, CASE WHEN b < 0 THEN CASE WHEN node LIKE 'c%' THEN 'modified' ELSE 'added' END WHEN b < 5000 THEN 'retained' ELSE 'unresolved' END AS state FROM (FROM c UNION ALL FROM s)
+        UNION ALL SELECT review_id, 'node', 'n' || nk, 'unresolved' FROM p
+        UNION ALL SELECT review_id, 'member', f || '|' || node, ['matched', 'suggested', 'context'][k] FROM m
+        UNION ALL SELECT review_id, 'group', CASE WHEN ap = zp THEN a || '|' || z ELSE ap || '|' || zp END || '|' || rel, count(*)::VARCHAR FROM e GROUP BY ALL
+        UNION ALL SELECT review_id, 'focus', f, CASE WHEN mc.n > 0 THEN 'projected' ELSE 'unassociated' END FROM fs LEFT JOIN mc USING (review_id, f)
+        UNION ALL SELECT review_id, 'matrix', f, CASE WHEN rich THEN 'partial' ELSE 'unverified' END || ':' || bc.n || ':' || coalesce(mc.n, 0) FROM fs JOIN bc USING (review_id, f) LEFT JOIN mc USING (review_id, f)
+        UNION ALL SELECT e.review_id, 'edge', x.f || '|' || a || '>' || rel || '>' || z, 'inside' FROM e JOIN m x ON x.review_id = e.review_id AND x.node = a JOIN m y ON y.review_id = e.review_id AND y.node = z AND y.f = x.f""",
 }
