@@ -10,7 +10,13 @@ from chalkline.operators import evaluation
 from chalkline.plans.review import review
 from chalkline.sources import artifacts, packets
 
-GATES = {"precision_at_k": 0.0, "recall_at_k": 0.0, "mrr": 0.0, "no_match_accuracy": 0.0}
+# The format's names of gates; max_ ones bound from above.
+GATES = (
+    "precision_at_k", "recall_at_k", "mean_reciprocal_rank", "no_match_accuracy", "max_no_candidate_rate", "max_false_positive_rate", "classification_accuracy",
+    "statement_accuracy", "assessment_accuracy", "focus_accuracy",
+)
+#: What suites may expect that isn't compared here, and the gate that asks for it.
+UNCOMPARED = {"expected_assessments": "assessment_accuracy", "expected_focus_outcomes": "focus_accuracy"}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -44,7 +50,8 @@ def run_evaluate(spark: SparkSession, suite: str, source: str, json_path: str |
         print(e, file=sys.stderr)
         return 2
     head = cases.select("k", "thresholds").first()
-    unknown = sorted(set(head.thresholds or {}) - set(GATES))
+    expects = {c for c in UNCOMPARED if not cases.where(F.size(c) > 0).isEmpty()}
+    unknown = sorted(set(head.thresholds or {}) - (set(GATES) - {UNCOMPARED[c] for c in expects}))
     if unknown:
         print(f"thresholds that nothing is computed for: {', '.join(unknown)}", file=sys.stderr)
         return 2
@@ -53,16 +60,29 @@ def run_evaluate(spark: SparkSession, suite: str, source: str, json_path: str |
         return 2
     names = read.select("review_id", F.element_at(F.split("file", "/"), -1).alias("fixture_name"))
     own = cases.select("case_id", F.element_at(F.split("fixture", "/"), -1).alias("fixture_name")).join(names, "fixture_name")
-    chosen = review(read).selections.where("selected").join(own, "review_id")
+    told = review(read)
+    chosen = told.selections.where("selected").join(own, "review_id")
     chosen = chosen.withColumn("query", F.concat_ws("|", "case_id", "slot", "focus_id"))
     ranked = evaluation.ranked_candidates(chosen, ["query"], [F.col(c) for c in ("source_ordinal", "target_id", "association")])
     gold, queries = artifacts.golden_selections(cases)
     scores = evaluation.query_scores(ranked.select("query", "target_id", "place"), gold.select("query", "target_id"), queries.select("query"), "query", "target_id", "place", head.k)
-    metrics = evaluation.retrieval_metrics(scores)
-    gates = {k: v for k, v in (head.thresholds or {}).items() if k in GATES}
+    facts = told.facts.select("review_id", F.col("id").alias("evidence_id"), "classification", "profile").join(own.select("review_id", "case_id"), "review_id")
+    stated = told.statements.select("review_id", "statement_id", "role", "purpose", "authority").join(own.select("review_id", "case_id"), "review_id")
+    wanted = lambda c: cases.select("case_id", F.inline(F.coalesce(c, F.array().cast(cases.schema[c].dataType))))
+    parts = [
+        evaluation.absence_rates(scores),
+        evaluation.matched_share(wanted("expected_evidence"), facts, ["case_id", "evidence_id"], ["classification", "profile"], "classification_accuracy"),
+        evaluation.matched_share(wanted("expected_statements"), stated, ["case_id", "statement_id"], ["role", "purpose", "authority"], "statement_accuracy"),
+    ]
+    metrics = evaluation.retrieval_metrics(scores).withColumnRenamed("mrr", "mean_reciprocal_rank")
+    for part in parts:
+        metrics = metrics.crossJoin(F.broadcast(part))  # one row each
+    for name in set(UNCOMPARED.values()) - {UNCOMPARED[c] for c in expects}:
+        metrics = metrics.withColumn(name, F.lit(1.0))
+    gates = dict(head.thresholds or {})
     misses = evaluation.missed_gates(metrics, gates) if gates else metrics.select(F.lit("").alias("metric"), F.lit(0.0).alias("value"), F.lit(0.0).alias("threshold")).where("false")
     if json_path:
-        artifacts.write_json({"queries": scores, "metrics": metrics, "misses": misses}, json_path, {"queries": ["query"], "metrics": ["mrr"], "misses": ["metric"]})
+        artifacts.write_json({"queries": scores, "metrics": metrics, "misses": misses}, json_path, {"queries": ["query"], "metrics": ["mean_reciprocal_rank"], "misses": ["metric"]})
     if markdown_path:
         artifacts.write_markdown(metrics, misses, markdown_path)
     return 0 if misses.isEmpty() else 1

@@ -58,10 +58,28 @@ def retrieval_metrics(scores: DataFrame) -> DataFrame:
     )
 
 
+def absence_rates(scores: DataFrame) -> DataFrame:
+    """no_candidate_rate of queries with gold and false_positive_rate of those without (0 without any)."""
+    positive, some = F.col("n_expected") > 0, F.col("n_returned") > 0
+    rate = lambda of, is_: F.coalesce(F.avg(F.when(of, is_.cast("int"))), F.lit(0.0))
+    return scores.agg(rate(positive, ~some).alias("no_candidate_rate"), rate(~positive, some).alias("false_positive_rate"))
+
+
+def matched_share(expected: DataFrame, observed: DataFrame, keys: list[str], values: list[str], name: str) -> DataFrame:
+    """name: the share of expected rows (keys, values) whose observed row has equal values, nulls too; 1 if nothing is expected."""
+    seen = observed.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct(*values).alias("_seen")).dropDuplicates([f"_{k}" for k in keys])
+    met = F.lit(True)
+    for k in keys:
+        met &= F.col(k) == F.col(f"_{k}")
+    joined = expected.join(seen, met, "left")
+    return joined.agg(F.coalesce(F.avg((F.col("_seen").isNotNull() & F.struct(*values).eqNullSafe(F.col("_seen"))).cast("int")), F.lit(1.0)).alias(name))
+
+
 def missed_gates(metrics: DataFrame, thresholds: dict[str, float]) -> DataFrame:
-    """metric, value and threshold of metrics (one row) below their thresholds."""
-    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"), F.lit(float(t)).alias("threshold")) for n, t in sorted(thresholds.items())])
-    return metrics.select(F.inline(pairs)).where("value < threshold")
+    """metric, value and threshold of metrics (one row) below their thresholds; a threshold max_NAME is a bound of NAME from above."""
+    named = [(n, n.removeprefix("max_"), float(t)) for n, t in sorted(thresholds.items())]
+    pairs = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(c).cast("double").alias("value"), F.lit(t).alias("threshold"), F.lit(n != c).alias("above")) for n, c, t in named])
+    return metrics.select(F.inline(pairs)).where("if(above, value > threshold, value < threshold)").drop("above")
 
 
 def set_comparison(observed: DataFrame, expected: DataFrame, keys: list[str], item: str) -> DataFrame:

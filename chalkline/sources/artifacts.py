@@ -144,7 +144,7 @@ def write_markdown(metrics: DataFrame, misses: DataFrame, path: str) -> None:
     """A report's metrics and missed gates for people."""
     row = metrics.first().asDict()
     lines = ["# Evaluation", "", "| metric | value |", "|-|-|", *[f"| {k} | {v:.4f} |" if isinstance(v, float) else f"| {k} | {v} |" for k, v in row.items()], ""]
-    failed = [f"- {r.metric}: {r.value:.4f} is below {r.threshold:.4f}" for r in misses.orderBy("metric").collect()]
+    failed = [f"- {r.metric}: {r.value:.4f} is {'above' if r.metric.startswith('max_') else 'below'} {r.threshold:.4f}" for r in misses.orderBy("metric").collect()]
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join([*lines, *(failed or ["All gates hold."])]) + "\n")
 

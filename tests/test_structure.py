@@ -161,6 +161,19 @@ def test_evaluate_command(spark, tmp_path, target, code):
         assert cli.main(args) == code and (tmp_path / "a.json").read_bytes() == first
     (tmp_path / "suite.json").write_text(json.dumps(suite | {"schema_version": "v0"}))
     assert cli.main(args) == 2
+    # all ten gates of the format by their names, as its own suites ask for them
+    every = {"precision_at_k": 1.0, "recall_at_k": 1.0, "mean_reciprocal_rank": 0.8, "no_match_accuracy": 1.0, "max_no_candidate_rate": 0.0, "max_false_positive_rate": 0.0, "classification_accuracy": 1.0, "statement_accuracy": 1.0, "assessment_accuracy": 1.0, "focus_accuracy": 1.0}
+    expected = {"expected_evidence": [{"evidence_id": fact, "classification": "code", "profile": "production"}], "expected_statements": [{"statement_id": "R1", "role": "obligation", "purpose": "acceptance", "authority": "pr_description"}]}
+    (tmp_path / "suite.json").write_text(json.dumps(suite | {"thresholds": every, "cases": [suite["cases"][0] | expected]}))
+    assert cli.main(args) == code
+    told = json.loads((tmp_path / "a.json").read_text())
+    assert told["metrics"][0]["classification_accuracy"] == told["metrics"][0]["statement_accuracy"] == 1.0
+    assert {m["metric"] for m in told["misses"]} == (set() if code == 0 else {"precision_at_k", "recall_at_k", "mean_reciprocal_rank"})
+    wrong = {"expected_evidence": [{"evidence_id": fact, "classification": "code", "profile": "test"}]}
+    (tmp_path / "suite.json").write_text(json.dumps(suite | {"thresholds": {"classification_accuracy": 1.0, "max_false_positive_rate": 0.0}, "cases": [suite["cases"][0] | wrong]}))
+    assert cli.main(args) == 1 and "classification_accuracy" in (tmp_path / "a.md").read_text()
+    (tmp_path / "suite.json").write_text(json.dumps(suite | {"thresholds": every, "cases": [suite["cases"][0] | {"expected_focus_outcomes": [{"subject_id": "R1", "disposition": "projected"}]}]}))
+    assert cli.main(args) == 2
     # a threshold that nothing is computed for is refused, not passed over
     (tmp_path / "suite.json").write_text(json.dumps(suite | {"thresholds": {"recall_at_k": 1.0, "other": 1.0}}))
     assert cli.main(args) == 2
