@@ -191,17 +191,21 @@ def scanned_paths(files: DataFrame, keys: list[str], max_files: int = MAX_FILES)
     return first.withColumn("file_limited", more).where(F.col("path_place") <= max_files)
 
 
-def read_files(files: DataFrame, predicates: DataFrame, keys: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """keys, scopes, path, size and fits of the files that plans with these scopes read, by path until max_bytes.
+def plan_readings(predicates: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, plan_id and readings (the distinct scopes) of what a plan's predicates read; paths are read by nobody."""
+    return predicates.where("kind <> 'path'").groupBy(*keys, "plan_id").agg(F.array_sort(F.collect_set("scopes")).alias("readings"))
 
-    Plans of equal scopes read the same files, so these are dealt once for each set of scopes; texts stay where they are.
-    Files that can't be read (null text, a NUL at the beginning) aren't.
+
+def read_files(files: DataFrame, readings: DataFrame, keys: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """keys, readings, path, size and fits of the files that plans of these readings look into, by path until max_bytes.
+
+    Plans of equal readings read the same files, so these are dealt once for each; texts stay where they are. Files that
+    can't be read (null text, a NUL at the beginning) aren't.
     """
     readable = F.col("text").isNotNull() & ~F.contains(F.substring("text", 1, 4096), F.lit("\0"))
     sizes = files.where(readable).select(*keys, "path", F.octet_length("text").alias("size"))
-    sets = predicates.where("kind <> 'path'").select(*keys, "scopes").distinct()
-    met = sizes.join(sets, keys).where(within_scopes(F.col("path"), F.col("scopes")))
-    upto = F.sum("size").over(Window.partitionBy(*keys, "scopes").orderBy("path"))
+    met = sizes.join(readings.select(*keys, "readings").distinct(), keys).where(F.exists("readings", lambda scopes: within_scopes(F.col("path"), scopes)))
+    upto = F.sum("size").over(Window.partitionBy(*keys, "readings").orderBy("path"))
     return met.withColumn("fits", upto <= max_bytes)
 
 
@@ -218,10 +222,12 @@ def surface_matches(files: DataFrame, predicates: DataFrame, keys: list[str], ma
     named = selector_hits(files.select(*keys, "path", F.col("path").alias("content")), scoped.where("kind = 'path'"), keys).where(within_scopes(F.col("path"), F.col("scopes")))
     columns = [*whole, "predicate_id", "number", "surface", "path", "line", "excerpt", "turn", "at"]
     named = named.select(*whole, "predicate_id", "number", F.lit("paths").alias("surface"), "path", F.lit(0).alias("line"), F.col("path").alias("excerpt"), F.lit(0).alias("turn"), F.lit(0).alias("at"))
-    reads = kept(read_files(files, predicates, keys, max_bytes))
+    readings = kept(plan_readings(predicates, keys))
+    reads = kept(read_files(files, readings, keys, max_bytes))
     open_ = files.join(reads.where("fits").select(*keys, "path").distinct(), [*keys, "path"], "left_semi")
     lines = open_.select(*keys, "path", F.posexplode(F.split("text", "\r\n|[\n\r]", -1)).alias("line", "content")).withColumn("line", F.col("line") + 1)
-    hits = selector_hits(lines, scoped.where("kind <> 'path'"), keys).join(reads.where("fits").select(*keys, "scopes", "path"), [*keys, "scopes", "path"], "left_semi")
+    hits = selector_hits(lines, scoped.where("kind <> 'path'").join(readings, whole), keys).where(within_scopes(F.col("path"), F.col("scopes")))
+    hits = hits.join(reads.where("fits").select(*keys, "readings", "path"), [*keys, "readings", "path"], "left_semi")
     hits = kept(hits.select(*whole, "predicate_id", "number", "kind", "value", "path", "line", "content"))
     contents = hits.select(*whole, "predicate_id", "number", F.lit("file_content").alias("surface"), "path", "line", F.substring(F.trim("content"), 1, 240).alias("excerpt"), F.lit(1).alias("turn"), F.lit(0).alias("at"))
     # a symbol that is the selector stands between characters that aren't of words, so its line is a hit
@@ -232,11 +238,11 @@ def surface_matches(files: DataFrame, predicates: DataFrame, keys: list[str], ma
     found = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_matches)
     identity = F.concat_ws("\0", "plan_id", "predicate_id", "revision_side" if "revision_side" in keys else F.lit("head"), F.concat("predicate_id", F.lit(":target")), "surface", "path", F.col("line").cast("string"))
     rows = kept(found.select(*whole, "predicate_id", F.concat(F.lit("CSM:"), F.substring(F.sha2(identity, 256), 1, 16)).alias("match_id"), "surface", "path", F.nullif("line", F.lit(0)).alias("line"), "excerpt", fact_profile(F.col("path")).alias("profile"), "place"))
-    plans = predicates.select(*whole, "scopes").distinct().join(files.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.bool_or("file_limited").alias("file_limited")), keys, "left")
-    sizes = reads.groupBy(*keys, "scopes").agg(F.bool_or(~F.col("fits")).alias("byte_limited"), F.count_if("fits").alias("n_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("n_bytes"))
-    read = predicates.where("kind <> 'path'").select(*whole, "scopes").distinct().join(sizes, [*keys, "scopes"])
+    plans = predicates.select(*whole).distinct().join(files.groupBy(*keys).agg(F.count("*").alias("n_paths"), F.bool_or("file_limited").alias("file_limited")), keys, "left")
+    sizes = reads.groupBy(*keys, "readings").agg(F.bool_or(~F.col("fits")).alias("byte_limited"), F.count_if("fits").alias("n_files"), F.coalesce(F.sum(F.when(F.col("fits"), F.col("size"))), F.lit(0)).alias("n_bytes"))
+    read = readings.join(sizes, [*keys, "readings"])
     n_matches = rows.groupBy(*whole).agg(F.count("*").alias("n_matches"))
-    states = plans.join(read.drop("scopes"), whole, "left").join(n_matches, whole, "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"]).na.fill(False, ["file_limited", "byte_limited"])
+    states = plans.join(read.drop("readings"), whole, "left").join(n_matches, whole, "left").na.fill(0, ["n_paths", "n_files", "n_bytes", "n_matches"]).na.fill(False, ["file_limited", "byte_limited"])
     limited = F.col("file_limited") | F.col("byte_limited") | (F.col("n_matches") >= max_matches)
     return rows, states.select(*whole, "n_paths", "n_files", "n_bytes", "n_matches", F.when(F.col("n_paths") == 0, "unavailable").when(limited, "partial").otherwise("complete").alias("state"))
 

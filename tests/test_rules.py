@@ -263,3 +263,44 @@ def test_intake_of_checks_and_issues(spark):
     nodes = spark.createDataFrame([("r", "o/r", 1, None, "b", None), ("r", "o/r", 2, "T", None, None), ("q", "o/r", None, "x", "y", None)], "review_id string, repository string, number int, title string, body string, url string")
     found, several = packets.linked_issues(nodes)
     assert {r.title for r in found.collect()} == {"Issue #1", "T"} and [r.review_id for r in several.collect()] == ["r"]
+
+
+def test_keys_of_selectors_never_miss(spark):
+    """Whatever a selector matches it meets by its key, phrases that begin or end inside a word too."""
+    rows = [
+        ("use Old.x now", "Old", False), ("a.b", "a.b", False), ("  .env ", ".env", False), ("remove the legacy rows", "ove the leg", True), ("the nth", "the nt", True), ("thenth", "hen", True), ("x -> y", "->", True), ("end. Next", "d. n", True),
+        ("KELVIN \u212a1", "k1", True), ("say (hello) twice", "(hello", True), ("one two three", "two", True), ("A_b c", "a_B", False), ("tab\there", "tab\there", True), ("nothing", "other", False), ("of of", "f o", True),
+    ]
+    df = spark.createDataFrame(rows, "content string, value string, phrase boolean").withColumn("key", scan.selector_key(C("value"), C("phrase")))
+    got = df.select("content", "value", scan.bounded_match(C("content"), C("value"), C("phrase")).alias("matches"), (C("key").isNull() | F.array_contains(scan.line_keys(C("content"), True), C("key"))).alias("met")).collect()
+    assert sum(r.matches for r in got) >= 13 and not [r for r in got if r.matches and not r.met]
+
+
+def test_refused_checkouts_are_not_read(spark):
+    keys = "review_id string, revision_side string, "
+    checkouts = spark.createDataFrame([("a", "head", True, "h", "h", True), ("b", "head", True, "old", "h", True), ("c", "head", True, "h", "h", False), ("e", "head", True, "h", "h", True)], keys + "has_root boolean, revision string, expected string, clean boolean")
+    files = spark.createDataFrame([(r, "head", "x.py", "Old") for r in "abcde"], keys + "path string, text string")
+    plans = spark.createDataFrame([(r, f"CSP:{r}", "T1", s) for r in "abcde" for s in ("head",)], "review_id string, plan_id string, statement_id string, revision_side string")
+    wanted = spark.createDataFrame([(r, f"CSP:{r}", f"CSP:{r}:predicate:1", 1, "identifier", "Old", [], None) for r in "abcd"], "review_id string, plan_id string, predicate_id string, number int, kind string, value string, scopes array<string>, source_predicate_id string")
+    found, states = scan.checked_scans(checkouts, files, plans, wanted)
+    assert {r.review_id for r in found.collect()} == {"a"}
+    assert {r.review_id: (r.refusal, r.state) for r in states.collect()} == {
+        "a": (None, "complete"), "b": ("closure_scan_stale_checkout", "unavailable"), "c": ("closure_scan_dirty_checkout", "unavailable"),
+        "d": ("closure_scan_head_input_missing", "unavailable"), "e": ("closure_scan_no_executable_selector", "unavailable"),
+    }
+
+
+def test_authority_control(spark):
+    from chalkline.operators import alignment
+
+    paths = spark.createDataFrame([("r", "good", ["in", "gate", "sink"]), ("r", "bad", ["other", "sink"]), ("r", "end", ["x", "gate"]), ("q", "good", ["in", "gate", "sink"])], "review_id string, path_id string, nodes array<string>")
+    bound = spark.createDataFrame([("r", "T1", "good"), ("q", "T1", "good"), ("r", "T2", "end")], "review_id string, claim_id string, path_id string")
+    authority = spark.createDataFrame([("r", "T1", "gate"), ("q", "T1", "gate"), ("r", "T2", "gate")], "review_id string, claim_id string, node string")
+    revisions = spark.createDataFrame([("r", "complete", 0), ("q", "complete", 2)], "review_id string, state string, n_truncated int")
+    doubts = spark.createDataFrame([], "review_id string, claim_id string")
+    got = {(r.review_id, r.claim_id): (r.n_controls, r.n_bypasses, r.status) for r in alignment.control(bound, paths, authority, revisions, doubts).collect()}
+    assert got == {("r", "T1"): (1, 1, "contradicted"), ("q", "T1"): (1, 0, "partial"), ("r", "T2"): (0, 0, "unverified")}
+    whole = revisions.withColumn("n_truncated", L(0))
+    assert {(r.review_id, r.claim_id): r.status for r in alignment.control(bound, paths, authority, whole, doubts).collect()}["q", "T1"] == "demonstrated"
+    doubted = spark.createDataFrame([("q", "T1")], "review_id string, claim_id string")
+    assert {(r.review_id, r.claim_id): r.status for r in alignment.control(bound, paths, authority, whole, doubted).collect()}["q", "T1"] == "partial"
