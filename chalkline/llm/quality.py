@@ -138,7 +138,11 @@ def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
     if not len(y) or abs(y.sum()) == len(y):
         rate = ((y > 0).sum() + 0.5) / (len(y) + 1)
         return QualityModel(np.zeros(base), {}, 0.0, 1.0, float(np.log(rate / (1 - rate))))
-    names = _frequent([text for text, _ in rows])
+    # the rows that the curve is fitted on are set apart first: neither n-grams nor their ratios come from them
+    train = np.arange(len(rows)) % CURVE != 0
+    if len(set(y[~train])) < 2 or len(set(y[train])) < 2:
+        train[:] = True
+    names = _frequent([text for (text, _), own in zip(rows, train) if own])
     number = {g: base + i for i, g in enumerate(names)}
     size = base + len(names)
     features = []
@@ -147,15 +151,12 @@ def fit(rows: list[tuple[bytes, int]]) -> QualityModel:
         found = [number[g] for g in grams_of(words) if g in number]
         features.append(np.unique(np.concatenate([shape_indicators(text), np.array(repeat_indicators(words) + found, np.int64)])).astype(np.int32))
     flat, lengths = np.concatenate(features), np.array([len(f) for f in features])
-    label = np.repeat(y, lengths)
-    p = np.bincount(flat[label > 0], minlength=size) + SMOOTHING
-    q = np.bincount(flat[label < 0], minlength=size) + SMOOTHING
-    n1, n0 = (y > 0).sum() + 2 * SMOOTHING, (y < 0).sum() + 2 * SMOOTHING
+    label, own = np.repeat(y, lengths), np.repeat(train, lengths)
+    p = np.bincount(flat[own & (label > 0)], minlength=size) + SMOOTHING
+    q = np.bincount(flat[own & (label < 0)], minlength=size) + SMOOTHING
+    n1, n0 = (y[train] > 0).sum() + 2 * SMOOTHING, (y[train] < 0).sum() + 2 * SMOOTHING
     ratio = np.log(p / n1) - np.log(q / n0)
     values = [ratio[f] / np.sqrt(max(1, len(f))) for f in features]
-    train = np.arange(len(rows)) % CURVE != 0
-    if len(set(y[~train])) < 2 or len(set(y[train])) < 2:
-        train[:] = True
     at = np.flatnonzero(train).tolist()
     w = _descend([features[i] for i in at], [values[i] for i in at], y[at], size)
     rest = np.flatnonzero(~train).tolist() or at
