@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,7 +121,3 @@ def focus_order(statement_id: Column, kinds: tuple[str, ...] = ("R", "G", "O", "
     prefix = F.regexp_extract(statement_id, "^([A-Z]+)", 1)
     rank = F.array_position(F.array(*map(F.lit, kinds)), prefix)
     return F.struct(F.when(rank > 0, rank).otherwise(len(kinds) + 1).alias("rank"), F.regexp_extract(statement_id, "([0-9]+)$", 1).try_cast("int").alias("number"), statement_id.alias("id"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

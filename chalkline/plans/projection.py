@@ -66,6 +66,8 @@ class Projection:
     components: DataFrame
     dispositions: DataFrame
     matrix: DataFrame
+    statuses: DataFrame
+    evidence: DataFrame
     observed: DataFrame
 
 
@@ -180,6 +182,7 @@ def project(facts: StructuralFacts, anchors: DataFrame, contexts: DataFrame, pat
     told = subjects.join(has, [*key, "focus_id"], "left").join(others, [*key, "focus_id"], "left").na.fill(False, ["projected"]).na.fill(0, ["n_deferred", "n_other"])
     state = graph.disposition_state(F.col("projected"), F.col("n_deferred"), F.col("n_other"), F.coalesce("states", F.array().cast("array<string>")))
     named = lambda df: df.withColumnRenamed("focus_id", "subject_id")
+    matrix = projection.verification_matrix(named(subjects), named(assessments), named(bindings), named(overlays))
     return Projection(
         refused=refused,
         nodes=nodes,
@@ -192,7 +195,9 @@ def project(facts: StructuralFacts, anchors: DataFrame, contexts: DataFrame, pat
         group_members=grouped,
         components=projection.components(nodes.where(F.col("delta").isin(*CHANGES))),
         dispositions=told.select("review_id", "focus_id", state.alias("state")),
-        matrix=projection.verification_matrix(named(subjects), named(assessments), named(bindings), named(overlays)),
+        matrix=matrix,
+        statuses=projection.status_counts(matrix),
+        evidence=projection.overlay_evidence(overlays, nodes),
         observed=projection.observed_focuses(overlays, focus_edges, grouped),
     )
 

@@ -73,6 +73,8 @@ def test_projection(whole, names):
     assert states["R1"] == "projected" and states["G1"] != "projected"
     matrix = {r.subject_id: (r.status, r.n_nodes) for r in shown.matrix.collect()}
     assert matrix["R1"] == ("unverified", 6) and set(matrix) == set(states)
+    assert sum(r.n for r in shown.statuses.collect()) == len(matrix)
+    assert {r.focus_id for r in shown.evidence.collect()} == {f for f, (_, n) in matrix.items() if n}
     observed = {r.focus_id: r for r in shown.observed.collect()}
     assert [names[A, n] for n in observed["R1"].direct] == ["Ledger.total"] and len(observed["R1"].exact_relations) == 2
 
