@@ -7,8 +7,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.operators import evaluation
+from chalkline.operators.stages import kept
+from chalkline.plans import comparison
 from chalkline.plans.review import review
-from chalkline.sources import artifacts, packets
+from chalkline.sources import artifacts, packets, stable
 
 # The format's names of gates; max_ ones bound from above.
 GATES = (
@@ -30,6 +32,11 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("packets", help="the suite's fixtures; a case's fixture is the file of that name")
     two.add_argument("--json")
     two.add_argument("--markdown")
+    three = commands.add_parser("compare-shadow", help="frozen requests against a stored run and people's labels")
+    three.add_argument("--labeling-packet", required=True)
+    three.add_argument("--execution", required=True)
+    three.add_argument("--human-labels", required=True)
+    three.add_argument("--output", required=True, help="a folder for tables of JSON lines")
     return out
 
 
@@ -88,11 +95,31 @@ def run_evaluate(spark: SparkSession, suite: str, source: str, json_path: str |
     return 0 if misses.isEmpty() else 1
 
 
+def _written(tables: dict, output: str) -> int:
+    for name, table in tables.items():
+        print(f"{name}: {stable.write_table(table, f'{output}/{name}', comparison.ORDER[name])}")
+    return 0
+
+
+def run_compare_shadow(spark: SparkSession, packet: str, execution: str, labels: str, output: str) -> int:
+    try:
+        inputs = [kept(x) for x in (artifacts.frozen_requests(spark, packet), artifacts.executions(spark, execution), artifacts.human_labels(spark, labels))]
+    except artifacts.ArtifactError as e:
+        print(e, file=sys.stderr)
+        return 2
+    refused = comparison.shadow_refusals(*inputs).orderBy("source", "fault").limit(20).collect()
+    for r in refused:
+        print(f"{r.source}: {r.fault}", file=sys.stderr)
+    return 2 if refused else _written(comparison.shadow_tables(*inputs), output)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("chalkline").getOrCreate()
     if args.command == "review":
         return run_review(spark, args.packets, args.output)
+    if args.command == "compare-shadow":
+        return run_compare_shadow(spark, args.labeling_packet, args.execution, args.human_labels, args.output)
     return run_evaluate(spark, args.suite, args.packets, args.json, args.markdown)
 
 

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chalkline.sources.strict import document_faults
+
 SELECTION = "struct<schema_version:string,request_id:string,subject_id:string,selections:array<struct<evidence_id:string,role:string,semantic_role:string,rationale:string>>,rejected_evidence_ids:array<string>,insufficient_evidence_ids:array<string>,unresolved_surfaces:array<string>>"
 LABELS = f"schema_version string, authority string, rubric_version string, labels array<struct<claim_id:string,response:{SELECTION}>>"
 PATH = "struct<seed_symbol_id:string,classification:string,steps:array<struct<source_id:string,target_id:string,relation:string,direction:string>>>"
@@ -43,6 +45,23 @@ OBSERVATIONS = (
     + ",".join(f"{x}_{y}_ids:array<string>" for y in ("file_node", "node") for x in ("direct", "suggested", "context", "unresolved"))
     + ",relation_ids:array<string>,exact_relation_ids:array<string>>>"
 )
+CANDIDATE = (
+    "struct<evidence_id:string,summary:string,kind:string,revision_side:string,operation:string,classification:string,profile:string,authority:string,path:string,line_start:int,line_end:int,"
+    "symbol_kind:string,qualified_name:string,added_code:string,removed_code:string,structural_context:array<string>,admission_tier:string,association:string>"
+)
+REQUEST = f"struct<request_id:string,subject_id:string,subject_kind:string,authored_statement:string,candidates:array<{CANDIDATE}>,coverage_limits:array<string>,schema_version:string>"
+NOTES = "array<struct<code:string,message:string>>"
+COMPARISON = "struct<deterministic_ids:array<string>,shadow_ids:array<string>,shared_ids:array<string>,deterministic_only_ids:array<string>,shadow_only_ids:array<string>>"
+POLICY = "struct<adapter_id:string,model_id:string,endpoint:string,timeout_seconds:double,max_output_tokens:int,api_profile:string,thinking_mode:string,reasoning_effort:string,thinking_budget:int,identity:string>"
+RUN = (
+    f"struct<request_id:string,subject_id:string,state:string,candidate_count:int,duration_ms:double,execution_policy:{POLICY},provider_id:string,model_id:string,"
+    f"input_tokens:int,output_tokens:int,selection:{SELECTION},comparison:{COMPARISON},diagnostics:{NOTES}>"
+)
+OBSERVATION = f"struct<claim_id:string,admission_state:string,execution_state:string,eligible_count:int,deterministic_evidence_ids:array<string>,request:{REQUEST},run:{RUN},diagnostics:{NOTES}>"
+ADMISSION = f"struct<claim_id:string,state:string,eligible_count:int,deterministic_evidence_ids:array<string>,request:{REQUEST},diagnostics:{NOTES}>"
+SUMMARY = "struct<state:string,admitted_count:bigint,completed_count:bigint,failed_count:bigint,deferred_count:bigint,artifact_written:boolean>"
+EXECUTIONS = f"schema_version string, summary {SUMMARY}, observations array<{OBSERVATION}>"
+FROZEN = f"schema_version string, repository string, pull_request long, base_sha string, head_sha string, admissions array<{ADMISSION}>"
 
 
 class ArtifactError(ValueError):
@@ -50,16 +69,16 @@ class ArtifactError(ValueError):
 
 
 def read_json(spark: SparkSession, path: str, schema: str, versions: tuple[str, ...], strict: bool = False) -> DataFrame:
-    """file and the schema's columns of JSON documents at path; other versions, broken documents and, if strict, unknown
-    top-level fields are refused."""
+    """file and the schema's columns of JSON documents at path; other versions, broken documents and, if strict, fields that the
+    schema doesn't know or has as another type, at any depth, are refused. document_faults() gives all faults of all files as rows."""
     raw = spark.read.text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("file"))
-    read = raw.withColumn("j", F.from_json("value", schema)).withColumn("fields", F.json_object_keys("value"))
-    known = F.array(*[F.lit(x) for x in read.select("j.*").columns])
-    extra = F.array_except(F.coalesce("fields", F.array().cast("array<string>")), known)
-    fault = F.when(F.col("fields").isNull(), "unreadable").when(~F.coalesce(F.col("j.schema_version").isin(*versions), F.lit(False)), F.concat(F.lit("version "), F.coalesce("j.schema_version", F.lit("none"))))
+    read = raw.withColumn("j", F.from_json("value", schema))
     if strict:
-        fault = F.coalesce(fault, F.when(F.size(extra) > 0, F.concat(F.lit("unknown fields "), F.array_join(extra, ","))))
-    faults = read.select("file", fault.alias("fault")).where("fault is not null").limit(3).collect()
+        told = document_faults(raw, schema, versions).select("file", F.concat_ws(" ", "path", "fault").alias("fault"))
+    else:
+        fault = F.when(F.json_object_keys("value").isNull(), "unreadable").when(~F.coalesce(F.col("j.schema_version").isin(*versions), F.lit(False)), F.concat(F.lit("version "), F.coalesce("j.schema_version", F.lit("none"))))
+        told = read.select("file", fault.alias("fault")).where("fault is not null")
+    faults = told.limit(3).collect()
     if faults:
         raise ArtifactError("; ".join(f"{r.file}: {r.fault}" for r in faults))
     return read.select("file", "j.*")
@@ -94,6 +113,25 @@ def label_rows(spark: SparkSession, path: str) -> DataFrame:
     return picked.union(rest("rejected_evidence_ids", "rejected")).union(rest("insufficient_evidence_ids", "insufficient"))
 
 
+def executions(spark: SparkSession, path: str) -> DataFrame:
+    """Stored runs of an outside selector as they claim to be; runs.run_faults() tells what doesn't derive from what they recorded."""
+    return read_json(spark, path, EXECUTIONS, ("llm_shadow_execution.v5",), strict=True)
+
+
+def frozen_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Packets of requests that were frozen before any run; runs.admission_faults() tells what is wrong with them."""
+    return read_json(spark, path, FROZEN, ("llm_shadow_labeling_packet.v1",), strict=True)
+
+
+def human_labels(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal, claim_id and response of people's labels; only human review is an authority."""
+    read = read_json(spark, path, LABELS, ("llm_shadow_human_labels.v1",), strict=True)
+    wrong = ~F.coalesce(F.col("authority") == "human_review", F.lit(False)) | (F.trim(F.coalesce("rubric_version", F.lit(""))) == "") | (F.coalesce(F.size("labels"), F.lit(0)) < 1)
+    if not read.where(wrong).isEmpty():
+        raise ArtifactError("labels are of human review, under a rubric, and at least one")
+    return read.select("file", F.posexplode("labels").alias("ordinal", "l")).select("file", "ordinal", "l.claim_id", "l.response")
+
+
 def structure_labels(spark: SparkSession, path: str, digest: str) -> DataFrame:
     """Reference labels bound to a packet of that digest; focuses must be unique, and verified ones name how."""
     read = read_json(spark, path, STRUCTURE_LABELS, ("structural_correctness_labels.v2", "structural_correctness_labels.v3"))
