@@ -7,19 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegralType, MapType, StringType, StructType
 
 FAULTS = "array<struct<path:string,fault:string>>"
-
-
-def _nothing() -> Column:
-    return F.array().cast(FAULTS)
-
-
-def _fault(path: Column, text: str) -> Column:
-    return F.array(F.struct(path.alias("path"), F.lit(text).alias("fault")))
-
-
-def _bound(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use names it."""
-    return F.flatten(F.transform(F.array(value), use))
+NOTHING = f"cast(array() as {FAULTS})"
+DEEP = (ArrayType, StructType, MapType)
 
 
 def _word(kind: DataType) -> tuple[str, str]:
@@ -37,50 +26,54 @@ def _word(kind: DataType) -> tuple[str, str]:
     return "^(VOID|BOOLEAN)", "a boolean"
 
 
-def _inside(value: Column, kind: DataType, path: Column) -> Column:
+def _object(fields: str, kind: StructType, path: str, depth: int) -> str:
+    """Faults of an object's fields: unknown ones, plain ones in one sweep over their names, and what lies deeper."""
+    names = ", ".join(f"'{f.name}'" for f in kind.fields)
+    parts = [f"transform(array_sort(array_except(map_keys({fields}), array({names}))), k -> named_struct('path', concat_ws('.', {path}, k), 'fault', 'unknown field'))"]
+    plain = ", ".join("struct('{}' as name, '{}' as pattern, '{}' as word)".format(f.name, *_word(f.dataType)) for f in kind.fields if not isinstance(f.dataType, DEEP))
+    if plain:
+        wrong = f"filter(array({plain}), s -> not regexp_like(coalesce(schema_of_variant({fields}[s.name]), 'VOID'), s.pattern))"
+        parts.append(f"transform({wrong}, s -> named_struct('path', concat_ws('.', {path}, s.name), 'fault', concat('not ', s.word)))")
+    parts += [_faults(f"{fields}['{f.name}']", f.dataType, f"concat_ws('.', {path}, '{f.name}')", depth) for f in kind.fields if isinstance(f.dataType, DEEP)]
+    return f"concat({', '.join(parts)})"
+
+
+def _inside(value: str, kind: DataType, path: str, depth: int) -> str:
     """Faults within a value that has the kind's outer form."""
+    x, i = f"x{depth}", f"i{depth}"
     if isinstance(kind, ArrayType):
-        return F.flatten(F.transform(value.cast("array<variant>"), lambda x, i: variant_faults(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
-
-    def members(fields: Column) -> Column:
-        if isinstance(kind, MapType):
-            return F.flatten(F.transform(F.map_entries(fields), lambda e: variant_faults(e["value"], kind.valueType, F.concat_ws(".", path, e["key"]))))
-        known = F.array(*[F.lit(f.name) for f in kind.fields])
-        extra = F.array_sort(F.array_except(F.map_keys(fields), known))
-        unknown = F.transform(extra, lambda k: F.struct(F.concat_ws(".", path, k).alias("path"), F.lit("unknown field").alias("fault")))
-        # plain fields are told in one sweep over their names, so that wide objects stay small expressions
-        plain = [(f.name, *_word(f.dataType)) for f in kind.fields if not isinstance(f.dataType, ArrayType | StructType | MapType)]
-        specs = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern"), F.lit(w).alias("word")) for n, p, w in plain]) if plain else F.array().cast("array<struct<name:string,pattern:string,word:string>>")
-        wrong = F.filter(specs, lambda x: ~F.regexp_like(F.coalesce(F.schema_of_variant(fields[x["name"]]), F.lit("VOID")), x["pattern"]))
-        mistyped = F.transform(wrong, lambda x: F.struct(F.concat_ws(".", path, x["name"]).alias("path"), F.concat(F.lit("not "), x["word"]).alias("fault")))
-        deep = [variant_faults(fields[f.name], f.dataType, F.concat_ws(".", path, F.lit(f.name))) for f in kind.fields if isinstance(f.dataType, ArrayType | StructType | MapType)]
-        return F.concat(unknown, mistyped, *deep)
-
-    if isinstance(kind, StructType | MapType):
-        return _bound(value.cast("map<string,variant>"), members)
-    return _nothing()
+        return f"flatten(transform(cast({value} as array<variant>), ({x}, {i}) -> {_faults(x, kind.elementType, f"concat({path}, '[', {i}, ']')", depth + 1)}))"
+    fields = f"cast({value} as map<string,variant>)"
+    if isinstance(kind, MapType):
+        return f"flatten(transform(map_entries({fields}), {x} -> {_faults(f'{x}.value', kind.valueType, f"concat_ws('.', {path}, {x}.key)", depth + 1)}))"
+    if isinstance(kind, StructType):
+        return f"flatten(transform(array({fields}), {x} -> {_object(x, kind, path, depth + 1)}))"
+    return NOTHING
 
 
-def variant_faults(value: Column, kind: DataType, path: Column) -> Column:
-    """path and fault of everything in a variant that the kind doesn't allow; absent values and nulls are allowed anywhere."""
+def _faults(value: str, kind: DataType, path: str, depth: int) -> str:
     pattern, name = _word(kind)
-    own = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    return F.when(own == "VOID", _nothing()).when(own.rlike(pattern), _inside(value, kind, path)).otherwise(_fault(path, f"not {name}"))
+    own = f"coalesce(schema_of_variant({value}), 'VOID')"
+    return f"case when {own} = 'VOID' then {NOTHING} when {own} rlike '{pattern}' then {_inside(value, kind, path, depth)} else array(named_struct('path', {path}, 'fault', 'not {name}')) end"
+
+
+def variant_faults(value: str, kind: DataType) -> Column:
+    """path and fault of everything in the column `value` (variant) that the kind doesn't allow; absent values and nulls are allowed
+    anywhere. One SQL text, as a schema of a hundred fields would take seconds to build call by call."""
+    return F.expr(_faults(value, kind, "''", 0))
 
 
 def document_faults(raw: DataFrame, schema: str, versions: tuple[str, ...]) -> DataFrame:
     """file, path and fault of documents (file, value): unreadable ones, other versions, unknown and mistyped fields at any depth.
 
-    One pass over the documents; nothing is collected. A null or empty document is unreadable, and no document has no rows.
+    One pass over the documents; nothing is collected. A null or empty document is unreadable; path is null for whole documents.
     """
-    kind = StructType.fromDDL(schema)
-    root = F.lit(None).cast("string")  # the whole document
     version = F.try_variant_get("v", "$.schema_version", "string")
+    row = lambda path, fault: F.array(F.struct(path.cast("string").alias("path"), fault.alias("fault")))
     told = (
-        F.when(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT"), _fault(root, "unreadable"))
-        .when(~F.coalesce(version.isin(*versions), F.lit(False)), F.array(F.struct(F.lit("schema_version").alias("path"), F.concat(F.lit("version "), F.coalesce(version, F.lit("none"))).alias("fault"))))
-        .otherwise(variant_faults(F.col("v"), kind, F.lit("")))
+        F.when(~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), row(F.lit(None), F.lit("unreadable")))
+        .when(~F.coalesce(version.isin(*versions), F.lit(False)), row(F.lit("schema_version"), F.concat(F.lit("version "), F.coalesce(version, F.lit("none")))))
+        .otherwise(variant_faults("v", StructType.fromDDL(schema)))
     )
-    read = raw.select("file", F.try_parse_json("value").alias("v"))
-    found = read.select("file", F.inline(told))
+    found = raw.select("file", F.try_parse_json("value").alias("v")).select("file", F.inline(told))
     return found.select("file", F.regexp_replace("path", r"^\.", "").alias("path"), "fault")

@@ -102,7 +102,7 @@ def test_compare_shadow_command(spark, stored, tmp_path, capsys):
     (tmp_path / "run.json").write_text(json.dumps(run))
     args = lambda out, labels="labels.json": ["compare-shadow", "--labeling-packet", str(folder / "frozen.json"), "--execution", str(tmp_path / "run.json"), "--human-labels", str(folder / labels), "--output", str(tmp_path / out)]
     assert cli.main(args("out")) == 0
-    digests = capsys.readouterr().out
+    assert [line.split(":")[0] for line in capsys.readouterr().out.splitlines()] == ["candidates", "claims", "metrics", "summary"]
     lines = lambda name: [json.loads(x) for p in sorted((tmp_path / "out" / name).glob("part-*")) for x in p.read_text().splitlines()]
     assert [(c["claim_id"], c["evidence_id"], c["human"], c["run"], c["side"], c["roles"]) for c in lines("candidates")] == [
         ("T1", "a", "selected", "selected", "shared", "match"), ("T1", "b", "selected", "rejected", "unselected", "not_applicable"), ("T1", "c", "rejected", "selected", "shared", "not_applicable"),
@@ -111,7 +111,6 @@ def test_compare_shadow_command(spark, stored, tmp_path, capsys):
     assert [c["unresolved"] for c in lines("claims")] == ["match", "not_compared", "not_compared", "not_compared", "not_compared"]
     told = {m["scope"]: m for m in lines("metrics")}
     assert (told["labelled"]["n_labels"], told["labelled"]["selection_recall"], told["accepted"]["selection_recall"], told["accepted"]["selection_precision"]) == (5, 1 / 3, 0.5, 0.5)
-    assert cli.main(args("out")) == 0 and capsys.readouterr().out == digests
     # labels must answer every request, and a run must keep what was frozen
     (folder / "few.json").write_text(json.dumps(LABELS | {"labels": LABELS["labels"][:2]}))
     assert cli.main(args("out2", "few.json")) == 2 and "T4 missing" in capsys.readouterr().err
