@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions import focus, selectors
-from chalkline.operators import alignment, assessment, association, convergence, extraction, facts, graph, predicates, projection, rollups, scan, shadow, structure
+from chalkline.operators import alignment, assessment, association, convergence, extraction, facts, graph, predicates, projection, rollups, runs, scan, shadow, structure
 from chalkline.plans import projection as plan
 from chalkline.plans.queries import HALF_ORDERS, Tables, _bound, _joined
-from chalkline.sources import packets
+from chalkline.sources import packets, stable
 
 
 def _pick(key: str, *values: str | None) -> Column:
@@ -403,11 +403,27 @@ def review_projection(t: Tables) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
+def stored_totals(t: Tables) -> DataFrame:
+    """What orders store of their lines (state, and their price in cents) against both computed again from the lines, either way."""
+    cents = lambda c: F.round(c * 100).cast("long")
+    stored = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("state"), cents(F.col("o_totalprice")).alias("cents"))
+    state = F.when(F.min("l_linestatus") == F.max("l_linestatus"), F.min("l_linestatus")).otherwise("P")
+    derived = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(state.alias("state"), F.sum(cents(F.col("l_extendedprice"))).alias("cents"))
+    return runs.differences(stored, derived, ["o_orderkey"])
+
+
+def table_digests(t: Tables) -> DataFrame:
+    """Nodes of the hash tree over all lines of orders, 256 children each, up to the root."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    return stable.digest_tree(stable.sorted_lines(rows, ["l_orderkey", "l_linenumber"]), 256)
+
+
 _OWN = (
     requirement_rules, claim_predicates, selector_rules, links, evidence_eligibility, graph_states, scan_surfaces, predicate_status, merged_members,
     relation_changes, ownership_changes, focus_overlay, observed_focuses, verification_matrix, claim_closure, claim_bindings, authority_bypasses,
     check_facts, change_facts, shadow_run, shadow_comparison, shadow_metrics, structural_slots, graph_overview, component_groups, focus_coverage,
     owned_diagnostics, code_excerpts, focus_anchors, explicit_references, review_checks, linked_issues, revision_states, anchor_slots, review_projection,
+    stored_totals, table_digests,
 )
 
 QUERIES = {q.__name__: _bound(q) for q in _OWN}

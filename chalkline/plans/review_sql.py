@@ -221,4 +221,16 @@ ORACLE_SQL = {
         UNION ALL SELECT review_id, 'focus', f, CASE WHEN mc.n > 0 THEN 'projected' ELSE 'unassociated' END FROM fs LEFT JOIN mc USING (review_id, f)
         UNION ALL SELECT review_id, 'matrix', f, CASE WHEN rich THEN 'partial' ELSE 'unverified' END || ':' || bc.n || ':' || coalesce(mc.n, 0) FROM fs JOIN bc USING (review_id, f) LEFT JOIN mc USING (review_id, f)
         UNION ALL SELECT e.review_id, 'edge', x.f || '|' || a || '>' || rel || '>' || z, 'inside' FROM e JOIN m x ON x.review_id = e.review_id AND x.node = a JOIN m y ON y.review_id = e.review_id AND y.node = z AND y.f = x.f""",
+    "stored_totals": """WITH s AS (SELECT o_orderkey, count(*) AS n, min(o_orderstatus) AS state, CAST(round(min(o_totalprice) * 100) AS BIGINT)::VARCHAR AS cents FROM orders GROUP BY ALL),
+        d AS (SELECT l_orderkey, count(*) AS n, CASE WHEN min(l_linestatus) = max(l_linestatus) THEN min(l_linestatus) ELSE 'P' END AS state, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::VARCHAR AS cents FROM lineitem GROUP BY ALL),
+        j AS (SELECT coalesce(o_orderkey, l_orderkey) AS o_orderkey, s.n AS sn, s.state AS ss, s.cents AS sc, CASE WHEN d.n IS NULL THEN NULL ELSE 1 END AS dn, d.state AS ds, d.cents AS dc FROM s FULL JOIN d ON o_orderkey = l_orderkey)
+        SELECT o_orderkey, '*' AS field, sn::VARCHAR AS stored, dn::VARCHAR AS derived FROM j WHERE sn IS DISTINCT FROM dn
+        UNION ALL SELECT o_orderkey, 'state', ss, ds FROM j WHERE sn = dn AND ss IS DISTINCT FROM ds
+        UNION ALL SELECT o_orderkey, 'cents', sc, dc FROM j WHERE sn = dn AND sc IS DISTINCT FROM dc""",
+    "table_digests": """WITH l AS (SELECT l_orderkey, l_linenumber, to_json({'l_linenumber': l_linenumber, 'l_linestatus': l_linestatus, 'l_orderkey': l_orderkey, 'l_partkey': l_partkey, 'l_returnflag': l_returnflag, 'l_suppkey': l_suppkey})::VARCHAR AS line FROM lineitem),
+        o AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, line) - 1 AS i, sha256(line) AS h FROM l),
+        a AS (SELECT 1 AS level, i // 256 AS node, sha256(string_agg(h, '' ORDER BY i)) AS digest FROM o GROUP BY ALL),
+        b AS (SELECT 2 AS level, node // 256 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM a WHERE (SELECT count(*) FROM a) > 1 GROUP BY ALL),
+        c AS (SELECT 3 AS level, node // 256 AS node, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM b WHERE (SELECT count(*) FROM b) > 1 GROUP BY ALL)
+        FROM a UNION ALL FROM b UNION ALL FROM c""",
 }
