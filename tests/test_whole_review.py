@@ -3,8 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from chalkline.plans import projection
+from chalkline.operators import references, stages
+from chalkline.plans import blind, projection
 from chalkline.sources import packets
 from tests.test_review import BODY, changed, packet
 
@@ -13,12 +15,17 @@ A, B = "o/r#1", "o/r#2"
 
 
 @pytest.fixture(scope="module")
-def whole(spark, tmp_path_factory):
+def read(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("whole")
     moved = {"base_path": "src/app/old.py", "head_path": "src/app/new.py", "status": "renamed", "additions": 1, "deletions": 1, "changes": 2, "source_url": "", "patch": "@@ -5 +5 @@\n-x = 1\n+x = 2"}
     files = [changed("src/app/ledger.py", "@@ -1 +1,2 @@\n-total = 0\n+LedgerTotals = exact(total)\n+refund_rows = charge_rows\n@@ -50 +51,2 @@\n context\n+loose = 1"), moved]
     for i, n in enumerate((1, 2)):
         (folder / f"{i}.json").write_text(json.dumps(packet(n, BODY, None, files)))
+    return packets.read_packets(spark, str(folder))
+
+
+@pytest.fixture(scope="module")
+def whole(spark, read):
     rows = lambda schema, *data: spark.createDataFrame([(r, *d) for r in (A, B) for d in data], "review_id string, " + schema)
     ledger, store, test = "src/app/ledger.py", "src/app/store.py", "tests/test_ledger.py"
     symbols = rows(
@@ -37,7 +44,7 @@ def whole(spark, tmp_path_factory):
     looked_up = rows("side string, file_path string, qualified_name string, kind string", ("base", ledger, "Ledger", "class"))
     seeds = rows("side string, seed string, state string", ("head", "l1", "complete"), ("base", "l1", "complete"))
     owned = rows("side string, state string", ("base", "complete"), ("head", "complete"))
-    return projection.whole_review(packets.read_packets(spark, str(folder)), projection.Graphs(symbols, paths, ownership, looked_up, seeds, owned))
+    return projection.whole_review(read, projection.Graphs(symbols, paths, ownership, looked_up, seeds, owned))
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +92,43 @@ def test_closure_and_tables(whole, names):
     tables = whole.tables()
     assert {"statements", "facts_changes", "projection_nodes", "closure", "claim_overlays"} <= set(tables)
     assert all(t.columns for t in tables.values())
+
+
+@pytest.fixture(scope="module")
+def frozen(spark, whole, read):
+    seeds = spark.createDataFrame([(A, "complete"), (A, "truncated")], "review_id string, state string")
+    return stages.kept(blind.structural_packets(read, whole, seeds))
+
+
+def test_blind_packet(spark, whole, read, names, frozen):
+    (p,) = frozen.collect()  # the refused review has none
+    assert (p.review_id, p.repository, p.pull_request, p.coverage.state, p.coverage.n_seeds) == (A, "o/r", 1, "limited", 2)
+    files = {names[A, c.file_node_id]: (c.operation, [names[A, n] for n in c.member_node_ids]) for c in p.candidates}
+    assert files["src/app/store.py"] == ("unresolved", ["Store.rows"]) and set(files["src/app/ledger.py"][1]) == {"Ledger", "Ledger.total"} and set(files) == {"src/app/ledger.py", "src/app/store.py"}
+    assert {s.qualified_name for s in p.symbols} == {"Ledger", "Ledger.total", "Store.rows"}
+    assert {s.head_path: s.hunk_headers for s in p.changed_surfaces}["src/app/ledger.py"] == ["@@ -1 +1,2 @@", "@@ -50 +51,2 @@"]
+    assert {s.subject_id: s.subject_kind for s in p.subjects}["R1"] == "requirement" and all(s.authored_statement for s in p.subjects)
+    assert p.relation_ids == [r.relation_id for r in p.relations] and len(p.relations) == 2
+    # the digest doesn't depend on how rows lie
+    again = blind.structural_packets(read.repartition(3), whole, spark.createDataFrame([(A, "truncated"), (A, "complete")], "review_id string, state string"))
+    assert [r.digest for r in again.collect()] == [p.digest] and p.digest.startswith("sha256:")
+    other = blind.structural_packets(read, whole, spark.createDataFrame([(A, "complete")], "review_id string, state string"))
+    assert [(r.digest, r.now != p.digest) for r in blind.stale_packets(frozen, other).collect()] == [(p.digest, True)] and blind.stale_packets(frozen, frozen).isEmpty()
+    (t,) = references.label_template(frozen).collect()
+    assert t.packet_digest == p.digest and len(t.files) == 2 and all(f.unresolved for f in t.focuses)
+
+
+def test_hunk_headers_are_cut(spark, whole, read):
+    many = read.withColumn("packet", read.packet.withField("changed_files", F.transform("packet.changed_files", lambda f: f.withField("patch", F.repeat(F.lit("@@ -1 +1 @@ f\n+x\r\n"), 40)))))
+    (p,) = blind.structural_packets(many, whole, spark.createDataFrame([], "review_id string, state string")).collect()
+    assert {len(s.hunk_headers) for s in p.changed_surfaces} == {32} and p.coverage.state == "unavailable"
+
+
+def test_own_observation_fits_its_packet(spark, whole, names, frozen):
+    seen = stages.kept(blind.structural_observation(whole, frozen))
+    # the one node whose file the graph lacks is told, nothing else
+    assert {(names[A, r.id], r.fault) for r in references.observation_faults(seen, frozen).collect()} == {("test_total", "unknown focus_node")}
+    (o,) = seen.collect()
+    assert {names[A, f.file_node_id]: f.role for f in o.files} == {"src/app/ledger.py": "changed", "src/app/store.py": "retained_context"}
+    r1 = {f.subject_id: f for f in o.focuses}["R1"]
+    assert [names[A, n] for n in r1.direct_file_node_ids] == ["src/app/ledger.py"] and [names[A, n] for n in r1.context_file_node_ids] == ["src/app/store.py"] and len(r1.exact_relation_ids) == 2
