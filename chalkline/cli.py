@@ -2,6 +2,7 @@
 
 import argparse
 import sys
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,11 @@ def parser() -> argparse.ArgumentParser:
     three.add_argument("--execution", required=True)
     three.add_argument("--human-labels", required=True)
     three.add_argument("--output", required=True, help="a folder for tables of JSON lines")
+    four = commands.add_parser("compare-structural-correctness", help="reference labels of a structural packet against an observation")
+    four.add_argument("--labeling-packet", required=True)
+    four.add_argument("--observation", required=True)
+    four.add_argument("--reference-labels", "--human-labels", dest="reference_labels", required=True)
+    four.add_argument("--output", required=True, help="a folder for tables of JSON lines")
     return out
 
 
@@ -101,16 +107,27 @@ def _written(tables: dict, output: str) -> int:
     return 0
 
 
-def run_compare_shadow(spark: SparkSession, packet: str, execution: str, labels: str, output: str) -> int:
+def _compare(readers: list, refusals, tables, output: str) -> int:
+    """Reads documents, tells why they can't be compared (20 faults at most), or else writes the tables."""
     try:
-        inputs = [kept(x) for x in (artifacts.frozen_requests(spark, packet), artifacts.executions(spark, execution), artifacts.human_labels(spark, labels))]
+        inputs = [kept(read(path)) for read, path in readers]
     except artifacts.ArtifactError as e:
         print(e, file=sys.stderr)
         return 2
-    refused = comparison.shadow_refusals(*inputs).orderBy("source", "fault").limit(20).collect()
+    refused = refusals(*inputs).orderBy("source", "fault").limit(20).collect()
     for r in refused:
         print(f"{r.source}: {r.fault}", file=sys.stderr)
-    return 2 if refused else _written(comparison.shadow_tables(*inputs), output)
+    return 2 if refused else _written(tables(*inputs), output)
+
+
+def run_compare_shadow(spark: SparkSession, packet: str, execution: str, labels: str, output: str) -> int:
+    readers = [(partial(read, spark), path) for read, path in ((artifacts.frozen_requests, packet), (artifacts.executions, execution), (artifacts.human_labels, labels))]
+    return _compare(readers, comparison.shadow_refusals, comparison.shadow_tables, output)
+
+
+def run_compare_structure(spark: SparkSession, packet: str, observation: str, labels: str, output: str) -> int:
+    readers = [(partial(read, spark), path) for read, path in ((artifacts.structure_packets, packet), (artifacts.structure_observations, observation), (artifacts.reference_labels, labels))]
+    return _compare(readers, comparison.structural_refusals, comparison.structural_tables, output)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -120,6 +137,8 @@ def main(argv: list[str] | None = None) -> int:
         return run_review(spark, args.packets, args.output)
     if args.command == "compare-shadow":
         return run_compare_shadow(spark, args.labeling_packet, args.execution, args.human_labels, args.output)
+    if args.command == "compare-structural-correctness":
+        return run_compare_structure(spark, args.labeling_packet, args.observation, args.reference_labels, args.output)
     return run_evaluate(spark, args.suite, args.packets, args.json, args.markdown)
 
 

@@ -9,6 +9,7 @@ from chalkline.operators import graph, projection, rollups
 from chalkline.operators.stages import kept
 from chalkline.plans.projection import WholeReview
 from chalkline.sources import packets
+from chalkline.sources.artifacts import stored_digest
 from chalkline.sources.stable import canonical_lines
 
 HEADERS = 32
@@ -69,7 +70,7 @@ def structural_packets(read: DataFrame, whole: WholeReview, seeds: DataFrame) ->
         name = part.columns[1]
         told = told.join(part, "review_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
     told = told.withColumn("relation_ids", F.col("relations.relation_id"))
-    return told.select(F.concat(F.lit("sha256:"), F.sha2(canonical_lines(told.drop("review_id")), 256)).alias("digest"), "*")
+    return told.select(stored_digest(canonical_lines(told.drop("review_id"))).alias("digest"), "*")
 
 
 def stale_packets(frozen: DataFrame, current: DataFrame) -> DataFrame:

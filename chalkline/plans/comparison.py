@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chalkline.operators import runs, shadow
+from chalkline.operators import evaluation, references, runs, shadow
 
 
 def shadow_refusals(packets: DataFrame, executions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,5 +73,61 @@ def shadow_tables(packets: DataFrame, executions: DataFrame, labels: DataFrame)
     }
 
 
+def structural_refusals(packets: DataFrame, observations: DataFrame, labels: DataFrame) -> DataFrame:
+    """source and fault of why labels and an observation aren't of a packet (all as documents, packets with digest); no rows if they are."""
+    told = references.observation_faults(observations, packets).select(F.lit("observation").alias("source"), F.concat_ws(" ", "subject_id", "id", "fault").alias("fault"))
+    fault = lambda df, text: df.select(F.lit("labels").alias("source"), text.alias("fault"))
+    told = told.union(fault(labels.join(packets, F.col("packet_digest") == F.col("digest"), "left_anti"), F.lit("unknown packet")))
+    told = told.union(fault(labels.where("authority.status = 'verified' and authority.verification_method is null"), F.lit("verified without a method")))
+    for what, listed, name, known in (("file", "files", "file_node_id", "candidates"), ("subject", "focuses", "subject_id", "subjects")):
+        own = packets.select(F.col("digest").alias("packet_digest"), F.explode(f"{known}.{name}").alias("id"))
+        off = evaluation.partition_faults(own, labels.select("packet_digest", F.explode(f"{listed}.{name}").alias("id")), "packet_digest", "id")
+        told = told.union(fault(off, F.concat_ws(" ", "id", "fault", F.lit(what))))
+    return told
+
+
+def structural_tables(packets: DataFrame, observations: DataFrame, labels: DataFrame) -> dict[str, DataFrame]:
+    """files, focuses and relations of a labelled packet against an observation of it, without refusals.
+
+    A file is a match, a false inclusion or exclusion, of another role, or unresolved by its label. Focuses count shared and
+    false members of each kind (file, node) and dimension (selected, direct, context), and disagreements of roles.
+    """
+    label, seen = labels.select(F.explode("files").alias("l")), observations.select(F.explode("files").alias("o"))
+    path = packets.select(F.explode("candidates").alias("c")).select("c.file_node_id", "c.path")
+    met = label.select("l.*").join(seen.select("o.file_node_id", F.col("o.role").alias("observed")), "file_node_id", "left").join(path, "file_node_id", "left")
+    here = F.col("observed").isNotNull()
+    state = (
+        F.when(F.col("disposition") == "unresolved", "unresolved").when(~here & (F.col("disposition") == "included"), "false exclusion").when(here & (F.col("disposition") == "excluded"), "false inclusion")
+        .when(here & ~F.col("observed").eqNullSafe(F.col("role")), "role disagreement").otherwise("match")
+    )
+    files = met.select("file_node_id", "path", "disposition", F.col("role").alias("expected"), "observed", state.alias("state"))
+
+    def members(df: DataFrame, kind: str, lists: tuple[str, ...]) -> DataFrame:
+        each = F.concat(*[F.transform(F.coalesce(f"f.{x}_{kind}_ids", F.array().cast("array<string>")), _marked(x)) for x in lists])
+        return df.select(F.explode("focuses").alias("f")).select("f.subject_id", F.lit(kind).alias("kind"), F.inline(each))
+
+    both = {}
+    for name, df, lists in (("seen", observations, ("direct", "suggested", "context", "unresolved")), ("wanted", labels, ("direct", "context"))):
+        both[name] = members(df, "file_node", lists).union(members(df, "node", lists))
+    keys = ["subject_id", "kind"]
+    rows = [evaluation.set_comparison(both["seen"], both["wanted"], keys, "id").withColumn("dimension", F.lit("selected"))]
+    rows += [evaluation.set_comparison(both["seen"].where(F.col("list") == x), both["wanted"].where(F.col("list") == x), keys, "id").withColumn("dimension", F.lit(x)) for x in ("direct", "context")]
+    only = lambda df: df.where("list in ('direct', 'context')")
+    roles = evaluation.role_comparison(only(both["seen"]), both["wanted"], keys, "id", "list").select(*keys, "n_role_disagreements")
+    exact = lambda df, field: df.select(F.explode("focuses").alias("f")).select("f.subject_id", F.explode(f"f.{field}").alias("id"))
+    return {
+        "files": files,
+        "focuses": reduce(DataFrame.unionByName, rows).join(roles, keys, "left").na.fill(0, ["n_role_disagreements"]),
+        "relations": evaluation.set_comparison(exact(observations, "exact_relation_ids"), exact(labels, "relation_ids"), ["subject_id"], "id"),
+    }
+
+
+def _marked(name: str):
+    def marked(x: Column) -> Column:  # its own function, as a lambda of two parameters would take the place
+        return F.struct(x.alias("id"), F.lit(name).alias("list"))
+
+    return marked
+
+
 #: How the tables of a comparison are sorted.
-ORDER = {"candidates": ["claim_id", "place"], "claims": ["ordinal"], "metrics": ["scope"], "summary": ["state"], "files": ["file_node_id"], "focuses": ["subject_id", "kind", "id"], "counts": ["subject_id", "kind"], "relations": ["subject_id", "id"]}
+ORDER = {"candidates": ["claim_id", "place"], "claims": ["ordinal"], "metrics": ["scope"], "summary": ["state"], "files": ["file_node_id"], "focuses": ["subject_id", "kind", "dimension"], "relations": ["subject_id"]}

@@ -4,7 +4,7 @@ import hashlib
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.sources.strict import document_faults
@@ -141,12 +141,31 @@ def structure_labels(spark: SparkSession, path: str, digest: str) -> DataFrame:
     return read.select(F.explode("focuses").alias("f")).select("f.*")
 
 
+def stored_digest(text: Column) -> Column:
+    """The format's own digest of a stored document: SHA-256 of its sorted compact JSON with characters beyond ASCII escaped."""
+    import pandas as pd
+
+    def digest(value: str | None) -> str | None:
+        return value and hashlib.sha256(json.dumps(json.loads(value), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    def digests(column: pd.Series) -> pd.Series:
+        return column.map(digest)
+
+    return F.pandas_udf(digests, "string")(text)
+
+
 def structure_packets(spark: SparkSession, path: str) -> DataFrame:
-    """Structural packets of both versions; the older one tells its coverage's state alone."""
+    """Structural packets of both versions with their digests; the older one tells its coverage's state alone."""
     read = read_json(spark, path, PACKETS, ("structural_correctness_packet.v2", "structural_correctness_packet.v3"))
     older = F.col("schema_version") == "structural_correctness_packet.v2"
     state = F.when(older, F.col("coverage_state")).otherwise(F.col("coverage.state"))
-    return read.withColumn("coverage_state", state).drop("coverage")
+    own = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), stored_digest(F.col("value")).alias("digest"))
+    return read.withColumn("coverage_state", state).drop("coverage").join(own, "file")
+
+
+def reference_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Reference labels of structural packets as documents, of both versions; comparison.structural_refusals() tells what doesn't fit."""
+    return read_json(spark, path, STRUCTURE_LABELS, ("structural_correctness_labels.v2", "structural_correctness_labels.v3"))
 
 
 def structure_observations(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from chalkline import cli
 from chalkline.operators import evaluation, references, shadow
 from chalkline.sources import artifacts
 
@@ -83,3 +85,30 @@ def test_outcome_mismatches(spark):
     )
     got = {(r.claim_id, r.code) for r in shadow.outcome_mismatches(outcomes).collect()}
     assert got == {("all", f"shadow_{k}_mismatch") for k in ("state", "selection", "role", "unresolved", "disposition", "diagnostic")} | {("unlabelled", "shadow_diagnostic_mismatch")}
+
+
+def test_compare_structure_command(spark, tmp_path, capsys):
+    (tmp_path / "packet.json").write_text(json.dumps(PACKET, indent=1))
+    digest = artifacts.structure_packets(spark, str(tmp_path / "packet.json")).first().digest
+    assert digest == hashlib.sha256(json.dumps(PACKET, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    seen = {"schema_version": "structural_correctness_observation.v3", "packet_digest": digest, "files": [{"file_node_id": "f1", "role": "changed"}], "focuses": [focus("R1", direct_node_ids=["n1"], context_node_ids=["f2"], exact_relation_ids=["e1"], relation_ids=["e1"]), focus("R2")]}
+    labels = {
+        "schema_version": "structural_correctness_labels.v3", "packet_digest": digest, "authority": {"status": "proposed", "proposed_by": "p"},
+        "files": [{"file_node_id": "f1", "disposition": "included", "role": "retained_context"}, {"file_node_id": "f2", "disposition": "included", "role": "changed"}],
+        "focuses": [{"subject_id": "R1", "direct_node_ids": ["f2"], "context_node_ids": ["n1"], "relation_ids": []}, {"subject_id": "R2", "direct_node_ids": ["n1"], "relation_ids": ["e1"]}],
+    }
+
+    def run(labels, out):
+        (tmp_path / "seen.json").write_text(json.dumps(seen))
+        (tmp_path / "labels.json").write_text(json.dumps(labels))
+        return cli.main(["compare-structural-correctness", "--labeling-packet", str(tmp_path / "packet.json"), "--observation", str(tmp_path / "seen.json"), "--human-labels", str(tmp_path / "labels.json"), "--output", str(tmp_path / out)])
+
+    assert run(labels, "out") == 0
+    rows = lambda name: [json.loads(x) for p in sorted((tmp_path / "out" / name).glob("part-*")) for x in p.read_text().splitlines()]
+    assert [(r["path"], r["state"]) for r in rows("files")] == [("a.py", "role disagreement"), ("b.py", "false exclusion")]
+    got = {(r["subject_id"], r["kind"], r["dimension"]): (r["n_shared"], r["n_false_in"], r["n_false_out"], r["n_role_disagreements"]) for r in rows("focuses")}
+    assert got == {("R1", "node", "selected"): (2, 0, 0, 2), ("R1", "node", "direct"): (0, 1, 1, 2), ("R1", "node", "context"): (0, 1, 1, 2), ("R2", "node", "selected"): (0, 0, 1, 0), ("R2", "node", "direct"): (0, 0, 1, 0)}
+    assert [(r["subject_id"], r["n_shared"], r["n_false_in"], r["n_false_out"]) for r in rows("relations")] == [("R1", 0, 1, 0), ("R2", 0, 0, 1)]
+    assert run(labels | {"packet_digest": "other", "focuses": labels["focuses"][:1]}, "none") == 2
+    assert "labels: unknown packet" in capsys.readouterr().err
+    assert run(labels | {"focuses": labels["focuses"][:1]}, "none") == 2 and "labels: R2 missing subject" in capsys.readouterr().err

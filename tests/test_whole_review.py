@@ -111,7 +111,7 @@ def test_blind_packet(spark, whole, read, names, frozen):
     assert p.relation_ids == [r.relation_id for r in p.relations] and len(p.relations) == 2
     # the digest doesn't depend on how rows lie
     again = blind.structural_packets(read.repartition(3), whole, spark.createDataFrame([(A, "truncated"), (A, "complete")], "review_id string, state string"))
-    assert [r.digest for r in again.collect()] == [p.digest] and p.digest.startswith("sha256:")
+    assert [r.digest for r in again.collect()] == [p.digest] and len(p.digest) == 64
     other = blind.structural_packets(read, whole, spark.createDataFrame([(A, "complete")], "review_id string, state string"))
     assert [(r.digest, r.now != p.digest) for r in blind.stale_packets(frozen, other).collect()] == [(p.digest, True)] and blind.stale_packets(frozen, frozen).isEmpty()
     (t,) = references.label_template(frozen).collect()
