@@ -30,6 +30,10 @@ from chalkline.llm.common import Shared, bounded_batches, checkpointed, gathered
 
 #: Bytes of texts and documents of a range; bytes of queries searched at once; children of a node.
 SHARD_BYTES, SHARD_ROWS, BLOCK_BYTES, FAN = 4 << 20, 4096, 8 << 20, 16
+#: Bytes of a row group of the index's files. Spark reads a whole group at once, so without the checks after every row (Parquet
+#: waits for 100, hundreds of MB of ranges) a reader's memory grows with the ranges of a file.
+GROUP_BYTES = 4 << 20
+WRITING = {"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 TOP = 10
 INDEX = "shard long, doc_ids array<long>, sizes array<long>, terms array<binary>, frequencies array<int>, offsets array<int>, numbers array<int>, counts array<int>"
 COLUMNS = ["shard", "doc_ids", "sizes", "terms", "offsets", "numbers", "counts"]
@@ -81,7 +85,7 @@ def write_index(docs: DataFrame, path: str) -> DataFrame:
     """Write the index of all of docs (doc_id, text) to Parquet at path; gives it, read back."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    id_and_text(docs).mapInArrow(_index_batches, INDEX).write.option("compression", "zstd").parquet(path)
+    id_and_text(docs).mapInArrow(_index_batches, INDEX).write.options(**WRITING).parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 

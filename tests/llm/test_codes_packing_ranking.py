@@ -202,6 +202,21 @@ def test_ranking(spark, monkeypatch, rows, fan, size):
     assert index.count() > len(docs) // rows / 2
 
 
+def test_row_groups_of_an_index_stay_small_however_many_ranges_a_file_has(spark, tmp_path, monkeypatch):
+    """Spark reads a row group at once; ten ranges of one task came in one group of 12 MB before."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ranking, "SHARD_ROWS", 1)
+    words = F.transform(F.sequence(F.lit(0), F.lit(99_999)), lambda i: F.substring(F.md5((i * 1000 + F.col("id")).cast("string")), 1, 9))
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text")).coalesce(1)
+    index = ranking.write_index(docs, str(tmp_path / "index"))
+    (file,) = (tmp_path / "index").glob("*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert index.count() == meta.num_rows == 10
+    assert max(meta.row_group(i).total_byte_size for i in range(meta.num_row_groups)) <= 2 * ranking.GROUP_BYTES
+
+
 def test_ranking_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
