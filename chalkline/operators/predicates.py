@@ -13,6 +13,33 @@ EXACT = ("provided_association", "exact_identifier")
 PRESENCE_KINDS = ("change",)
 
 
+def marked(bound: DataFrame, subjects: DataFrame, hits: DataFrame, paths: DataFrame) -> DataFrame:
+    """bound with selected_by and hit_by (predicate ids of its claim) and on_path, for speaking(); tables of predicate_bindings()."""
+    keys = ["review_id", "claim_id", "evidence_id"]
+    none, off = F.lit(None).cast("string"), F.lit(False)
+    rows = subjects.select(*keys, F.col("predicate_id").alias("selected"), none.alias("hit"), off.alias("on_path"))
+    rows = rows.union(hits.select(*keys, none, "predicate_id", off)).union(paths.select(*keys, none, none, F.lit(True)))
+    marks = rows.groupBy(*keys).agg(F.collect_set("selected").alias("selected_by"), F.collect_set("hit").alias("hit_by"), F.bool_or("on_path").alias("on_path"))
+    return bound.join(marks, keys, "left")
+
+
+def speaking(predicates: DataFrame, bound: DataFrame, planned: DataFrame) -> DataFrame:
+    """predicate_bindings() of a bound table that is marked already; a bound table dealt by review_id and claim_id isn't shuffled again.
+
+    The pairs of predicates and bindings, many times as many rows, aren't shuffled before they are grouped.
+    """
+    scans = planned.select(*KEYS).distinct().withColumn("scanned", F.lit(True))
+    rows = predicates.join(scans, [*KEYS], "left").join(bound, ["review_id", "claim_id"])
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    selected, hit = (yes(F.array_contains(c, F.col("predicate_id"))) for c in ("selected_by", "hit_by"))
+    role, association = F.col("evidence_role"), F.col("association")
+    ordered = yes(F.col("on_path")) | ((role == "verification") & hit)
+    closure = (role == "closure") & (F.col("expectation") == "absent_head") & yes(F.col("scanned"))
+    given_path = (F.col("claim_kind") == "authority") & (role == "structural_path") & (association == "provided_association")
+    other = selected | closure | ((role != "closure") & hit) | (association == "structural_bridge") | given_path
+    return rows.where(F.when(F.col("selector_kind") == "ordered_path", ordered).otherwise(other)).drop("selected_by", "hit_by", "scanned", "on_path")
+
+
 def predicate_bindings(predicates: DataFrame, bound: DataFrame, subjects: DataFrame, hits: DataFrame, planned: DataFrame, paths: DataFrame) -> DataFrame:
     """The bindings of a claim that speak for each of its predicates, with the predicate's columns.
 
@@ -21,19 +48,16 @@ def predicate_bindings(predicates: DataFrame, bound: DataFrame, subjects: DataFr
     paths its selectors match; planned: KEYS of predicates that a closure scan covers; paths: review_id, claim_id,
     evidence_id of the claim's selected paths.
     """
-    flag = lambda df, keys, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    rows = predicates.join(bound, ["review_id", "claim_id"])
-    rows = rows.join(flag(subjects, [*KEYS, "evidence_id"], "selected"), [*KEYS, "evidence_id"], "left")
-    rows = rows.join(flag(hits, [*KEYS, "evidence_id"], "hit"), [*KEYS, "evidence_id"], "left")
-    rows = rows.join(flag(planned, KEYS, "scanned"), [*KEYS], "left")
-    rows = rows.join(flag(paths, ["review_id", "claim_id", "evidence_id"], "on_path"), ["review_id", "claim_id", "evidence_id"], "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    role, association = F.col("evidence_role"), F.col("association")
-    ordered = yes("on_path") | ((role == "verification") & yes("hit"))
-    closure = (role == "closure") & (F.col("expectation") == "absent_head") & yes("scanned")
-    given_path = (F.col("claim_kind") == "authority") & (role == "structural_path") & (association == "provided_association")
-    other = yes("selected") | closure | ((role != "closure") & yes("hit")) | (association == "structural_bridge") | given_path
-    return rows.where(F.when(F.col("selector_kind") == "ordered_path", ordered).otherwise(other)).drop("selected", "hit", "scanned", "on_path")
+    return speaking(predicates, marked(bound, subjects, hits, paths), planned)
+
+
+def judged(rows: DataFrame, checks: DataFrame, keys: tuple[str, ...] = ("review_id", "evidence_id")) -> DataFrame:
+    """rows with failed and passed, as checks (keys, status, conclusion, at_head) of the head say of their evidence."""
+    found = checks.groupBy(*keys).agg(
+        F.bool_or(F.col("at_head") & F.coalesce(F.col("conclusion").isin(*FAILURE), F.lit(False))).alias("failed"),
+        F.bool_or(F.col("at_head") & (F.col("status") == "completed") & F.coalesce(F.col("conclusion").isin(*SUCCESS), F.lit(False))).alias("passed"),
+    )
+    return rows.join(found, [*keys], "left")
 
 
 def closure_matches(predicates: DataFrame, scanned: DataFrame, matches: DataFrame, states: DataFrame) -> DataFrame:
@@ -54,41 +78,31 @@ def closure_matches(predicates: DataFrame, scanned: DataFrame, matches: DataFram
     return joined.select(*KEYS, "transition", "base_complete", "head_complete", "base_matches", "head_matches")
 
 
-def predicate_status(predicates: DataFrame, spoken: DataFrame, checks: DataFrame, closures: DataFrame) -> DataFrame:
+def predicate_status(predicates: DataFrame, spoken: DataFrame, checks: DataFrame | None, closures: DataFrame) -> DataFrame:
     """KEYS, status, reason, supporting and contradicting (binding ids) of every predicate.
 
     predicates: KEYS, claim_kind, selector_kind, expectation, n_deferred (paths left out by limits), uncertain (an authored
     uncertainty names the same subject); spoken: of predicate_bindings(), with in_order (its path meets all selectors in
     their order), controls (an authority stands on it before its end), bypasses (it reaches a controlled end without one)
-    and whole (its traversal is complete); checks: review_id, evidence_id, status, conclusion, at_head; closures: of
-    closure_matches(). An authority's predicates go by control, ordered paths by order, scanned ones by the scan,
+    and whole (its traversal is complete); checks: review_id, evidence_id, status, conclusion, at_head, or None where spoken
+    is of judged() already; closures: of closure_matches(). An authority's predicates go by control, ordered paths by order, scanned ones by the scan,
     verified_head ones by checks; the rest by whether a fact is named exactly.
     """
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     role, exact = F.col("evidence_role"), F.col("association").isin(*EXACT)
     is_path = role == "structural_path"
-    found = checks.groupBy("review_id", "evidence_id").agg(
-        F.bool_or(F.col("at_head") & F.coalesce(F.col("conclusion").isin(*FAILURE), F.lit(False))).alias("failed"),
-        F.bool_or(F.col("at_head") & (F.col("status") == "completed") & F.coalesce(F.col("conclusion").isin(*SUCCESS), F.lit(False))).alias("passed"),
-    )
-    rows = spoken.join(found, ["review_id", "evidence_id"], "left")
-    ids = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("binding_id"))))
-    folded = rows.groupBy(*KEYS).agg(
-        ids(F.lit(True)).alias("all_ids"),
-        ids(exact).alias("exact_ids"),
-        ids(role == "closure").alias("closure_ids"),
-        ids(role == "verification").alias("check_ids"),
-        ids((role == "verification") & yes("failed")).alias("failed_ids"),
-        ids((role == "verification") & yes("passed")).alias("passed_ids"),
-        ids(is_path & yes("in_order")).alias("order_ids"),
-        ids(yes("controls")).alias("control_ids"),
-        ids(yes("bypasses")).alias("bypass_ids"),
-        F.coalesce(F.bool_or(yes("controls") & ~yes("whole")), F.lit(False)).alias("control_cut"),
-    )
-    names = ("all_ids", "exact_ids", "closure_ids", "check_ids", "failed_ids", "passed_ids", "order_ids", "control_ids", "bypass_ids")
+    rows = spoken if checks is None else judged(spoken, checks)
+    tests = {
+        "all_ids": F.lit(True), "exact_ids": exact, "closure_ids": role == "closure", "check_ids": role == "verification",
+        "failed_ids": (role == "verification") & yes("failed"), "passed_ids": (role == "verification") & yes("passed"),
+        "order_ids": is_path & yes("in_order"), "control_ids": yes("controls"), "bypass_ids": yes("bypasses"),
+    }
+    said = F.collect_set(F.struct("binding_id", *[test.alias(n) for n, test in tests.items()])).alias("said")
+    folded = rows.groupBy(*KEYS).agg(said, F.coalesce(F.bool_or(yes("controls") & ~yes("whole")), F.lit(False)).alias("control_cut"))
     joined = predicates.join(folded, [*KEYS], "left").join(closures.withColumn("planned", F.lit(True)), [*KEYS], "left")
+    of = lambda n: F.array_sort(F.array_distinct(F.filter(F.transform(F.filter("said", lambda x: x[n]), lambda x: x["binding_id"]), lambda x: x.isNotNull())))
     none = F.array().cast("array<string>")
-    joined = joined.select("*", *[F.coalesce(c, none).alias(f"_{c}") for c in names])
+    joined = joined.select("*", *[F.coalesce(of(n), none).alias(f"_{n}") for n in tests])
     some = lambda c: F.size(f"_{c}") > 0
     cut = F.col("n_deferred") > 0
 

@@ -73,3 +73,25 @@ def test_recorded_graphs_and_labels(spark, tmp_path):
     assert [r.subject_id for r in artifacts.structure_labels(spark, str(tmp_path / "l.json"), "d").collect()] == ["R1"]
     with pytest.raises(artifacts.ArtifactError):
         artifacts.structure_labels(spark, str(tmp_path / "l.json"), "other")
+
+
+def test_pairs_of_predicates_and_bindings_are_not_shuffled(spark):
+    """Marks join the bindings before their pairs with predicates; before, each mark shuffled all pairs anew."""
+    predicates_ = spark.createDataFrame([("r", "c", "p", "change", "symbol", "reference"), ("r", "c", "q", "change", "ordered_path", "reference"), ("r", "d", "p", "change", "symbol", "absent_head")], "review_id string, claim_id string, predicate_id string, claim_kind string, selector_kind string, expectation string")
+    bound = spark.createDataFrame([("r", "c", "b1", "e1", "change", "exact_identifier"), ("r", "c", "b2", "e2", "verification", "distinctive_phrase"), ("r", "d", "b3", "e1", "closure", "x"), ("r", "d", "b4", "e2", "change", "structural_bridge"), ("r", "d", "b5", "e3", "change", None)], "review_id string, claim_id string, binding_id string, evidence_id string, evidence_role string, association string")
+    some = "review_id string, claim_id string, predicate_id string, evidence_id string"
+    subjects, hits = spark.createDataFrame([("r", "c", "p", "e1"), ("r", "c", "p", "e1")], some), spark.createDataFrame([("r", "c", "q", "e2"), ("r", "d", "q", "e3")], some)
+    planned = spark.createDataFrame([("r", "d", "p"), ("r", "d", "p")], some.rpartition(",")[0])
+    paths = spark.createDataFrame([("r", "c", "e1")], "review_id string, claim_id string, evidence_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = predicates.predicate_bindings(predicates_, bound, subjects, hits, planned, paths)
+        got = sorted((r.claim_id, r.predicate_id, r.binding_id) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        above = plan.split("SortMergeJoin [review_id#", 1)[0]
+        joins = plan[len(above) :].splitlines()[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [("c", "p", "b1"), ("c", "q", "b1"), ("c", "q", "b2"), ("d", "p", "b3"), ("d", "p", "b4")]
+    # the last join is that of claims, and nothing is shuffled above it
+    assert joins.count(",") and "predicate_id" not in joins.split("Inner")[0] and "evidence_id" not in joins.split("Inner")[0] and "Exchange" not in above
