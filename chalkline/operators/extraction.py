@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions import headings as H
+from chalkline.operators.stages import kept
 from chalkline.sources.markdown import statements
 
 #: Records whose body may speak for the issue; more than one of them speak for none.
@@ -57,14 +58,14 @@ def requirements(rows: DataFrame) -> DataFrame:
 
 def other_statements(rows: DataFrame) -> DataFrame:
     """Objectives (O), scope (S), the issue's verification expectations (V) and the description's claims (C, B, VC)."""
-    kept = {
+    parts = {
         "O": rows.where("role = 'objective'").withColumn("as_role", F.lit("objective")),
         "S": rows.where("purpose = 'scope'").withColumn("as_role", F.lit("context")),
         "V": rows.where("purpose = 'verification' and origin = 'issue'").withColumn("as_role", F.lit("context")),
         "C": rows.where("role = 'claim' and origin = 'pr_description'").withColumn("as_role", F.lit("claim")),
     }
     out = None
-    for prefix, part in kept.items():
+    for prefix, part in parts.items():
         own = F.lit(prefix) if prefix != "C" else F.when(F.col("purpose") == "baseline", "B").when(F.col("purpose") == "verification", "VC").otherwise("C")
         numbered = _numbered(part, own, ["place", "ordinal"]).select("review_id", "statement_id", "text", F.col("as_role").alias("role"), "purpose", F.col("origin").alias("authority"), F.lit(None).cast("string").alias("kind"), "section", "line")
         out = numbered if out is None else out.unionByName(numbered)
@@ -106,15 +107,17 @@ def predicates(claims: DataFrame) -> DataFrame:
     """review_id, claim_id, predicate_id, selector_kind, values, expectation and role of claims' code spans.
 
     Spans that arrows join, in one span or between spans, are one ordered path. Text is cut at ticks, so odd pieces are
-    spans and the pieces around them tell scopes and negations.
+    spans and the pieces around them tell scopes and negations. Claims are dealt first: a small file is one task, and the
+    expressions take far longer than reading it. Spans are written once, as all that follows would repeat their expression.
     """
-    cut = claims.withColumn("pieces", F.split("raw", "`", -1))
+    own = claims.select("review_id", "claim_id", "kind", "raw")
+    cut = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), "review_id", "claim_id").withColumn("pieces", F.split("raw", "`", -1))
     spans = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.floor((F.size("pieces") - 1) / 2), F.lit(1))), lambda i: F.struct(
         F.trim(F.coalesce(F.try_element_at(F.col("pieces"), (2 * i).cast("int")), F.lit(""))).alias("value"),
         F.coalesce(F.try_element_at(F.col("pieces"), (2 * i - 1).cast("int")), F.lit("")).alias("before"),
         F.coalesce(F.try_element_at(F.col("pieces"), (2 * i + 1).cast("int")), F.lit("")).alias("after"),
     )), lambda s: s["value"] != "")
-    cut = cut.withColumn("spans", spans).where(F.size("spans") > 0).withColumn("kind_expects", claim_expectation(F.col("kind")))
+    cut = kept(cut.select("review_id", "claim_id", "kind", spans.alias("spans"))).where(F.size("spans") > 0).withColumn("kind_expects", claim_expectation(F.col("kind")))
     inner = F.filter(F.transform(F.split(F.col("spans")[0]["value"], H.ARROW), lambda x: F.trim(x)), lambda x: x != "")
     between = F.forall(F.slice("spans", 1, F.size("spans") - 1), lambda s: s["after"].rlike(H.ARROW))
     chain = F.when((F.size("spans") == 1) & (F.size(inner) > 1), inner).when((F.size("spans") > 1) & between, F.transform("spans", lambda s: s["value"]))

@@ -241,3 +241,14 @@ def test_digest_of_supplied_notes(spark):
     identity = json.dumps({"summary": "Seen", "kind": "log", "classification": "ci", "sources": [{"label": "l", "url": None, "path": "p", "line_start": 1, "line_end": None}], "statement_ids": ["R1"]}, sort_keys=True, separators=(",", ":"))
     assert supplied_facts(notes).first().id == "E:provided:" + hashlib.sha256(f"provided\0{identity}".encode()).hexdigest()[:20]
     assert F is not None
+
+
+def test_claims_of_one_file_are_dealt(spark):
+    """A thousand claims of one partition came out of one task before."""
+    rows = spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("review_id"), F.lit("T1").alias("claim_id"), F.lit("change").alias("kind"), F.lit("`a -> b`").alias("raw"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = extraction.predicates(rows).where("selector_kind = 'ordered_path'").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(found) > 1 and sum(r["count"] for r in found) == 1000
