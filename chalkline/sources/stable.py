@@ -42,15 +42,17 @@ def sorted_lines(df: DataFrame, order: list[str]) -> DataFrame:
     return rows.join(counts, "range").select((F.col("before") + F.col("within")).alias("ordinal"), "line")
 
 
-def digest_tree(lines: DataFrame, fanout: int = FANOUT) -> DataFrame:
+def digest_tree(lines: DataFrame, fanout: int = FANOUT, levels: int | None = None) -> DataFrame:
     """level (from 1), node and digest of a hash tree over lines (ordinal, line), up to its one root; no lines, no nodes.
 
+    levels: how many of the lowest to tell; None: all.
+
     A leaf is the SHA-256 of a line, a node that of its children's hex digests in order. Equal rows give equal trees, however
     they were dealt; trees of two tables differ in just the nodes above rows that differ.
     """
     nodes = lines.select(F.col("ordinal").alias("node"), F.sha2("line", 256).alias("digest"))
     level, n, out = 0, None, None
-    while n is None or n > 1:
+    while n is None or (n > 1 and level != levels):
         level += 1
         grouped = nodes.groupBy(F.expr(f"node div {fanout}").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("c"))
         nodes = kept(grouped.select(F.col("up").alias("node"), F.sha2(F.array_join("c.digest", ""), 256).alias("digest")))

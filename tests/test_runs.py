@@ -169,3 +169,11 @@ def test_digests_do_not_depend_on_partitions(spark, tmp_path):
     assert [r["n"] for r in one.groupBy("level").agg(F.count("*").alias("n")).orderBy("level").collect()] == [100, 10, 1]
     assert one.exceptAll(two).count() == 3
     assert stable.write_table(rows.where("false"), str(tmp_path / "none"), ["k"]) is None
+
+
+def test_levels_of_a_digest_tree(spark):
+    """The SQL of table_digests has three levels, whatever the number of lines; the tree went on to its root."""
+    lines = stable.sorted_lines(spark.range(20).select("id"), ["id"])
+    told = {n: sorted(map(tuple, stable.digest_tree(lines, 2, n).collect())) for n in (None, 3, 9)}
+    assert [level for level, *_ in told[None]].count(5) == 1 and told[9] == told[None]
+    assert told[3] == [x for x in told[None] if x[0] <= 3]
