@@ -230,6 +230,15 @@ def test_scan_surfaces(spark):
     assert {tuple(r) for r in scan.closure_evidence(states, ["base", "head"]).collect()} == {("CSP:T1", 10, "base: complete; head: complete")}
 
 
+def test_scanned_texts_are_not_shuffled(spark):
+    """The texts of a checkout met in one task before, to be ordered by path."""
+    files = spark.range(100).select(F.lit("r").alias("review_id"), F.concat(F.lit("src/f"), F.col("id")).alias("path"), F.repeat(F.lit("x"), 50).alias("text"))
+    seen = scan.scanned_paths(files, ["review_id"], 5)
+    plan = seen._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert sorted((r.path, r.text, r.path_place, r.file_limited) for r in seen.collect()) == [(p, "x" * 50, i + 1, True) for i, p in enumerate(sorted(f"src/f{n}" for n in range(100))[:5])]
+
+
 def test_scan_refusals(spark):
     rows = [("base", False, None, None, True, 1), ("head", True, "x", "y", True, 1), ("head", True, "x", "x", False, 1), ("head", True, "x", None, True, 0), ("head", True, "x", "x", True, 1)]
     got = many(spark, "s string, r boolean, v string, e string, c boolean, n int", rows, scan.scan_refusal(C("s"), C("r"), C("v"), C("e"), C("c"), C("n")))
