@@ -1,27 +1,32 @@
 """Structural closure: which paths and contexts a focus keeps, chosen greedily under caps, with what the caps left out.
 
 Joins make the obligations and their options for all focuses at once: pairs of selected symbols that follow one another on a
-path, and context symbols that paths lead to. The choice depends on what was chosen before, so each focus is one group; there
-an index from obligation to options, in order, lets every option be looked at once.
+path, and context symbols that paths lead to. The choice depends on what was chosen before, so a focus's obligations are read
+one after another, in order: a task holds the options of one obligation and what was chosen so far, whatever the number of
+focuses it reads.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Caps of paths for an anchor and a focus, and of contexts for each slot.
 PER_ANCHOR, PATHS, CONTEXTS = 5, 30, 20
-CONTEXT_SLOTS = ("runtime_context", "test_context")
+CONTEXT_SLOTS = ("runtime_context", "test_context")  # by name, as options are sorted
+BATCH = 10_000  # rows told at once
 KEYS = ["review_id", "focus_id"]
+OPTION = ["phase", "first", "slot", "goal", "other", "path", "depth", "rank", "anchors"]
 ROWS = "review_id string, focus_id string, kind string, slot string, id string, other string, place int"
 
 
-def connections(nodes: Column, selected: Column) -> Column:
-    """Pairs of selected symbols that follow one another on a path, whatever lies between them; each once."""
-    on = F.filter(nodes, lambda n: F.array_contains(selected, n))
-    pairs = F.zip_with(F.slice(on, F.lit(1), F.greatest(F.size(on) - 1, F.lit(0))), F.slice(on, F.lit(2), F.greatest(F.size(on) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("source"), b.alias("target")))
-    return F.array_distinct(pairs)
+def connections(on: Column) -> Column:
+    """Pairs of symbols that follow one another among a path's selected ones, each once."""
+    rest = F.greatest(F.size(on) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(on, F.lit(1), rest), F.slice(on, F.lit(2), rest), lambda a, b: F.struct(a.alias("source"), b.alias("target"))))
 
 
 def canonical(rows: DataFrame, order: list) -> DataFrame:
@@ -30,23 +35,30 @@ def canonical(rows: DataFrame, order: list) -> DataFrame:
 
 
 def options(paths: DataFrame, anchors: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Rows for close(): each obligation with each path and sponsor that would meet it, and contexts by themselves.
+    """KEYS, OPTION: each obligation with each path that would meet it and the path's sponsors, and contexts by themselves.
 
     paths: KEYS, target_id, depth, rank (place in the relations' order), nodes, bridge_ids (anchors); anchors: KEYS, target_id
     and node_id of the selected ones; contexts: KEYS, slot, target_id, rank, source_ordinal, bridge_ids (paths; none: direct).
     """
     paths, contexts = canonical(paths, ["rank"]), canonical(contexts, ["rank"])
-    chosen = anchors.groupBy(*KEYS).agg(F.collect_set("node_id").alias("selected"))
-    sponsors = anchors.select(*KEYS, F.col("target_id").alias("anchor")).distinct()
-    sponsored = paths.select(*KEYS, F.col("target_id").alias("path"), "depth", "rank", "nodes", F.explode("bridge_ids").alias("anchor")).join(sponsors, [*KEYS, "anchor"])
-    none = lambda kind: F.lit(None).cast(kind)
-    backbone = sponsored.join(chosen, KEYS).select(*KEYS, "path", "depth", "rank", "anchor", F.explode(connections(F.col("nodes"), F.col("selected"))).alias("c"))
-    backbone = backbone.select(*KEYS, F.lit(1).alias("phase"), F.lit("structural_path").alias("slot"), F.col("c.source").alias("goal"), F.col("c.target").alias("other"), none("long").alias("source_ordinal"), none("long").alias("goal_rank"), "path", "depth", "rank", "anchor")
-    direct = contexts.where(F.size("bridge_ids") == 0).select(*KEYS, F.lit(0).alias("phase"), "slot", F.col("target_id").alias("goal"), none("string").alias("other"), "source_ordinal", F.col("rank").alias("goal_rank"), none("string").alias("path"), none("int").alias("depth"), none("long").alias("rank"), none("string").alias("anchor"))
-    led = contexts.where(F.size("bridge_ids") > 0).select(*KEYS, "slot", F.col("target_id").alias("goal"), "source_ordinal", F.col("rank").alias("goal_rank"), F.explode_outer("bridge_ids").alias("path"))
-    led = led.join(sponsored.select(*KEYS, "path", "depth", "rank", "anchor"), [*KEYS, "path"], "left")
-    led = led.select(*KEYS, F.lit(2).alias("phase"), "slot", "goal", none("string").alias("other"), "source_ordinal", "goal_rank", F.when(F.col("anchor").isNotNull(), F.col("path")).alias("path"), "depth", "rank", "anchor")
-    return direct.unionByName(backbone.withColumn("depth", F.col("depth").cast("int"))).unionByName(led.withColumn("depth", F.col("depth").cast("int")))
+    goal = lambda phase, first, slot, goal, other: F.struct(F.lit(phase).alias("phase"), first.cast("long").alias("first"), slot.alias("slot"), goal.alias("goal"), other.cast("string").alias("other"))
+    none = F.lit(None)
+
+    # paths that an anchor sponsors, and what of their nodes is selected in their focus
+    picked = anchors.groupBy(*KEYS).agg(F.collect_set("target_id").alias("sponsors"), F.collect_set("node_id").alias("selected"))
+    paths = paths.where(F.size("bridge_ids") > 0).join(picked, KEYS)
+    paths = paths.select(*KEYS, F.col("target_id").alias("path"), F.col("depth").cast("int").alias("depth"), "rank", "nodes", F.array_intersect("nodes", "selected").alias("on"), F.array_sort(F.array_intersect("bridge_ids", "sponsors")).alias("anchors")).where(F.size("anchors") > 0)
+    pairs = F.transform(connections(F.filter("nodes", lambda n: F.array_contains("on", n))), lambda c: goal(1, F.lit(0), F.lit("structural_path"), c["source"], c["target"]))
+
+    # a path meets the contexts that it leads to once; contexts by themselves take no path
+    alone = F.size("bridge_ids") == 0
+    contexts = contexts.select(*KEYS, "bridge_ids", alone.alias("alone"), F.when(alone, goal(0, F.col("rank"), F.col("slot"), F.col("target_id"), none)).otherwise(goal(2, F.col("source_ordinal"), F.col("slot"), F.col("target_id"), none)).alias("goal"))
+    led = contexts.where(~F.col("alone")).select(*KEYS, F.explode("bridge_ids").alias("path"), F.array("goal").alias("goals"))
+    met = paths.select(*KEYS, "path", "depth", "rank", "anchors", F.coalesce(pairs, F.array().cast("array<struct<phase:int,first:bigint,slot:string,goal:string,other:string>>")).alias("goals")).unionByName(led, allowMissingColumns=True)
+    met = met.groupBy(*KEYS, "path").agg(F.min("depth").alias("depth"), F.min("rank").alias("rank"), F.max("anchors").alias("anchors"), F.flatten(F.collect_list("goals")).alias("goals"))
+    direct = contexts.where("alone").select(*KEYS, F.inline(F.array("goal")))
+    met = met.select(*KEYS, F.inline("goals"), "path", "depth", "rank", "anchors").unionByName(direct, allowMissingColumns=True)
+    return met.select(*(F.col(k).cast("string").alias(k) for k in KEYS), *OPTION)
 
 
 def cover(goals: list[tuple], meets: dict, per_anchor: int, limit: int, admit) -> tuple[list[str], list[tuple]]:
@@ -74,48 +86,70 @@ def cover(goals: list[tuple], meets: dict, per_anchor: int, limit: int, admit) -
     return list(chosen), unmet
 
 
+def chosen_of(rows, per_anchor: int, limit: int, caps: dict[str, int]):
+    """kind, slot, id and other of one focus, in order; rows: its OPTION in the order of obligations."""
+    meets, counts, kept, omitted = {}, dict.fromkeys(CONTEXT_SLOTS, 0), [], []
+
+    def keep(slot, target):
+        counts[slot] += 1
+        kept.append((slot, target))
+
+    def goals():
+        for goal, own in groupby(rows, itemgetter(0, 1, 2, 3, 4)):
+            meets.clear()
+            if goal[0]:
+                meets[goal] = sorted([(depth, rank, anchor, path) for *_, path, depth, rank, anchors in own for anchor in anchors])
+            yield goal
+
+    def admit(goal):
+        phase, _, slot, target, _ = goal
+        if phase == 1:
+            return lambda: None
+        if counts[slot] >= caps[slot]:
+            omitted.append((slot, target))
+        elif phase == 0:
+            keep(slot, target)
+        else:
+            return lambda: keep(slot, target)
+        return None
+
+    paths, unmet = cover(goals(), meets, per_anchor, limit, admit)
+    yield from (("path", "structural_path", p, None) for p in paths)
+    yield from (("context", s, t, None) for s, t in kept)
+    yield from (("budget_truncated", "structural_path", target, other) for *_, target, other in unmet)
+    yield from (("budget_truncated", s, t, None) for s, t in omitted)
+    yield from (("upstream_deferred", slot, target, None) for phase, _, slot, target, _ in unmet if phase == 2)
+
+
+def _values(column):
+    """Values of a column of options; text and lists by numpy, which is some times quicker than value by value."""
+    import pyarrow as pa
+
+    if pa.types.is_list(column.type):
+        at = column.offsets.to_numpy().tolist()
+        inner = column.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).tolist()
+        return [inner[a - at[0] : b - at[0]] for a, b in zip(at, at[1:])]
+    if pa.types.is_integer(column.type):
+        return column.fill_null(0).to_numpy(zero_copy_only=False).tolist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _close(per_anchor: int, limit: int, caps: dict[str, int]):
-    def run(rows):
-        import pandas as pd
-
-        review, focus = rows.review_id.iloc[0], rows.focus_id.iloc[0]
-        meets, backbone, direct, led = {}, set(), set(), set()
-        for r in rows.itertuples(index=False):
-            if r.phase == 0:
-                direct.add((int(r.goal_rank), r.slot, r.goal))
-                continue
-            goal = (1, "structural_path", r.goal, r.other) if r.phase == 1 else (2, int(r.source_ordinal), CONTEXT_SLOTS.index(r.slot), r.goal)
-            (backbone if r.phase == 1 else led).add(goal)
-            if r.path is not None and r.path == r.path:
-                meets.setdefault(goal, set()).add((int(r.depth), int(r.rank), r.anchor, r.path))
-        meets = {g: sorted(m) for g, m in meets.items()}
-        counts, kept, omitted = dict.fromkeys(CONTEXT_SLOTS, 0), [], []
-
-        def keep(slot, target):
-            counts[slot] += 1
-            kept.append((slot, target))
-
-        for _, slot, target in sorted(direct):
-            if counts[slot] < caps[slot]:
-                keep(slot, target)
-            else:
-                omitted.append((slot, target))
-
-        def admit(goal):
-            if goal[0] == 1:
-                return lambda: None
-            slot = CONTEXT_SLOTS[goal[2]]
-            if counts[slot] >= caps[slot]:
-                omitted.append((slot, goal[3]))
-                return None
-            return lambda: keep(slot, goal[3])
-
-        paths, unmet = cover(sorted(backbone) + sorted(led), meets, per_anchor, limit, admit)
-        out = [("path", "structural_path", p, None) for p in paths] + [("context", s, t, None) for s, t in kept]
-        out += [("budget_truncated", "structural_path", g[2], g[3]) if g[0] == 1 else ("budget_truncated", "structural_path", g[3], None) for g in unmet]
-        out += [("budget_truncated", s, t, None) for s, t in omitted]
-        out += [("upstream_deferred", CONTEXT_SLOTS[g[2]], g[3], None) for g in unmet if g[0] == 2]
-        return pd.DataFrame([(review, focus, *o, i) for i, o in enumerate(out)], columns=["review_id", "focus_id", "kind", "slot", "id", "other", "place"])
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([(c, pa.int32() if c == "place" else pa.string()) for c in ("review_id", "focus_id", "kind", "slot", "id", "other", "place")])
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+        rows = (row for batch in batches for row in zip(*map(_values, batch.columns)))
+        out = []
+        for keys, own in groupby(rows, itemgetter(0, 1)):
+            for place, row in enumerate(chosen_of((r[2:] for r in own), per_anchor, limit, caps)):
+                out.append((*keys, *row, place))
+                if len(out) == BATCH:
+                    yield told(out)
+                    out = []
+        if out:
+            yield told(out)
 
     return run
 
@@ -126,5 +160,6 @@ def structural_closure(paths: DataFrame, anchors: DataFrame, contexts: DataFrame
     Direct contexts come first, then pairs of changed symbols, then contexts by ordinal, runtime before test. A truncated
     pair has its second symbol as other. place is the order of choice.
     """
-    rows = options(paths, anchors, contexts).withColumn("review_id", F.col("review_id").cast("string")).withColumn("focus_id", F.col("focus_id").cast("string"))
-    return rows.groupBy(*KEYS).applyInPandas(_close(per_anchor, limit, dict(zip(CONTEXT_SLOTS, (runtime, test)))), ROWS)
+    # focus first: a sort compares 8 bytes of its first column quickly, and few reviews differ in theirs
+    rows = options(paths, anchors, contexts).repartition(*KEYS).sortWithinPartitions("focus_id", "review_id", "phase", "first", "slot", "goal", "other")
+    return rows.mapInArrow(_close(per_anchor, limit, dict(zip(CONTEXT_SLOTS, (runtime, test)))), ROWS)

@@ -194,3 +194,45 @@ def test_closure_equals_plain(spark, caps):
         assert [x[2] for x in pick("path")] == chosen and [x[1:3] for x in pick("context")] == kept
         assert [(x[2], x[3]) for x in pick("budget_truncated") if x[1] == "structural_path"] == truncated
         assert [x[1:3] for x in pick("budget_truncated") if x[1] != "structural_path"] == omitted and [x[1:3] for x in pick("upstream_deferred")] == deferred
+
+
+def test_closure_reads_many_focuses_in_one_pass(spark):
+    """A task reads its focuses one after another (a call of Python for each took the query's time); ids repeat across reviews."""
+    tables = [
+        spark.createDataFrame([(r, f"R{i}", "p", 1, 1, ["a", "b"], ["A"]) for r in "qr" for i in range(300)], PATHS),
+        spark.createDataFrame([(r, f"R{i}", "A", n) for r in "qr" for i in range(300) for n in ("a", "b")], ANCHORS),
+        spark.createDataFrame([(r, f"R{i}", "runtime_context", f"{r}{i}", 1, 1, ["p"]) for r in "qr" for i in range(300)], AROUND),
+    ]
+    got = closure.structural_closure(*tables)
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {(r, f"R{i}", *x) for r in "qr" for i in range(300) for x in (("path", "structural_path", "p", None, 0), ("context", "runtime_context", f"{r}{i}", None, 1))}
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_closure_holds_one_obligation_at_a_time():
+    """A focus's options are read as they are needed, not gathered first."""
+    live = set()
+
+    class Names(list):
+        def __del__(self):
+            live.discard(id(self))
+
+    def rows():
+        for i in range(1000):
+            names = Names(["A"])
+            live.add(id(names))
+            assert len(live) < 5
+            yield 1, 0, "structural_path", f"{i:04}", "z", f"p{i}", 1, i, names
+            del names
+
+    told = list(closure.chosen_of(rows(), 5, 30, {"runtime_context": 1, "test_context": 1}))
+    assert [x[2] for x in told] == [f"p{i}" for i in range(5)] + [f"{i:04}" for i in range(5, 1000)]
+
+
+def test_greedy_closure_reads_lines_once(spark, sf_dir):
+    from chalkline.plans.queries import QUERIES
+
+    got = QUERIES["greedy_closure"](spark, sf_dir)
+    assert got.count() and got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and "FlatMapGroups" not in plan
